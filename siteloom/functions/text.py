@@ -114,7 +114,7 @@ def set_digest(member) -> Column:
 def find_all(text, pattern: str) -> Column:
     """Distinct trimmed matches in order of first appearance."""
     hits = F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(0))
-    return F.filter(F.array_distinct(F.transform(hits, F.trim)), lambda v: v != "")
+    return F.filter(F.array_distinct(F.transform(hits, lambda v: F.trim(v))), lambda v: v != "")
 
 
 def plural(n, singular: str, plural_: str | None = None) -> Column:

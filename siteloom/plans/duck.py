@@ -6,6 +6,8 @@ Written independently of the Spark columns; where the supplied data cannot conta
 
 from __future__ import annotations
 
+from siteloom.plans.derived import RICH_TEXT
+
 
 def host(u: str) -> str:
     return f"lower(regexp_extract({u}, '^[a-zA-Z]+://([^/?#:]+)', 1))"
@@ -60,7 +62,8 @@ def norm_path(p: str) -> str:
 
 def ents(s: str) -> str:
     return (
-        f"replace(replace(replace({s}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+        f"replace(replace(replace(replace(replace(replace({s}, '&copy;', '©'), '&middot;', '·'), "
+        "'&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
     )
 
 
@@ -169,6 +172,25 @@ de AS (
   WHERE trim(v) <> '')"""
 )
 
+PRICE = r"(?:NZ\$|AU\$|£|\$)\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?"
+ADDRESS = (
+    r"\d{1,5}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+"
+    r"(?:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Way|Place|Pl)\b[^.\n]{0,40}"
+)
+# rich documents (derived.RICH_TEXT) and their entity values
+RD = DP.replace(", text, lang", f", {RICH_TEXT} AS text, lang")
+RE = (
+    RD
+    + f""",
+de AS (
+  SELECT DISTINCT site, page_id, url, path, http_status, kind, trim(v) AS value
+  FROM (SELECT dp.*, 'phones' AS kind, unnest(regexp_extract_all(text, '{PHONE}')) AS v FROM dp
+        UNION ALL SELECT dp.*, 'emails', unnest(regexp_extract_all(text, '{EMAIL}')) FROM dp
+        UNION ALL SELECT dp.*, 'addresses', unnest(regexp_extract_all(text, '{ADDRESS}')) FROM dp
+        UNION ALL SELECT dp.*, 'prices', unnest(regexp_extract_all(text, '{PRICE}')) FROM dp)
+  WHERE trim(v) <> '')"""
+)
+
 STAGE = "['start','crawl','model','review','build','apply','publish','live','failed']"
 EFFECT = "['extract','infer','ask','plan','cast','release']"
 
@@ -184,3 +206,25 @@ HI = f"""hi AS (
     CASE WHEN event_type NOT IN ('signup', 'view') THEN {EFFECT}[(event_id % 6)::INT + 1] END AS effect,
     CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status, value
   FROM events)"""
+
+
+# rich pages after extraction (derived.RICH_HTML): builder pages take title and sections from JSON
+RX = (
+    PX
+    + """,
+rx AS (
+  SELECT site, page_id, url, path, http_status,
+         CASE WHEN page_id % 5 = 2 THEN 'Seo ' || page_id ELSE title END AS title,
+         CASE WHEN page_id % 5 = 2 THEN 'D' || page_id
+              WHEN page_id % 3 = 0 THEN 'About page ' || page_id || ' & more' END AS description,
+         headings,
+         CASE WHEN page_id % 5 = 2
+              THEN [{'kind': 'hero', 'text': 'Site ' || page_id || ' Opening hours and prices for every day'},
+                    {'kind': 'cardGrid', 'text': 'Work [{"t":"A' || (page_id % 8) || '"}]'}]
+              ELSE secs END AS secs
+  FROM px),
+rc AS (
+  SELECT rx.*, array_to_string(list_concat(CASE WHEN title IS NULL THEN [] ELSE [title] END,
+               list_concat(headings, list_transform(secs, lambda s: s.text))), chr(10)) AS corpus
+  FROM rx)"""
+)
