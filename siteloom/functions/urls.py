@@ -211,6 +211,15 @@ def add_canonical(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
     return parts.withColumn(out, printed).drop("_u", "_u_q", *_PART_COLUMNS)
 
 
+def keep_valid(df: DataFrame, column: str) -> DataFrame:
+    """Drop rows whose ``column`` is null.
+
+    Written as an explode: a filter on a derived URL would be pushed down and every part of
+    the derivation repeated inside the predicate.
+    """
+    return df.withColumn(column, F.explode(F.array_compact(F.array(column))))
+
+
 def add_localised(df: DataFrame, href: str, page_url: str, out: str) -> DataFrame:
     """Add ``out``: same-host links as path+query; mailto/tel stay; fragments and scripts go."""
     h = F.col(href)

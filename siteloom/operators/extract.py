@@ -256,7 +256,7 @@ def page_images(pages: DataFrame) -> DataFrame:
         attr("width").alias("_w"),
         attr("height").alias("_h"),
     ).filter((F.col("_raw") != "") & ~F.col("_raw").startswith("data:"))
-    out = U.add_canonical(rows, "_raw", "url", "src").filter(F.col("src").isNotNull())
+    out = U.keep_valid(U.add_canonical(rows, "_raw", "url", "src"), "src")
     return out.select(
         "site", "page_id", "ord", "src", "alt",
         F.expr("try_cast(_w as double)").alias("width"), F.expr("try_cast(_h as double)").alias("height"),

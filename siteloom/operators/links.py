@@ -23,13 +23,13 @@ def page_links(pages: DataFrame) -> DataFrame:
     links = raw_hrefs(pages).filter(
         ~F.lower("href").contains("/cdn-cgi/l/email-protection") & (F.col("href") != "")
     )
-    links = U.add_canonical(links, "href", "url", "link").filter(F.col("link").isNotNull())
+    links = U.keep_valid(U.add_canonical(links, "href", "url", "link"), "link")
     return links.groupBy("site", "page_id", "url", "link").agg(F.min("pos").alias("pos"))
 
 
 def canonical_links(pages: DataFrame) -> DataFrame:
     """Distinct canonical targets per site with the pages and uses they have."""
-    links = U.add_canonical(raw_hrefs(pages), "href", "url", "link").filter(F.col("link").isNotNull())
+    links = U.keep_valid(U.add_canonical(raw_hrefs(pages), "href", "url", "link"), "link")
     per_page = links.groupBy("site", "link", "page_id").agg(F.count("*").alias("uses"))
     return per_page.groupBy("site", "link").agg(
         F.count("*").alias("pages"), F.sum("uses").alias("uses"), F.min("page_id").alias("first_page")
@@ -82,7 +82,7 @@ def localised_links(pages: DataFrame) -> DataFrame:
     """Hrefs as the new site would print them, counted per site."""
     out = U.add_localised(raw_hrefs(pages), "href", "url", "local_href")
     return (
-        out.filter(F.col("local_href").isNotNull())
+        U.keep_valid(out, "local_href")
         .groupBy("site", "local_href")
         .agg(F.count("*").alias("uses"))
     )

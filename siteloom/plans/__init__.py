@@ -1,4 +1,4 @@
 """Registered queries, one module per operator family."""
 
-from siteloom.plans import condense_queries, extract_queries, finding_queries, link_queries  # noqa: F401
+from siteloom.plans import condense_queries, crawl_queries, extract_queries, finding_queries, link_queries  # noqa: F401
 from siteloom.plans.registry import REGISTRY  # noqa: F401

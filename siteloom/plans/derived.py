@@ -50,3 +50,28 @@ def rich_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     return T.read_pages(spark, folder).withColumn("html", F.expr(RICH_HTML))
+
+
+def grid_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages laid out as 20 sites with paths /p/0, /p/1, … so that link targets exist."""
+    p = T.table(spark, folder, "pages").select("page_id")
+    k = F.expr("cast(floor(page_id / 20) as bigint)")
+    path = F.when(k == 0, "/").otherwise(F.concat(F.lit("/p/"), k.cast("string")))
+    site = F.concat(F.lit("s"), (F.col("page_id") % 20).cast("string"))
+    return p.select(
+        site.alias("site"), "page_id", path.alias("path"),
+        F.concat(F.lit("https://"), site, F.lit(".example"), path).alias("url"),
+        T.synthetic_status(F.col("page_id")).alias("http_status"),
+        k.alias("k"),
+    )
+
+
+def grid_links(pages: DataFrame) -> DataFrame:
+    """Three links per grid page (to 2k+2, 2k+1 and k+3) and some dangling ones."""
+    k = F.col("k")
+    path = lambda n: F.concat(F.lit("/p/"), n.cast("string"))
+    targets = F.array(
+        path(2 * k + 2), F.when(k % 4 != 2, path(2 * k + 1)), F.when(k % 3 == 0, path(k + 3)), F.when(k % 5 == 0, F.concat(F.lit("/gone/"), k.cast("string")))
+    )
+    rows = pages.select("site", "page_id", "url", F.posexplode(targets).alias("pos", "path")).filter("path is not null")
+    return rows.withColumn("to_url", F.concat(F.lit("https://"), "site", F.lit(".example"), "path"))
