@@ -75,3 +75,82 @@ def grid_links(pages: DataFrame) -> DataFrame:
     )
     rows = pages.select("site", "page_id", "url", F.posexplode(targets).alias("pos", "path")).filter("path is not null")
     return rows.withColumn("to_url", F.concat(F.lit("https://"), "site", F.lit(".example"), "path"))
+
+
+# One proposed type per (site, first path segment), names and decisions spread by the first page.
+TYPES_SQL = """
+SELECT site, CAST(1 AS INT) AS version, seg, m, n,
+  CASE WHEN m % 9 = 0 THEN 'hero' WHEN m % 9 = 1 THEN seg || '-page' WHEN m % 9 = 2 THEN 'image' ELSE seg || 'Article' END AS name,
+  'Type ' || seg AS title,
+  CASE WHEN m % 5 = 0 THEN 'object' ELSE 'document' END AS kind,
+  CASE WHEN m % 7 = 0 THEN 'hero' WHEN m % 7 = 1 THEN 'megaBlock' END AS block_match,
+  'Seen on ' || n || ' pages' AS rationale,
+  CAST(30 + (m * 7) % 65 AS DOUBLE) / 100 AS confidence,
+  CASE WHEN m % 11 = 0 THEN 'drop' WHEN m % 11 = 1 THEN 'merge' WHEN m % 11 = 2 THEN NULL ELSE 'keep' END AS decision,
+  CASE WHEN m % 11 = 1 THEN 'enArticle' END AS merge_into
+FROM (SELECT site, seg, min(page_id) AS m, count(*) AS n
+      FROM (SELECT site, page_id, split_part(path, '/', 2) AS seg FROM {pg}) s GROUP BY site, seg) t
+"""
+
+# Candidate fields of a type: number, name, type, members, targets, required.
+FIELD_ROWS = [
+    (0, "title", "string", [], [], True),
+    (1, "price", "number", [], [], False),
+    (2, "body", "array", ["block", "hero"], [], False),
+    (3, "author", "reference", [], ["enArticle"], False),
+    (4, "tags", "array", ["string", "ghost"], ["hero", "frArticle"], False),
+    (5, "_hidden", "string", [], [], False),
+    (6, "summary", "text", [], [], False),
+    (7, "photo", "image", [], [], False),
+    (8, "slug", "slug", [], [], True),
+    (9, "Bad Name", "object", ["line"], [], False),
+]
+
+
+def proposal_types(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(TYPES_SQL, pg=T.read_pages(spark, folder).select("site", "page_id", "path"))
+
+
+def proposal_fields(types: DataFrame) -> DataFrame:
+    texts = lambda items: F.array(*[F.lit(i) for i in items]).cast("array<string>")
+    rows = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(n).alias("field_name"), F.lit(t).alias("field_type"), texts(of).alias("of"),
+                     texts(to).alias("to"), F.lit(r).alias("required"))
+            for i, n, t, of, to, r in FIELD_ROWS
+        ]
+    )
+    picked = types.withColumn("f", F.explode(F.filter(rows, lambda r: (F.col("m") + r["i"]) % 3 != 0)))
+    return picked.select(
+        "site", "version", F.col("name").alias("type_name"), "f.field_name", "f.field_type", "f.of", "f.to", "f.required",
+        ((F.col("m") + F.col("f.i")) % 7).cast("int").alias("evidence_count"), "m",
+    )
+
+
+def proposal_evidence(spark: SparkSession, folder: str, types: DataFrame) -> DataFrame:
+    """Every page proves the type of its path segment; a third of the excerpts are wrong."""
+    from siteloom.operators.extract import page_records
+
+    rec = page_records(T.read_pages(spark, folder), tree_layouts=False)
+    n = F.col("page_id") % 3
+    excerpt = F.when(n == 0, F.col("title")).when(n == 1, F.upper("title")).otherwise("")
+    pages = rec.select("site", "page_id", "url", F.split_part("path", F.lit("/"), F.lit(2)).alias("seg"), excerpt.alias("excerpt"))
+    return pages.join(types.select("site", "version", "seg", F.col("name").alias("type_name")), ["site", "seg"]).drop("seg")
+
+
+def titled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Extracted pages whose titles mostly end in the site's name."""
+    from siteloom.operators.extract import page_records
+
+    rec = page_records(T.read_pages(spark, folder), tree_layouts=False)
+    suffix = F.when(F.col("page_id") % 4 != 0, F.concat(F.lit(" | Site "), "site")).otherwise("")
+    return rec.withColumn("title", F.concat("title", suffix)).withColumn("has_html", F.col("html") != "")
+
+
+def answered(questions: DataFrame) -> DataFrame:
+    """Answers picked from the options by the question id; a quarter stays open."""
+    digit = F.conv(F.substring("fingerprint", 1, 1), 16, 10).cast("int")
+    pick = F.get("options", F.floor(digit / 4).cast("int"))
+    return questions.withColumns(
+        {"answer": F.when(digit < 12, pick), "answer_note": F.when(digit % 2 == 0, F.lit("as agreed on the phone"))}
+    )
