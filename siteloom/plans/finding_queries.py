@@ -24,8 +24,9 @@ def contact_entities(spark, d):
     return X.entity_rows(docs)
 
 
-VALUES = f"""{D.RE}, en AS (
-  SELECT site, page_id, path, url, kind, value FROM de WHERE http_status < 400 AND kind <> 'prices'),
+def values_sql(entities: str) -> str:
+    """CTEs from ``en`` (site, page_id, path, url, kind, value) to site-level values."""
+    return f"""{entities},
 k AS (SELECT *, CASE kind WHEN 'phones' THEN regexp_replace(value, '[^0-9]', '', 'g')
              ELSE lower({D.squash('value')}) END AS key FROM en),
 h AS (SELECT site, kind, key, page_id, min(value) AS raw, min(path) AS path, min(url) AS url FROM k WHERE key <> '' GROUP BY ALL),
@@ -36,12 +37,18 @@ cv AS (SELECT site, kind, key, label, hits, count(*) OVER (PARTITION BY site, ki
        QUALIFY values >= 2)"""
 
 
+VALUES = values_sql(
+    f"{D.RE}, en AS (SELECT site, page_id, path, url, kind, value FROM de WHERE http_status < 400 AND kind <> 'prices')"
+)
+
+
 @query("contradiction_values", f"WITH {VALUES} SELECT * FROM cv", covers="F1")
 def _(spark, d):
     return Q.contradiction_values(contact_entities(spark, d))
 
 
-CONTRA = f"""{VALUES}, ct AS (
+def contradictions_sql(values: str) -> str:
+    return f"""{values}, ct AS (
   SELECT site, kind AS k, sum(hits)::BIGINT AS pages, {D.digest('label')} AS dg,
     string_agg('"' || label || '"', ', ' ORDER BY hits DESC, label) AS quoted,
     string_agg(label, '|' ORDER BY hits DESC, label) AS opts FROM cv GROUP BY ALL),
@@ -52,6 +59,9 @@ cq AS (SELECT site, {D.fp("'contradiction'", 'k', 'dg')} AS fingerprint, 'contra
   true AS spawns_tasks, 100::INT AS rank, pages, 1::INT AS seq FROM ct)"""
 
 
+CONTRA = contradictions_sql(VALUES)
+
+
 def shown(df):
     return df.withColumn("options", F.array_join("options", "|"))
 
