@@ -122,7 +122,7 @@ def proposal_fields(types: DataFrame) -> DataFrame:
     )
     picked = types.withColumn("f", F.explode(F.filter(rows, lambda r: (F.col("m") + r["i"]) % 3 != 0)))
     return picked.select(
-        "site", "version", F.col("name").alias("type_name"), "f.field_name", "f.field_type", "f.of", "f.to", "f.required",
+        "site", "version", F.col("name").alias("type_name"), F.col("f.i").alias("ord"), "f.field_name", "f.field_type", "f.of", "f.to", "f.required",
         ((F.col("m") + F.col("f.i")) % 7).cast("int").alias("evidence_count"), "m",
     )
 
