@@ -201,3 +201,11 @@ def _(spark, d):
 def _(spark, d):
     pages = T.read_pages(spark, d)
     return C.page_status_labels(pages, pages.filter(F.col("site").like("%.example.com")).select("site"))
+
+
+@query("near_duplicate_pages", covers="D13")
+def _(spark, d):
+    from siteloom.operators.near_duplicates import near_duplicate_pages
+
+    docs = T.read_document_pages(spark, d).select("site", "page_id", "text")
+    return near_duplicate_pages(docs, threshold=0.7)

@@ -196,7 +196,7 @@ EFFECT = "['extract','infer','ask','plan','cast','release']"
 
 # events as the lifecycle log
 HI = f"""hi AS (
-  SELECT user_id AS instance, event_id, ts AS at,
+  SELECT user_id AS instance, event_id, ts AS tm,
     CASE event_type WHEN 'signup' THEN 'stageEntered' WHEN 'view' THEN 'actionFired'
                     WHEN 'click' THEN 'effectQueued' ELSE 'effectCompleted' END AS kind,
     CASE WHEN event_id % 4 <> 0 THEN 'u' || user_id END AS actor,
