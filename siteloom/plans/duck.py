@@ -135,8 +135,8 @@ px1 AS (
 px AS (
   SELECT site, page_id, url, path, http_status, title, headings,
          CASE WHEN len(secs) > 0 THEN secs
-              WHEN {strip("regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1)")} <> ''
-              THEN [{{'kind': 'prose', 'text': {strip("regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1)")}}}]
+              WHEN {strip("regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1)")} <> ''
+              THEN [{{'kind': 'prose', 'text': {strip("regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1)")}}}]
               ELSE [] END AS secs
   FROM px1),
 pc AS (
@@ -160,18 +160,6 @@ PHONE = (
 )
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
-# (site, page_id, url, path, http_status, kind, value): distinct trimmed entity values of a page
-DE = (
-    DP
-    + f""",
-de AS (
-  SELECT DISTINCT site, page_id, url, path, http_status, kind, trim(v) AS value
-  FROM (SELECT dp.*, 'phones' AS kind, unnest(regexp_extract_all(text, '{PHONE}')) AS v FROM dp
-        UNION ALL
-        SELECT dp.*, 'emails' AS kind, unnest(regexp_extract_all(text, '{EMAIL}')) AS v FROM dp)
-  WHERE trim(v) <> '')"""
-)
-
 PRICE = r"(?:NZ\$|AU\$|£|\$)\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?"
 ADDRESS = (
     r"\d{1,5}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+"
@@ -179,9 +167,12 @@ ADDRESS = (
 )
 # rich documents (derived.RICH_TEXT) and their entity values
 RD = DP.replace(", text, lang", f", {RICH_TEXT} AS text, lang")
-RE = (
-    RD
-    + f""",
+
+def entity_ctes(documents: str) -> str:
+    """``de``: distinct trimmed entity values of every page of ``dp``."""
+    return (
+        documents
+        + f""",
 de AS (
   SELECT DISTINCT site, page_id, url, path, http_status, kind, trim(v) AS value
   FROM (SELECT dp.*, 'phones' AS kind, unnest(regexp_extract_all(text, '{PHONE}')) AS v FROM dp
@@ -189,7 +180,11 @@ de AS (
         UNION ALL SELECT dp.*, 'addresses', unnest(regexp_extract_all(text, '{ADDRESS}')) FROM dp
         UNION ALL SELECT dp.*, 'prices', unnest(regexp_extract_all(text, '{PRICE}')) FROM dp)
   WHERE trim(v) <> '')"""
-)
+    )
+
+
+DE = entity_ctes(DP)
+RE = entity_ctes(RD)
 
 STAGE = "['start','crawl','model','review','build','apply','publish','live','failed']"
 EFFECT = "['extract','infer','ask','plan','cast','release']"
