@@ -83,7 +83,9 @@ def drop_invisible(html) -> Column:
 
 def markup_text(html) -> Column:
     """Text of an HTML fragment: tags vanish without a separator, references are decoded."""
-    return collapse(decode_entities(F.regexp_replace(drop_invisible(html), r"<[^>]*>", "")))
+    bare = F.regexp_replace(drop_invisible(html), r"<[^>]*>", "")
+    # bound once: the decoder looks at its input several times
+    return collapse(F.get(F.transform(F.array(bare), lambda t: decode_entities(t)), F.lit(0)))
 
 
 def word_count(text) -> Column:

@@ -99,11 +99,9 @@ def _builder_sections(data: Column) -> Column:
 
 def needs_tree(html: Column) -> Column:
     """Layouts a regex cannot cut: main content, content divs, articles inside articles."""
-    nested = r"(?is)<article\b(?:(?!</article).)*<article\b"
-    return (
-        html.rlike(r"(?i)<main\b|\bclass\s*=\s*[\"'][^\"']*\b(?:entry-)?content\b")
-        | html.rlike(nested)
-    )
+    before_close = F.substring_index(F.lower(html), "</article", 1)
+    openings = F.length(before_close) - F.length(F.replace(before_close, F.lit("<article"), F.lit("<articl")))
+    return html.rlike(r"(?i)<main\b|\bclass\s*=\s*[\"'][^\"']*\b(?:entry-)?content\b") | (openings > 1)
 
 
 def _regex_sections(visible: Column) -> Column:

@@ -1,10 +1,10 @@
 """Near-identical pages of a site, without comparing all pairs.
 
-Word shingles → MinHash bands → buckets. Each bucket is resolved leader by leader: every
-member is compared (exact Jaccard) with the bucket's first page only; members that match leave
-with it, the others go on to the next leader. Work is linear in the pages even when a third
-of them are copies of one text, and no candidate is skipped: a bucket is done when one page
-is left.
+Word shingles → MinHash bands → buckets. Every member of a bucket is compared (exact Jaccard)
+with the bucket's first page; members that match leave with it, the others meet the next
+leader. That makes the work linear for a third of all pages being near copies of one text.
+Pages still together after the leader rounds are compared with each other, so no candidate
+is skipped.
 """
 
 from __future__ import annotations
@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from siteloom.functions.text import collapse
 from siteloom.session import cut_lineage
 
-BANDS, ROWS_PER_BAND = 12, 4
+BANDS, ROWS_PER_BAND, LEADER_ROUNDS = 12, 4, 2
 
 
-def shingles(text: Column, size: int = 3) -> Column:
-    """Distinct hashes of word n-grams; shorter texts are one shingle."""
-    words = F.split(F.lower(collapse(text)), " ")
+def shingles(words: str, size: int = 3) -> Column:
+    """Distinct hashes of the n-grams of a word-array column; shorter texts are one shingle.
+
+    ``words`` must be a column: an expression would be evaluated again for every n-gram.
+    """
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(size - 1), F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " "))))
+    return F.array_distinct(
+        F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " ")))
+    )
 
 
 def _salt(i: int) -> int:
@@ -60,28 +64,32 @@ def near_duplicate_pages(texts: DataFrame, threshold: float = 0.8, size: int = 3
         .select("site", "page_id", F.col("first").alias("dup_of"), F.lit(1.0).alias("similarity"))
     )
     distinct = keyed.join(first.select("site", F.col("first").alias("page_id")), ["site", "page_id"], "left_semi")
-    sets = cut_lineage(distinct.select("site", "page_id", shingles(F.col("t"), size).alias("sh")))
+    words = cut_lineage(distinct.select("site", "page_id", F.split("t", " ").alias("words")))
+    sets = cut_lineage(words.select("site", "page_id", shingles("words", size).alias("sh")))
     members = cut_lineage(sets.select("site", "page_id", F.explode(band_keys(F.col("sh"))).alias("bucket")))
-    found = None
-    while True:
-        leaders = members.groupBy("site", "bucket").agg(F.min("page_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-        open_ = members.join(leaders.drop("n"), ["site", "bucket"])
-        pairs = open_.filter("page_id <> leader").select("site", "page_id", "leader").distinct()
-        left = sets.select("site", "page_id", F.col("sh").alias("a"))
-        right = sets.select("site", F.col("page_id").alias("leader"), F.col("sh").alias("b"))
+    left = sets.select("site", "page_id", F.col("sh").alias("a"))
+    right = sets.select("site", F.col("page_id").alias("leader"), F.col("sh").alias("b"))
+
+    def matched(pairs: DataFrame) -> DataFrame:
         scored = (
-            pairs.join(left, ["site", "page_id"]).join(right, ["site", "leader"])
+            pairs.select("site", "page_id", "leader").distinct()
+            .join(left, ["site", "page_id"]).join(right, ["site", "leader"])
             .withColumn("similarity", jaccard(F.col("a"), F.col("b")))
             .filter(F.col("similarity") >= threshold)
         )
-        hits = cut_lineage(
+        return cut_lineage(
             scored.groupBy("site", "page_id").agg(F.min(F.struct(F.col("leader").alias("dup_of"), "similarity")).alias("m"))
             .select("site", "page_id", "m.*")
         )
-        found = hits if found is None else found.unionByName(hits)
-        members = cut_lineage(
-            open_.filter("page_id <> leader").drop("leader").join(hits.select("site", "page_id"), ["site", "page_id"], "left_anti")
-        )
-        if members.isEmpty():
-            break
-    return copies.unionByName(found).select("site", "page_id", "dup_of", F.round("similarity", 6).alias("similarity"))
+
+    found = copies
+    for _ in range(LEADER_ROUNDS):
+        leaders = members.groupBy("site", "bucket").agg(F.min("page_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+        rest = members.join(leaders.drop("n"), ["site", "bucket"]).filter("page_id <> leader")
+        hits = matched(rest)
+        found = found.unionByName(hits)
+        members = cut_lineage(rest.drop("leader").join(hits.select("site", "page_id"), ["site", "page_id"], "left_anti"))
+    # what is left shares a bucket by chance only: near copies have gone with their leaders
+    other = members.select("site", "bucket", F.col("page_id").alias("leader"))
+    chance = members.join(other, ["site", "bucket"]).filter("leader < page_id")
+    return found.unionByName(matched(chance)).select("site", "page_id", "dup_of", F.round("similarity", 6).alias("similarity"))
