@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made once and
-    remembered in the session.
+    Where that is unset, a session in one process (``local[...]``, as in tests) sets a temporary
+    folder of its own, removed at exit; on a cluster it is an error, as executors would each
+    write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("siteloom.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="siteloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("siteloom.scratch", root)
     return root
 
