@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteloom.llm.mixing import mix_sources
 from siteloom.llm.ngram_join import ngram_jaccard_join
+from siteloom.llm.packing import pack
+from siteloom.llm.pii import pii_digest
+from siteloom.llm.warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +19,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_packing, op4_source_mixing, op9_warc)}
+
+#: A record is a revisit if its payload has at least 1000 bytes and another page with a larger id has the same.
+OP9 = """
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 1000 AND last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 1000 AND last > page_id THEN last END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS last FROM pages)
+"""
+
+ORACLES: dict[str, str] = {"op9_warc": OP9}
