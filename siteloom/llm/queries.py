@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteloom.llm import language, quality
 from siteloom.llm.mixing import mix_sources
 from siteloom.llm.ngram_join import ngram_jaccard_join
 from siteloom.llm.packing import pack
@@ -31,11 +32,20 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_packing, op4_source_mixing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_packing, op4_source_mixing, op5_quality_classifier, op7_language_id, op9_warc)}
 
 #: A record is a revisit if its payload has at least 1000 bytes and another page with a larger id has the same.
 OP9 = """
