@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteloom.llm import language, quality
+from siteloom.llm.ann_search import search
+from siteloom.llm.embedding_dedup import link_embeddings
 from siteloom.llm.mixing import mix_sources
 from siteloom.llm.ngram_join import ngram_jaccard_join
 from siteloom.llm.packing import pack
@@ -41,11 +43,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_packing, op4_source_mixing, op5_quality_classifier, op7_language_id, op9_warc)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_packing, op4_source_mixing, op5_quality_classifier, op7_language_id, op8_ann_search, op9_warc, op10_embedding_near_dedup)}
 
 #: A record is a revisit if its payload has at least 1000 bytes and another page with a larger id has the same.
 OP9 = """
