@@ -145,11 +145,11 @@ def _leaders(ids: np.ndarray, sketch: np.ndarray, edges: list) -> tuple[np.ndarr
         x, y = np.nonzero(near)
         edges.append((own[x], lead[y]))
         left = np.flatnonzero(~near.any(1))
-        if len(left):
-            among = _linked(mine[left], mine[left])
-            x, y = np.nonzero(np.tril(among, -1))
-            edges.append((own[left[x]], own[left[y]]))
-            lead, lead_sketch = np.concatenate([lead, own[left]]), np.concatenate([lead_sketch, mine[left]])
+        while len(left):  # the first that is left leads, those like it follow
+            alike = _linked(mine[left], mine[left[:1]])[:, 0]
+            edges.append((own[left[alike]], np.repeat(own[left[:1]], alike.sum())))
+            lead, lead_sketch = np.concatenate([lead, own[left[:1]]]), np.concatenate([lead_sketch, mine[left[:1]]])
+            left = left[~alike]
     return lead, lead_sketch
 
 
