@@ -107,26 +107,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     return langs, (z.T @ (root @ solved)).astype(np.float32)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, text, held_out, lang_pred, score) per row of ``docs`` (doc_id, text, lang)."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (doc_id, text, lang, ...) with held_out, lang_pred and score added.
+
+    Kept columns of these names are replaced.
+    """
     langs, matrix = fit(docs) if model is None else model
-    known = bool(langs)
     scorer = docs.sparkSession.sparkContext.broadcast(np.concatenate([matrix, np.ones((SLOTS, 1), np.float32)], axis=1))
+    keep = tuple(k for k in keep if k not in ("held_out", "lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = np.zeros((ROWS, SLOTS), np.float32)
         weights = scorer.value
         names = pa.array([*langs, UNDETERMINED])
         for batch in batches:
-            letter = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            held, _, letter = (batch.column(i) for i in range(len(keep), len(keep) + 3))
+            letter = letter.to_numpy(zero_copy_only=False).astype(bool)
             pred, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
-            if known:
-                for a, b, data, offsets in _batches(batch, 3):
+            if langs:
+                for a, b, data, offsets in _batches(batch, len(keep) + 1):
                     got = presence(data, offsets, space) @ weights
                     margin = got[:, :-1] / np.sqrt(np.maximum(got[:, -1:], 1))
                     pred[a:b] = np.where(letter[a:b], margin.argmax(1), len(langs))
                     score[a:b] = np.where(letter[a:b], np.clip(margin.max(1), 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), names.take(pa.array(pred)), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), held, names.take(pa.array(pred)), pa.array(score)], [*keep, "held_out", "lang_pred", "score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", F.lit(0).alias("_"), held_out(), F.lower("text"), letters).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "held_out boolean, lang_pred string, score double"])
+    return docs.select(*keep, held_out().alias("_held"), F.lower("text").alias("_lower"), letters.alias("_letters")).mapInArrow(run, schema)

@@ -32,6 +32,11 @@ def word_count(name: str = "text") -> Column:
     return F.regexp_count(text_or_empty(name), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def row_hash(seed: int = 0) -> Column:
+    """Places a row in the shuffle; rows of equal doc_id and text have equal ones."""
+    return F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
     """(source, source_size, target, lo, hi) from (source, size), one row a source or partial sums of it.
 
@@ -79,7 +84,7 @@ def laid_out(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
 
     Adds sid, source_size, target, at (words of the source before this row), (chunk, seq) naming the row.
     """
-    docs = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("h"))
+    docs = docs.select("doc_id", "source", word_count().alias("size"), row_hash(seed).alias("h"))
     docs = cut_lineage(docs)
     rows, words = docs.agg(F.count("*"), F.sum("size")).first()
     docs = docs.withColumn("chunk", F.pmod(F.shiftright("h", 20), F.lit(max(1, -(-rows // CHUNK_ROWS)))))
@@ -91,7 +96,7 @@ def laid_out(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
     mine = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size")
     docs = docs.withColumn("seq", F.row_number().over(mine)).withColumn("inside", F.sum("size").over(mine.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("d")
     laid = docs.join(chunks, (F.col("d.chunk") == F.col("c.chunk")) & F.col("d.source").eqNullSafe(F.col("c.source")))
-    return laid.select("doc_id", "d.source", "size", "sid", "source_size", "target", "lo", "hi", "d.chunk", "seq", (F.col("base") + F.col("inside")).alias("at")), words or 0
+    return laid.select("doc_id", "h", "d.source", "size", "sid", "source_size", "target", "lo", "hi", "d.chunk", "seq", (F.col("base") + F.col("inside")).alias("at")), words or 0
 
 
 def mixed_segments(spark: SparkSession, docs: DataFrame, block: int = BLOCK, repeat: int = REPEAT) -> DataFrame:
@@ -109,11 +114,11 @@ def mixed_segments(spark: SparkSession, docs: DataFrame, block: int = BLOCK, rep
     epochs = epochs.withColumn("to", F.least(F.col("from") + F.col("size"), F.floor("target")))
     parts = epochs.where("to > from").withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)))).alias("p")
     taken = parts.join(slots, ["sid", "rank"]).select(
-        "sid", "chunk", "seq", "slot", "doc_id", "source", "size", "source_size", "target",
+        "sid", "chunk", "seq", "slot", "doc_id", "h", "source", "size", "source_size", "target",
         (F.greatest("from", F.col("rank") * block) - F.col("from")).alias("start"),
         (F.least("to", (F.col("rank") + 1) * block) - F.col("from")).alias("end"),
     )
-    none = laid.select("sid", "chunk", "seq", F.lit(None).cast("long").alias("slot"), "doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    none = laid.select("sid", "chunk", "seq", F.lit(None).cast("long").alias("slot"), "doc_id", "h", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
     return taken.unionByName(none)
 
 
@@ -121,3 +126,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> Dat
     """(doc_id, size, source_size, target, taken) per row of ``docs`` (doc_id, text, source)."""
     segments = mixed_segments(spark, docs, block)
     return segments.groupBy("sid", "chunk", "seq", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("end") - F.col("start")).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them: words taken over words, rounded, 0 to ``REPEAT`` times.
+
+    Same columns as ``docs`` (doc_id, text, source, ...). Documents without words are not taken.
+    """
+    taken = mixed_segments(spark, docs, block).groupBy("h").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.sum(F.when(F.col("slot").isNull(), F.col("size"))).alias("size"))
+    times = cut_lineage(taken.where("size > 0").select("h", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0"))
+    return docs.withColumn("_h", row_hash()).join(times, F.col("_h") == F.col("h")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

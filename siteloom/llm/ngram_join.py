@@ -282,12 +282,10 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text).
+def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """(doc_id, th, component, class_id, n_links) for every row of ``docs`` (doc_id, text).
 
-    class_id is the smallest doc_id of the rows connected by links, n_links the number of other
-    rows linked directly. Rows with a null doc_id take part; their class_id is null if no other
-    row of the class has an id. An empty table gives an empty result.
+    th is xxhash64 of the text; component names the rows connected by links, null where the text has no word.
     """
     docs = docs.select("doc_id", "text")
     used = prefix_depth(threshold, trees, depth, recall)
@@ -321,6 +319,30 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int
     joined = components(verified.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "component")
     whole = classes.join(links, "cid", "left").join(joined, "cid", "left").select("cid", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("component"))
     named = whole.groupBy("component").agg(F.min("least").alias("class_id"))
-    whole = cut_lineage(whole.join(named, "component").select("cid", "weight", "links", "class_id"))
-    out = found.select("doc_id", "cid").join(whole, "cid").select("doc_id", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
-    return out.unionByName(sig.where("cid is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    whole = cut_lineage(whole.join(named, "component").select("cid", "weight", "links", "component", "class_id"))
+    out = found.select("doc_id", "th", "cid").join(whole, "cid").select("doc_id", "th", "component", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    return out.unionByName(sig.where("cid is null").select("doc_id", "th", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links) for every row of ``docs`` (doc_id, text).
+
+    class_id is the smallest doc_id of the rows connected by links, n_links the number of other
+    rows linked directly. Rows with a null doc_id take part; their class_id is null if no other
+    row of the class has an id. An empty table gives an empty result.
+    """
+    return linked_classes(docs, threshold, words, trees, depth, recall).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` less all but one of each group of linked rows: the one with the smallest doc_id, then text hash.
+
+    Rows without a word stay.
+    """
+    linked = cut_lineage(linked_classes(docs, threshold).select("doc_id", "th", "component"))
+    named = linked.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k"))
+    kept = cut_lineage(named.select("k.doc_id", "k.th").unionByName(linked.where("component is null").select("doc_id", "th").distinct()))
+    twice = linked.where("component is not null").groupBy("doc_id", "th").count().where("count > 1").limit(1).count() > 0
+    th = F.xxhash64("text")
+    out = docs.join(kept.alias("k"), docs["doc_id"].eqNullSafe(F.col("k.doc_id")) & (th == F.col("k.th")), "left_semi").select(*docs.columns)
+    return out.dropDuplicates(["doc_id", "text"]) if twice else out

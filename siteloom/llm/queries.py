@@ -11,6 +11,7 @@ from siteloom.llm.mixing import mix_sources
 from siteloom.llm.ngram_join import ngram_jaccard_join
 from siteloom.llm.packing import pack
 from siteloom.llm.pii import pii_digest
+from siteloom.llm.suffix_dedup import remove_repeats
 from siteloom.llm.warc import archive_round_trip
 
 
@@ -39,6 +40,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_packing, op4_source_mixing, op5_quality_classifier, op7_language_id, op8_ann_search, op9_warc, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_packing, op4_source_mixing, op5_quality_classifier, op6_suffix_dedup, op7_language_id, op8_ann_search, op9_warc, op10_embedding_near_dedup)}
 
 #: A record is a revisit if its payload has at least 1000 bytes and another page with a larger id has the same.
 OP9 = """
