@@ -15,7 +15,7 @@ Of equal vectors only the k + 1 smallest ids can be among the k nearest, so no m
 lists are cut into chunks and their queries into blocks, so no list is one task.
 
 Vectors that are null, empty, zero, hold null or non-finite components or have another length than
-most take no part, as queries or candidates. Rows of the query's own vec_id are never its candidates. With no
+most, and rows without a vec_id, take no part, as queries or candidates. Rows of the query's own vec_id are never its candidates. With no
 more than k candidates all are returned: lists are probed until k + 1 rows are seen. An empty table gives no rows.
 """
 
@@ -104,7 +104,7 @@ def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, n
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found in ``vectors`` for each row of ``queries`` (both vec_id, embedding)."""
-    good = lambda df: df.where(usable()).select("vec_id", doubles(df).alias("v"))
+    good = lambda df: df.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", doubles(df).alias("v"))
     rows = good(vectors)
     sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).alias("longest")).orderBy(F.desc("n"), "dims").first()
     if sizes is None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.support import chunks, raw_bytes
+from siteloom.llm.support import chunks, free_name, raw_bytes
 
 LONGEST, SLOT_BITS = 4, 15
 SLOTS = 1 << SLOT_BITS
@@ -134,4 +134,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "held_out boolean, lang_pred string, score double"])
-    return docs.select(*keep, held_out().alias("_held"), F.lower("text").alias("_lower"), letters.alias("_letters")).mapInArrow(run, schema)
+    added = [c.alias(free_name(docs, n)) for n, c in (("held", held_out()), ("lower", F.lower("text")), ("letters", letters))]
+    return docs.select(*[F.col(f"`{k}`") for k in keep], *added).mapInArrow(run, schema)

@@ -135,4 +135,5 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK) ->
     """
     taken = mixed_segments(spark, docs, block).groupBy("h").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.sum(F.when(F.col("slot").isNull(), F.col("size"))).alias("size"))
     times = cut_lineage(taken.where("size > 0").select("h", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0"))
-    return docs.withColumn("_h", row_hash()).join(times, F.col("_h") == F.col("h")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash().alias("h"))
+    return rows.join(times, "h").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
