@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siteloom.session import scratch_path
 
-LEAST, RANGE_BYTES = 1000, 8 << 20
+LEAST, RANGE_BYTES, MOST_TASKS = 1000, 8 << 20, 20_000
 URN = "urn:page:"
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
@@ -163,7 +163,7 @@ def read_warc(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES)
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    spread = ranges.repartition("path", "start")
+    spread = ranges.repartition(max(1, min(MOST_TASKS, ranges.count())), "path", "start")  # a range is far more work than its row's bytes tell
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
