@@ -11,6 +11,7 @@ from siteloom.plans import derived as V
 from siteloom.plans import duck as D
 from siteloom.plans import migrate_queries as MQ
 from siteloom.plans import model_queries as MO
+from siteloom.plans import status_fixture as SF
 from siteloom.plans.registry import query
 from siteloom.sources import tables as T
 
@@ -50,7 +51,7 @@ def _(spark, d):
     return T.table(spark, d, "events").select("event_id", L.format_duration(ms).alias("shown"))
 
 
-_ALLOWED = ", ".join(f"('{a}', '{b}')" for a, b in L.ALLOWED)
+_ALLOWED = ", ".join(f"('{a}', '{b}')" for a, b in SF.EDGE_ROWS)
 
 
 @query(
@@ -60,16 +61,19 @@ _ALLOWED = ", ".join(f"('{a}', '{b}')" for a, b in L.ALLOWED)
     covers="I2",
 )
 def _(spark, d):
-    return L.invalid_transitions(T.read_history(spark, d)).select("instance", "event_id", "from_stage", "to_stage")
+    return L.invalid_transitions(T.read_history(spark, d), SF.edges(spark)).select("instance", "event_id", "from_stage", "to_stage")
 
 
-# effects queued in the last week of the log are pending; every third is claimed a minute later
+# an effect is pending while its instance has no later completion of it; every third is claimed a minute later
 PENDING = f"""{D.HI}, pe AS (SELECT instance, effect, event_id, tm AS queued_at, CASE WHEN event_id % 3 = 0 THEN tm + INTERVAL 1 MINUTE END AS claimed_at
-  FROM hi WHERE kind = 'effectQueued' AND tm >= TIMESTAMP '2024-01-28')"""
+  FROM hi LEFT JOIN (SELECT instance, effect, max(tm) AS done FROM hi WHERE kind = 'effectCompleted' GROUP BY ALL) z USING (instance, effect)
+  WHERE kind = 'effectQueued' AND (done IS NULL OR tm > done))"""
 
 
 def pending(spark, d):
-    h = T.read_history(spark, d).filter("kind = 'effectQueued' and at >= timestamp '2024-01-28'")
+    log = T.read_history(spark, d)
+    done = log.filter("kind = 'effectCompleted'").groupBy("instance", "effect").agg(F.max("at").alias("done"))
+    h = log.filter("kind = 'effectQueued'").join(done, ["instance", "effect"], "left").filter("done is null or at > done")
     return h.select(
         "instance", "effect", "event_id", F.col("at").alias("queued_at"),
         F.when(F.col("event_id") % 3 == 0, F.col("at") + F.expr("INTERVAL 1 MINUTE")).alias("claimed_at"),
@@ -87,8 +91,7 @@ def _(spark, d):
     return L.effect_runs(T.read_history(spark, d), pending(spark, d))
 
 
-_CP = ", ".join(f"('{e}', {p}, '{t}')" for e, steps in L.CHECKPOINTS.items() for p, t in steps)
-_STEP = f"""cp(effect, at_percent, label) AS (VALUES {_CP}),
+_STEP = f"""cp(effect, at_percent, label) AS ({SF.values(SF.CHECKPOINT_ROWS)}),
 pr AS (SELECT event_id, user_id AS instance, {D.EFFECT}[(event_id % 6)::INT + 1] AS effect, (floor(value * 7)::BIGINT % 101)::INT AS percent FROM events)"""
 
 
@@ -106,7 +109,7 @@ def progress(spark, d):
     covers="I4",
 )
 def _(spark, d):
-    return L.step_labels(progress(spark, d)).select("event_id", "effect", "percent", "step")
+    return L.as_of_labels(progress(spark, d), SF.checkpoints(spark)).select("event_id", "effect", "percent", "step")
 
 
 @query(
@@ -148,44 +151,34 @@ def facts(spark, d):
     )
 
 
-def _map(table, key):
-    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
-
-
 _PCT = "greatest(0, least(100, floor(CASE WHEN progress > 0 AND progress <= 1 THEN progress * 100 ELSE progress END + 0.5)))::INT"
-_NEED = """concat_ws(' · ', CASE WHEN reviewing > 0 THEN reviewing || CASE WHEN reviewing = 1 THEN ' page' ELSE ' pages' END || ' to approve' END,
-   CASE WHEN human_open > 0 THEN human_open || CASE WHEN human_open = 1 THEN ' task' ELSE ' tasks' END || ' need you' END)"""
 
 
 @query(
     "stage_status",
-    f"""WITH {FACTS}, cp(ce, at_percent, label) AS (VALUES {_CP}), p AS (SELECT *, {_PCT} AS pct, coalesce(required_left, open_required, 0) AS req, {_NEED} AS need,
-      CASE WHEN claimed_at IS NOT NULL THEN claimed_at ELSE queued_at END AS since FROM fa),
+    f"""WITH {FACTS}, cp(ce, at_percent, label) AS ({SF.values(SF.CHECKPOINT_ROWS)}), st(sn, title) AS ({SF.values(SF.STAGE_ROWS)}), ef(en, lab) AS ({SF.values(SF.EFFECT_ROWS)}), wo(wc, text) AS ({SF.values(SF.WORDING_ROWS)}),
+    p AS (SELECT *, {_PCT} AS pct, coalesce(required_left, open_required, 0) AS req, coalesce(claimed_at, queued_at) AS since FROM fa),
     q AS (SELECT *, (SELECT arg_max(label, at_percent) FROM cp WHERE ce = effect AND at_percent <= pct) AS step,
-      CASE WHEN effect IS NOT NULL AND stage <> 'failed' THEN greatest(0, epoch_ms(now) - epoch_ms(since))::BIGINT END AS el FROM p)
-    SELECT instance, coalesce({_map(L.STAGE_TITLES, 'stage')}, 'Starting') AS title,
-      CASE WHEN stage IS NULL THEN 'waiting' WHEN stage = 'failed' THEN 'failed' WHEN effect IS NOT NULL THEN CASE WHEN claimed_at IS NULL THEN 'queued' ELSE 'working' END
-        WHEN stage = 'start' THEN 'needs-you' WHEN stage IN ('crawl', 'build') THEN 'waiting' WHEN stage = 'model' THEN CASE WHEN model_accepted THEN 'waiting' ELSE 'needs-you' END
-        WHEN stage = 'review' THEN CASE WHEN req > 0 THEN 'needs-you' ELSE 'waiting' END
-        WHEN stage = 'apply' THEN CASE WHEN pages = 0 THEN 'waiting' WHEN applying > 0 THEN 'working' WHEN need <> '' THEN 'needs-you' ELSE 'waiting' END
-        WHEN stage = 'publish' THEN CASE WHEN publish_failed THEN 'failed' ELSE 'needs-you' END ELSE 'done' END AS tone,
-      CASE WHEN stage IS NULL THEN 'Loading the site…' WHEN stage = 'failed' THEN coalesce('Failed during ' || lower(coalesce({_map(L.STAGE_TITLES, 'failed_from')}, failed_from)), 'The migration failed')
-        WHEN effect IS NOT NULL THEN CASE WHEN claimed_at IS NULL THEN {_map(L.EFFECT_LABELS, 'effect')} || ' is queued' ELSE step END
-        WHEN stage = 'start' THEN 'Confirm the URL and page cap, then begin the crawl' WHEN stage = 'crawl' THEN 'Finishing the crawl…' WHEN stage = 'build' THEN 'Built. Starting the tasks…'
-        WHEN stage = 'model' THEN CASE WHEN model_accepted THEN 'Model accepted. Moving on…' ELSE 'Review the proposed model, then accept it' END
-        WHEN stage = 'review' THEN CASE WHEN req > 0 THEN req || CASE WHEN req = 1 THEN ' required question' ELSE ' required questions' END || ' to answer' ELSE 'All required questions answered. Moving on to the build…' END
-        WHEN stage = 'apply' THEN CASE WHEN pages = 0 THEN 'Starting one run per page…' WHEN applying > 0 THEN 'Applying on ' || applying || CASE WHEN applying = 1 THEN ' page' ELSE ' pages' END
-          WHEN need <> '' THEN need ELSE 'Every page approved. Moving to publishing…' END
-        WHEN stage = 'publish' THEN CASE WHEN publish_failed THEN 'Publishing the release failed' ELSE 'Preview the release, then publish' END ELSE 'The new site is live.' END AS headline,
+      CASE WHEN effect IS NOT NULL AND stage <> 'failed' THEN greatest(0, epoch_ms(now) - epoch_ms(since))::BIGINT END AS el,
+      CASE WHEN stage IS NULL THEN 'unknown' WHEN stage = 'failed' THEN CASE WHEN failed_from IS NULL THEN 'failed' ELSE 'failed.during' END
+        WHEN effect IS NOT NULL THEN CASE WHEN claimed_at IS NULL THEN 'queued' ELSE 'running' END WHEN stage = 'start' THEN 'start.confirm' WHEN stage = 'crawl' THEN 'crawl.finishing'
+        WHEN stage = 'model' THEN CASE WHEN model_accepted THEN 'model.accepted' ELSE 'model.review' END WHEN stage = 'review' THEN CASE WHEN req > 0 THEN 'review.open' ELSE 'review.answered' END
+        WHEN stage = 'build' THEN 'build.done' WHEN stage = 'apply' THEN CASE WHEN pages = 0 THEN 'apply.none' WHEN applying > 0 THEN 'apply.working' WHEN reviewing > 0 AND human_open > 0 THEN 'apply.both'
+          WHEN reviewing > 0 THEN 'apply.approve' WHEN human_open > 0 THEN 'apply.tasks' ELSE 'apply.done' END
+        WHEN stage = 'publish' THEN CASE WHEN publish_failed THEN 'publish.failed' ELSE 'publish.ready' END ELSE 'live' END AS cs FROM p)
+    SELECT instance, st.title, cs AS "case", CASE WHEN cs IN ('failed', 'failed.during', 'publish.failed') THEN 'failed' WHEN cs = 'queued' THEN 'queued' WHEN cs IN ('running', 'apply.working') THEN 'working'
+        WHEN cs IN ('start.confirm', 'model.review', 'review.open', 'apply.both', 'apply.approve', 'apply.tasks', 'publish.ready') THEN 'needs-you' WHEN cs = 'live' THEN 'done' ELSE 'waiting' END AS tone,
+      replace(replace(text, '{{n}}', coalesce(CASE cs WHEN 'running' THEN pct WHEN 'review.open' THEN req WHEN 'apply.working' THEN applying WHEN 'apply.both' THEN reviewing + human_open WHEN 'apply.approve' THEN reviewing WHEN 'apply.tasks' THEN human_open END::VARCHAR, '')),
+        '{{name}}', coalesce(CASE cs WHEN 'failed.during' THEN coalesce(sf.title, failed_from) WHEN 'queued' THEN lab WHEN 'running' THEN step END, '')) AS headline,
       CASE WHEN stage = 'failed' OR stage IS NULL THEN NULL WHEN effect IS NOT NULL THEN CASE WHEN claimed_at IS NOT NULL THEN pct END
         WHEN stage = 'apply' AND pages > 0 AND applying > 0 THEN floor(100.0 * (pages - applying) / pages + 0.5)::INT END AS percent,
-      el AS elapsed_ms, CASE WHEN stage = 'failed' THEN 'Retry runs the stage that failed again.' WHEN claimed_at IS NULL AND el > 90000 THEN 'Not picked up yet.'
-        WHEN claimed_at IS NOT NULL AND el > 480000 THEN 'Taking longer than usual.' END AS hint,
-      CASE WHEN (stage = 'failed' OR (stage = 'publish' AND publish_failed)) AND (stage_entered_at IS NULL OR error_at >= stage_entered_at) THEN error_message END AS error FROM q""",
+      el AS elapsed_ms, CASE WHEN stage = 'failed' THEN NULL WHEN claimed_at IS NULL AND el > 90000 THEN 'unclaimed' WHEN claimed_at IS NOT NULL AND el > 480000 THEN 'slow' END AS late,
+      CASE WHEN (stage = 'failed' OR (stage = 'publish' AND publish_failed)) AND (stage_entered_at IS NULL OR error_at >= stage_entered_at) THEN error_message END AS error
+    FROM q LEFT JOIN st ON st.sn = stage LEFT JOIN st sf ON sf.sn = failed_from LEFT JOIN ef ON en = effect LEFT JOIN wo ON wc = cs""",
     covers="I5",
 )
 def _(spark, d):
-    return L.stage_status(facts(spark, d))
+    return L.stage_status(facts(spark, d), SF.stages(spark), SF.effects(spark), SF.checkpoints(spark), SF.wording(spark))
 
 
 def instance_rows(spark, d):
@@ -270,34 +263,33 @@ def _(spark, d):
 
 @query(
     "visited_screens",
-    f"""WITH {D.HI}, s AS (SELECT DISTINCT instance, CASE WHEN stage IN ('start', 'crawl') THEN 'extraction' WHEN stage IN ('build', 'apply') THEN 'tasks' WHEN stage IN ('publish', 'live') THEN 'publish'
-      WHEN stage IN ('model', 'review') THEN stage END AS screen FROM hi WHERE stage IS NOT NULL) SELECT * FROM s WHERE screen IS NOT NULL""",
+    f"""WITH {D.HI}, sc(stage, screen) AS ({SF.values(SF.SCREEN_ROWS)}) SELECT DISTINCT instance, screen FROM hi JOIN sc USING (stage)""",
     covers="I12",
 )
 def _(spark, d):
-    return L.visited_screens(T.read_history(spark, d))
+    return L.visited_screens(T.read_history(spark, d), SF.screens(spark))
 
 
 @query(
     "live_board",
-    f"""WITH {D.PG}, {D.HI}, s AS (SELECT site, min(page_id) AS created_at, count(*) AS pages FROM pg GROUP BY site),
+    f"""WITH {D.PG}, {D.HI}, st(stage, title) AS ({SF.values(SF.STAGE_ROWS)}), s AS (SELECT site, min(page_id) AS created_at, count(*) AS pages FROM pg GROUP BY site),
     l AS (SELECT instance, last(stage ORDER BY tm, event_id) AS stage FROM hi WHERE kind = 'stageEntered' GROUP BY instance),
-    b AS (SELECT site, created_at, CASE created_at % 4 WHEN 0 THEN 'haunted' WHEN 1 THEN 'alive' END AS status, CASE WHEN created_at % 3 = 0 THEN 'static' END AS platform, pages FROM s)
-    SELECT site, created_at, coalesce({_map(L.STAGE_TITLES, 'stage')}, status, 'start') AS shown, coalesce(status = 'haunted', false) AS overdue_badge, coalesce(platform, 'unknown') || ' · ' || pages || ' pages' AS subtitle
-    FROM b LEFT JOIN l ON l.instance = created_at ORDER BY created_at DESC, site LIMIT 24 OFFSET 24""",
+    b AS (SELECT site, created_at, CASE created_at % 4 WHEN 0 THEN 'overdue' WHEN 1 THEN 'alive' END AS status, CASE WHEN created_at % 3 = 0 THEN 'static' END AS platform, pages FROM s)
+    SELECT site, created_at, coalesce(title, status, 'start') AS shown, coalesce(status = 'overdue', false) AS overdue_badge, coalesce(platform, 'unknown') || ' · ' || pages || ' pages' AS subtitle
+    FROM b LEFT JOIN l ON l.instance = created_at LEFT JOIN st USING (stage)""",
     covers="I13",
 )
 def _(spark, d):
     pages = T.read_pages(spark, d)
     c = F.col("created_at")
     sites = pages.groupBy("site").agg(F.min("page_id").alias("created_at"), F.count("*").alias("pages")).withColumns(
-        {"status": F.when(c % 4 == 0, "haunted").when(c % 4 == 1, "alive"), "platform": F.when(c % 3 == 0, "static")}
+        {"status": F.when(c % 4 == 0, "overdue").when(c % 4 == 1, "alive"), "platform": F.when(c % 3 == 0, "static")}
     )
     entered = T.read_history(spark, d).filter("kind = 'stageEntered'")
     inst = entered.join(sites.select("site", F.col("created_at").alias("instance")), "instance").select(
         F.col("site").alias("subject"), "stage", F.struct("at", "event_id").alias("started_at")
     )
-    return L.live_board(sites, inst, page=1)
+    return L.live_board(sites, inst, SF.stages(spark))
 
 
 @query(
