@@ -6,7 +6,7 @@ Written independently of the Spark columns; where the supplied data cannot conta
 
 from __future__ import annotations
 
-from siteloom.plans.derived import RICH_TEXT
+from siteloom.plans.derived import RICH_HTML, RICH_TEXT
 
 
 def host(u: str) -> str:
@@ -203,9 +203,14 @@ HI = f"""hi AS (
   FROM events)"""
 
 
-# rich pages after extraction (derived.RICH_HTML): builder pages take title and sections from JSON
+# rich pages (derived.RICH_HTML) with hidden mail addresses shown, as extraction does
+SHOWN_HTML = f"""replace(replace({RICH_HTML},
+  '<a class="m" data-cfemail="4f262129200f3c263b2a612a372e223f232a">x</a>', 'info@site.example'),
+  '<a href="/cdn-cgi/l/email-protection#1063717c756350637964753e7568717d607c75">x</a><a href="/cdn-cgi/l/email-protection#1078757c7c7f50637964753e7568717d607c75">x</a>', 'sales@site.examplehello@site.example')"""
+RICH_PX = PX.replace("pg AS (", "pg0 AS (", 1).replace("px0 AS (", f"pg AS (SELECT site, page_id, url, path, http_status, {SHOWN_HTML} AS html FROM pg0),\npx0 AS (", 1)
+# after extraction: builder pages take title and sections from JSON
 RX = (
-    PX
+    RICH_PX
     + """,
 rx AS (
   SELECT site, page_id, url, path, http_status,
