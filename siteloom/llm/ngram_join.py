@@ -134,7 +134,7 @@ def _linked(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def _leaders(ids: np.ndarray, sketch: np.ndarray, edges: list) -> tuple[np.ndarray, np.ndarray]:
-    """Adds an edge from each member to every leader like it; returns the leaders' ids and sketches.
+    """Adds an edge from each member to a leader like it, and between leaders it has in common; returns the leaders' ids and sketches.
 
     Members come in trie order and meet the leaders so far in blocks; those like none become leaders.
     """
@@ -143,7 +143,10 @@ def _leaders(ids: np.ndarray, sketch: np.ndarray, edges: list) -> tuple[np.ndarr
         own, mine = ids[at : at + 256], sketch[at : at + 256]
         near = _linked(mine, lead_sketch)
         x, y = np.nonzero(near)
-        edges.append((own[x], lead[y]))
+        home = near.argmax(1)[x]  # one edge a member; leaders that share a member are linked once
+        edges.append((own[x[y == home]], lead[home[y == home]]))
+        shared = np.unique(np.stack([home, y], 1)[y != home], axis=0)
+        edges.append((lead[shared[:, 0]], lead[shared[:, 1]]))
         left = np.flatnonzero(~near.any(1))
         while len(left):  # the first that is left leads, those like it follow
             alike = _linked(mine[left], mine[left[:1]])[:, 0]
