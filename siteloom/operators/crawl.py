@@ -13,7 +13,6 @@ from siteloom.session import cut_lineage
 HTML_TYPES = ["text/html", "application/xhtml+xml"]
 XML_TYPES = ["application/xml", "text/xml", "application/rss+xml", "application/atom+xml"]
 SITEMAP_DEFAULTS = ["/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml", "/sitemap"]
-DEFAULT_PAGE_CAP = 10
 
 
 def fetch_kind(content_type: Column, url: Column, body: Column, status: Column) -> Column:
@@ -67,8 +66,8 @@ def sitemap_candidates(robots: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_urls(sitemaps: DataFrame, robots: DataFrame, cap: int, max_depth: int = 50) -> DataFrame:
-    """Distinct same-site canonical page URLs of a site's sitemaps, at most ``cap`` per site.
+def sitemap_urls(sitemaps: DataFrame, robots: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct same-site canonical page URLs of a site's sitemaps, at most ``cap`` per site where given.
 
     ``sitemaps``: stored documents (site, url, content_type, body). Index files are followed
     level by level; a level is checkpointed so the plan does not grow with the nesting.
@@ -84,23 +83,24 @@ def sitemap_urls(sitemaps: DataFrame, robots: DataFrame, cap: int, max_depth: in
     )
     level = sitemap_candidates(robots)
     seen = level.select("site", "sm_url")
-    visited = None
-    for depth in range(max_depth):
+    visited, depth = None, 0
+    while True:
         here = level.join(entries, ["site", "sm_url"]).withColumn("level", F.lit(depth))
         here = cut_lineage(
             here.withColumn("ord", F.concat("ord", F.lit("."), F.lpad(F.col("pos").cast("string"), 6, "0")))
         )
         visited = here if visited is None else visited.unionByName(here)
         nested = here.filter("is_index").groupBy("site", F.col("loc").alias("sm_url")).agg(F.min("ord").alias("ord"))
-        level = cut_lineage(nested.join(seen, ["site", "sm_url"], "left_anti"))
-        if level.isEmpty():
+        level, depth = cut_lineage(nested.join(seen, ["site", "sm_url"], "left_anti")), depth + 1
+        if level.isEmpty():  # every level visits new documents only, so this ends
             break
         seen = seen.unionByName(level.select("site", "sm_url"))
     found = visited.filter(~F.col("is_index")).join(robots.select("site", "origin").distinct(), "site")
     found = U.keep_valid(U.add_canonical(found, "loc", "origin", "url"), "url").filter(U.same_site("url", "origin"))
     first = found.groupBy("site", "url").agg(F.min(F.struct("level", "ord")).alias("o"))
     place = F.row_number().over(W.partitionBy("site").orderBy("o", "url"))
-    return first.withColumn("place", place).filter(F.col("place") <= cap).select("site", "url", "place")
+    placed = first.withColumn("place", place)
+    return (placed if cap is None else placed.filter(F.col("place") <= cap)).select("site", "url", "place")
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
@@ -157,7 +157,7 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> Data
 
 
 def crawl_order(
-    links: DataFrame, seeds: DataFrame, pages: DataFrame, cap: int | None = DEFAULT_PAGE_CAP, max_depth: int = 1000
+    links: DataFrame, seeds: DataFrame, pages: DataFrame, cap: int | None = None
 ) -> DataFrame:
     """Breadth-first discovery over a stored link table: site, url, depth (and place with a cap).
 
@@ -181,8 +181,9 @@ def crawl_order(
         F.min(F.struct(F.lit(0).alias("parent"), "pos")).alias("ord")
     )
     frontier = cut_lineage(ranked(start, 0, None))
-    seen = frontier
-    for depth in range(1, max_depth + 1):
+    seen, depth = frontier, 0
+    while True:
+        depth += 1
         out = frontier.select("site", F.col("url").alias("from_url"), F.coalesce("place", F.lit(0)).alias("parent")).join(
             links, ["site", "from_url"]
         )
@@ -193,10 +194,9 @@ def crawl_order(
             .join(seen.select("site", "url"), ["site", "url"], "left_anti")
         )
         frontier = cut_lineage(ranked(found, depth, seen))
-        if frontier.isEmpty():
-            break
+        if frontier.isEmpty():  # every level holds new pages only, so this ends
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -50,7 +50,6 @@ OPTIONS = {
 }
 NONE_OF_THESE = "None of these — I will clarify"
 THIN_WORDS = 60
-LISTED_VALUES = 20
 
 QUESTION_COLUMNS = [
     "site", "fingerprint", "finding", "key", "kind", "prompt", "options", "required", "source", "spawns_tasks", "rank", "pages",
@@ -115,31 +114,25 @@ def contradiction_values(entities: DataFrame) -> DataFrame:
     return level.join(kinds, ["site", "kind"]).select("site", "kind", "key", "label", "hits", "values")
 
 
-def contradictions(entities: DataFrame) -> DataFrame:
+def contradictions(entities: DataFrame, listed: int | None = None) -> DataFrame:
     """One required question per (site, kind) with conflicting site-level values.
 
-    The prompt names the 20 most used values and how many more there are; the whole list is
-    ``contradiction_values``.
+    Prompt and options hold every value, most used first; with ``listed`` the prompt names only that many
+    and how many more there are. ``contradiction_values`` has them as rows.
     """
     values = contradiction_values(entities)
-    rank = F.row_number().over(W.partitionBy("site", "kind").orderBy(F.desc("hits"), "label"))
-    listed = (
-        values.withColumn("r", rank).filter(F.col("r") <= LISTED_VALUES)
-        .groupBy("site", "kind")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda s: s["label"]).alias("labels"))
-    )
-    totals = values.groupBy("site", "kind").agg(
-        F.max("values").alias("values"), F.sum("hits").alias("pages"), X.set_digest(F.col("label")).alias("digest")
-    )
+    labels = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("hits")).alias("o"), "label"))), lambda s: s["label"])
+    totals = values.groupBy("site", "kind").agg(F.sum("hits").alias("pages"), X.set_digest(F.col("label")).alias("digest"), labels.alias("labels"))
+    named = F.col("labels") if listed is None else F.slice("labels", 1, listed)
     nouns = F.create_map(*[F.lit(v) for kv in CONTACT_KINDS.items() for v in kv])
-    quoted = F.array_join(F.transform("labels", lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", ")
-    more = F.col("values") - F.size("labels")
+    quoted = F.array_join(F.transform(named, lambda v: F.concat(F.lit('"'), v, F.lit('"'))), ", ")
+    more = F.size("labels") - F.size(named)
     prompt = F.concat(
         F.lit("This site lists different "), nouns[F.col("kind")], F.lit("s across pages: "), quoted,
         F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""),
         F.lit(". Which is correct?"),
     )
-    return totals.join(listed, ["site", "kind"]).select(
+    return totals.select(
         "site",
         X.fingerprint(F.lit("contradiction"), F.col("kind"), F.col("digest")).alias("fingerprint"),
         F.concat(F.lit("contradiction-"), F.col("kind")).alias("finding"),
@@ -155,13 +148,13 @@ def contradictions(entities: DataFrame) -> DataFrame:
     )
 
 
-def contradiction_evidence(entities: DataFrame) -> DataFrame:
-    """At most two pages per site-level value: site, finding, label, ord, page_id, url, excerpt."""
-    nth = F.row_number().over(W.partitionBy("site", "kind", "key").orderBy("page_id"))
-    two = _value_hits(entities).withColumn("ord", nth).filter("ord <= 2")
-    return two.join(contradiction_values(entities).select("site", "kind", "key", "label"), ["site", "kind", "key"]).select(
-        "site", F.concat(F.lit("contradiction-"), F.col("kind")).alias("finding"), "label", "ord", "page_id", "url",
-        F.col("raw").alias("excerpt"),
+def contradiction_evidence(entities: DataFrame, pages: int | None = None) -> DataFrame:
+    """The pages of every site-level value, or its first ``pages``: site, finding, label, page_id, url, excerpt."""
+    hits = _value_hits(entities)
+    if pages is not None:
+        hits = hits.withColumn("_n", F.row_number().over(W.partitionBy("site", "kind", "key").orderBy("page_id"))).filter(F.col("_n") <= pages)
+    return hits.join(contradiction_values(entities).select("site", "kind", "key", "label"), ["site", "kind", "key"]).select(
+        "site", F.concat(F.lit("contradiction-"), F.col("kind")).alias("finding"), "label", "page_id", "url", F.col("raw").alias("excerpt"),
     )
 
 
@@ -217,12 +210,10 @@ def signal_rows(signals: DataFrame) -> DataFrame:
     )
 
 
-def sample_rows(rows: DataFrame) -> DataFrame:
-    """First pages of each finding: 4 for boilerplate, 3 otherwise."""
+def sample_rows(rows: DataFrame, pages: int) -> DataFrame:
+    """First ``pages`` pages of each finding."""
     nth = F.row_number().over(W.partitionBy("site", "finding", "key").orderBy("page_id"))
-    return rows.withColumn("ord", nth).filter("ord <= 4").filter(
-        (F.col("ord") <= 3) | (F.col("finding") == "boilerplate")
-    )
+    return rows.withColumn("ord", nth).filter(F.col("ord") <= pages)
 
 
 def page_questions(rows: DataFrame) -> DataFrame:
@@ -237,7 +228,7 @@ def page_questions(rows: DataFrame) -> DataFrame:
         X.set_digest(F.col("page_id")).alias("digest"),
         F.min("path").alias("path"),
     )
-    samples = sample_rows(rows).filter("ord <= 3").groupBy("site", "finding", "key").agg(
+    samples = sample_rows(rows, 3).groupBy("site", "finding", "key").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda s: s["path"]), ", "
         ).alias("sample")
@@ -295,9 +286,10 @@ def collect_findings(signals: DataFrame, entities: DataFrame) -> DataFrame:
     return found.select(*QUESTION_COLUMNS, F.coalesce(seq[F.col("finding")], F.lit(1)).alias("seq"))
 
 
-def page_evidence(rows: DataFrame) -> DataFrame:
-    """Sampled evidence of page-level findings: site, finding, key, ord, page_id, url, excerpt."""
-    return sample_rows(rows).select("site", "finding", "key", "ord", "page_id", "url", "excerpt")
+def page_evidence(rows: DataFrame, pages: int | None = None) -> DataFrame:
+    """Evidence of page-level findings, all pages or the first ``pages`` of each: site, finding, key, page_id, url, excerpt."""
+    shown = rows if pages is None else sample_rows(rows, pages)
+    return shown.select("site", "finding", "key", "page_id", "url", "excerpt")
 
 
 def with_fingerprint(evidence: DataFrame, questions: DataFrame) -> DataFrame:
@@ -362,13 +354,14 @@ def first_per_fingerprint(questions: DataFrame) -> DataFrame:
     )
 
 
-def rank_questions(questions: DataFrame, evidence: DataFrame, cap: int = 15) -> DataFrame:
-    """Unique, not overlapping, required first, best score first; at most 15 per site."""
+def rank_questions(questions: DataFrame, evidence: DataFrame, cap: int | None = None) -> DataFrame:
+    """Unique, not overlapping, required first, best score first; at most ``cap`` per site where given."""
     unique = drop_overlapping(first_per_fingerprint(questions), evidence).withColumn("score", rank_score())
     place = F.row_number().over(
         W.partitionBy("site").orderBy(F.desc("required"), F.desc("score"), "fingerprint")
     )
-    return unique.withColumn("place", place).filter(F.col("place") <= cap)
+    placed = unique.withColumn("place", place)
+    return placed if cap is None else placed.filter(F.col("place") <= cap)
 
 
 def strip_doc_ids(prompt: Column) -> Column:

@@ -6,6 +6,7 @@ Written independently of the Spark columns; where the supplied data cannot conta
 
 from __future__ import annotations
 
+from siteloom.functions.text import ADDRESS, EMAIL, PHONE, PRICE
 from siteloom.plans.derived import RICH_HTML, RICH_TEXT
 
 
@@ -155,16 +156,6 @@ DP = """dp AS (
          CASE WHEN doc_id % 17 = 0 THEN 404 ELSE 200 END AS http_status, text, lang
   FROM documents)"""
 
-PHONE = (
-    r"(?:\+?(?:64|61|44)\s?[1-9][\d\s()-]{7,14}|\(0[2-9]\)\s?\d{3,4}\s?\d{3,4}|0[2-9]\d{7,9}|021[\s-]?\d{3}[\s-]?\d{4})"
-)
-EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-
-PRICE = r"(?:NZ\$|AU\$|£|\$)\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?"
-ADDRESS = (
-    r"\d{1,5}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+"
-    r"(?:Street|St|Road|Rd|Avenue|Ave|Drive|Dr|Lane|Ln|Way|Place|Pl)\b[^.\n]{0,40}"
-)
 # rich documents (derived.RICH_TEXT) and their entity values
 RD = DP.replace(", text, lang", f", {RICH_TEXT} AS text, lang")
 

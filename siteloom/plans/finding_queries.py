@@ -73,8 +73,7 @@ def _(spark, d):
 
 @query(
     "contradiction_evidence",
-    f"""WITH {VALUES}, e AS (SELECT *, row_number() OVER (PARTITION BY site, kind, key ORDER BY page_id)::INT AS ord FROM h QUALIFY ord <= 2)
-    SELECT site, 'contradiction-' || kind AS finding, label, ord, page_id, url, raw AS excerpt FROM e JOIN cv USING (site, kind, key)""",
+    f"""WITH {VALUES} SELECT site, 'contradiction-' || kind AS finding, label, page_id, url, raw AS excerpt FROM h JOIN cv USING (site, kind, key)""",
     covers="F1 F8",
 )
 def _(spark, d):
@@ -99,8 +98,7 @@ sr AS (
   UNION ALL SELECT site, 'missing-alt', '', * EXCLUDE (site, excerpt), excerpt FROM sf WHERE http_status < 400 AND bad_images > 0
   UNION ALL SELECT site, 'thin', path, * EXCLUDE (site, excerpt), excerpt FROM sf WHERE http_status < 400 AND words BETWEEN 1 AND 59),
 sm AS (SELECT site, finding, key, page_id, path, url, excerpt,
-         row_number() OVER (PARTITION BY site, finding, key ORDER BY page_id)::INT AS ord FROM sr
-       QUALIFY ord <= CASE WHEN finding = 'boilerplate' THEN 4 ELSE 3 END),
+         row_number() OVER (PARTITION BY site, finding, key ORDER BY page_id)::INT AS ord FROM sr),
 st AS (SELECT site, finding, key, count(*) AS pages, sum(bad_images)::BIGINT AS images, max(words) AS words, max(http_status) AS status,
          string_agg(DISTINCT phrase, chr(0) ORDER BY phrase) AS ph0,
          string_agg(DISTINCT '"' || phrase || '"', ', ' ORDER BY '"' || phrase || '"') AS phq,
@@ -155,7 +153,7 @@ def _(spark, d):
     return shown(findings(spark, d))
 
 
-@query("finding_evidence", f"WITH {SIG} SELECT site, finding, key, ord, page_id, url, excerpt FROM sm", covers="F5 F6 F8")
+@query("finding_evidence", f"WITH {SIG} SELECT site, finding, key, page_id, url, excerpt FROM sm", covers="F5 F6 F8")
 def _(spark, d):
     return Q.page_evidence(Q.signal_rows(rich_signals(spark, d)))
 
@@ -246,7 +244,7 @@ def _(spark, d):
 @query(
     "ranked_questions",
     f"""WITH {REVIEW} SELECT site, fingerprint, score::INT AS score,
-      row_number() OVER (PARTITION BY site ORDER BY required DESC, score DESC, fingerprint)::INT AS place FROM kp QUALIFY place <= 15""",
+      row_number() OVER (PARTITION BY site ORDER BY required DESC, score DESC, fingerprint)::INT AS place FROM kp""",
     covers="F11",
 )
 def _(spark, d):

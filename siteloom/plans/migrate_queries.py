@@ -119,7 +119,7 @@ def answered_questions(spark, d):
     rows = stored(Q.signal_rows(rich_signals(spark, d)), "signals")
     order = F.create_map(*[F.lit(v) for i, f in enumerate(["boilerplate", "http-error", "missing-meta", "missing-alt", "thin"]) for v in (f, i + 2)])
     found = stored(V.answered(Q.page_questions(rows).withColumn("seq", order[F.col("finding")])), "questions")
-    ev = Q.with_fingerprint(Q.page_evidence(rows), found).select("site", "fingerprint", "page_id", "url", "ord")
+    ev = Q.with_fingerprint(Q.page_evidence(rows), found).select("site", "fingerprint", "page_id", "url")
     return found, stored(ev, "evidence")
 
 

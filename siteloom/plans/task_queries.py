@@ -33,8 +33,7 @@ ASKED = f"""{MQ.TARGETS}, {FQ.contradictions_sql(FQ.values_sql(PAGE_ENT))},
 a0 AS (SELECT * FROM cq UNION ALL BY NAME SELECT * FROM pq),
 a1 AS (SELECT *, ('0x' || substr(fingerprint, 1, 1))::BIGINT AS g, string_split(options, '|') AS opts FROM a0),
 aa AS (SELECT *, CASE WHEN g < 12 THEN opts[(g // 4 + 1)::INT] END AS answer, CASE WHEN g % 2 = 0 THEN 'as agreed on the phone' END AS answer_note FROM a1),
-ce AS (SELECT h.site, 'contradiction-' || h.kind AS finding, '' AS key, page_id, url FROM h JOIN cv USING (site, kind, key)
-       QUALIFY row_number() OVER (PARTITION BY h.site, h.kind, h.key ORDER BY page_id) <= 2),
+ce AS (SELECT h.site, 'contradiction-' || h.kind AS finding, '' AS key, page_id, url FROM h JOIN cv USING (site, kind, key)),
 ae AS (SELECT a0.site, a0.fingerprint, x.page_id, x.url FROM a0 JOIN
         (SELECT site, finding, key, page_id, url FROM sm UNION ALL SELECT * FROM ce) x USING (site, finding, key)),
 ap2 AS (SELECT aa.*, coalesce(n, 0) AS evidence_pages FROM aa LEFT JOIN

@@ -42,7 +42,10 @@ def test_many_values_are_all_kept(spark):
     rows = [(2 * i + j, f"/p/{2 * i + j}", "emails", f"m{i:02d}@x.co") for i in range(30) for j in range(2)]
     df = ents(spark, *rows)
     assert Q.contradiction_values(df).count() == 30
-    assert " and 10 more." in Q.contradictions(df).first().prompt
+    q = Q.contradictions(df).first()
+    assert len(q.options) == 31 and all(f'"m{i:02d}@x.co"' in q.prompt for i in range(30))
+    short = Q.contradictions(df, listed=20).first()
+    assert " and 10 more." in short.prompt and short.options == q.options
 
 
 def signals(spark, *rows):

@@ -83,6 +83,7 @@ def test_crawl_order_equals_a_queue(spark):
         spark.createDataFrame(links, "site string, from_url string, to_url string, pos int"),
         spark.createDataFrame([("s", "u0", 0)], "site string, url string, pos int"),
         spark.createDataFrame([("s", u) for u in urls], "site string, url string"),
+        cap=10,
     )
     assert [r.url for r in got.orderBy("place").collect()] == order
 
