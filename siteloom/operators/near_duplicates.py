@@ -1,22 +1,20 @@
-"""Near-identical pages of a site, without comparing all pairs.
+"""Near-identical pages of a site, exactly and without comparing all pairs.
 
-Word shingles → MinHash bands → buckets. Every member of a bucket is compared (exact Jaccard)
-with the bucket's first page; members that match leave with it, the others meet the next
-leader. That makes the work linear for a third of all pages being near copies of one text.
-Pages still together after the leader rounds are compared with each other, so no candidate
-is skipped.
+Prefix filter: with the shingles of a page in order of rarity in the site, two pages at or above the
+threshold share one of their first n - ceil(threshold * n) + 1. Pages first meet only the smallest page
+of each such shingle; near copies of one text all match it there, and a page needs the other holders
+of a shingle only if they could be earlier than what it has already matched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import collapse
 from siteloom.session import cut_lineage
 
-BANDS, ROWS_PER_BAND, LEADER_ROUNDS = 12, 4, 2
-
 
 def shingles(words: str, size: int = 3) -> Column:
     """Distinct hashes of the n-grams of a word-array column; shorter texts are one shingle.
@@ -29,67 +27,48 @@ def shingles(words: str, size: int = 3) -> Column:
     )
 
 
-def _salt(i: int) -> int:
-    """Fixed odd-spread 63-bit constants for the hash family."""
-    return (0x9E3779B97F4A7C15 * (i + 1)) % (1 << 63)
-
-
-def band_keys(sh: Column) -> Column:
-    """One key per band: the combined minima of its hash functions."""
-    def minimum(i: int) -> Column:
-        return F.array_min(F.transform(sh, lambda s: F.xxhash64(s.bitwiseXOR(F.lit(_salt(i)).cast("long")))))
-
-    bands = [
-        F.xxhash64(F.lit(b), *[minimum(b * ROWS_PER_BAND + r) for r in range(ROWS_PER_BAND)]) for b in range(BANDS)
-    ]
-    return F.array(*bands)
-
-
 def jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common / (F.size(a) + F.size(b) - common)
 
 
 def near_duplicate_pages(texts: DataFrame, threshold: float = 0.8, size: int = 3) -> DataFrame:
-    """(site, page_id, dup_of, similarity): each page with the earlier page it repeats.
+    """(site, page_id, dup_of, similarity): each page with the earliest page at or above the threshold.
 
     ``texts``: site, page_id, text. Equal texts fold first by a plain group-by and link to their
-    smallest page with similarity 1; the leader rounds see distinct texts only.
+    smallest page with similarity 1; the rest sees distinct texts only. Pages without words link with nothing.
     """
     norm = texts.select("site", "page_id", F.lower(collapse("text")).alias("t")).filter("t <> ''")
     keyed = norm.withColumn("h", F.sha2("t", 256))
     first = keyed.groupBy("site", "h").agg(F.min("page_id").alias("first"))
-    copies = (
-        keyed.select("site", "page_id", "h").join(first, ["site", "h"]).filter(F.col("page_id") != F.col("first"))
-        .select("site", "page_id", F.col("first").alias("dup_of"), F.lit(1.0).alias("similarity"))
-    )
     distinct = keyed.join(first.select("site", F.col("first").alias("page_id")), ["site", "page_id"], "left_semi")
-    words = cut_lineage(distinct.select("site", "page_id", F.split("t", " ").alias("words")))
-    sets = cut_lineage(words.select("site", "page_id", shingles("words", size).alias("sh")))
-    members = cut_lineage(sets.select("site", "page_id", F.explode(band_keys(F.col("sh"))).alias("bucket")))
+    words = cut_lineage(distinct.select("site", "page_id", "h", F.split("t", " ").alias("words")))
+    sets = cut_lineage(words.select("site", "page_id", "h", shingles("words", size).alias("sh")))
+    rows = sets.select("site", "page_id", F.size("sh").alias("n"), F.explode("sh").alias("s"))
+    often = rows.groupBy("site", "s").agg(F.count("*").alias("df"))
+    order = W.partitionBy("site", "page_id").orderBy("df", "s")
+    prefix = rows.join(often, ["site", "s"]).withColumn("nth", F.row_number().over(order))
+    prefix = cut_lineage(prefix.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1").select("site", "page_id", "n", "s"))
+    # the smallest page that has the shingle in its prefix
+    heads = prefix.groupBy("site", "s").agg(F.min("page_id").alias("head"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    meets = cut_lineage(prefix.join(heads, ["site", "s"]))
     left = sets.select("site", "page_id", F.col("sh").alias("a"))
-    right = sets.select("site", F.col("page_id").alias("leader"), F.col("sh").alias("b"))
+    right = sets.select("site", F.col("page_id").alias("dup_of"), F.col("sh").alias("b"))
 
     def matched(pairs: DataFrame) -> DataFrame:
-        scored = (
-            pairs.select("site", "page_id", "leader").distinct()
-            .join(left, ["site", "page_id"]).join(right, ["site", "leader"])
-            .withColumn("similarity", jaccard(F.col("a"), F.col("b")))
-            .filter(F.col("similarity") >= threshold)
-        )
-        return cut_lineage(
-            scored.groupBy("site", "page_id").agg(F.min(F.struct(F.col("leader").alias("dup_of"), "similarity")).alias("m"))
-            .select("site", "page_id", "m.*")
-        )
-
-    found = copies
-    for _ in range(LEADER_ROUNDS):
-        leaders = members.groupBy("site", "bucket").agg(F.min("page_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-        rest = members.join(leaders.drop("n"), ["site", "bucket"]).filter("page_id <> leader")
-        hits = matched(rest)
-        found = found.unionByName(hits)
-        members = cut_lineage(rest.drop("leader").join(hits.select("site", "page_id"), ["site", "page_id"], "left_anti"))
-    # what is left shares a bucket by chance only: near copies have gone with their leaders
-    other = members.select("site", "bucket", F.col("page_id").alias("leader"))
-    chance = members.join(other, ["site", "bucket"]).filter("leader < page_id")
-    return found.unionByName(matched(chance)).select("site", "page_id", "dup_of", F.round("similarity", 6).alias("similarity"))
+        scored = pairs.distinct().join(left, ["site", "page_id"]).join(right, ["site", "dup_of"]).withColumn("similarity", jaccard(F.col("a"), F.col("b")))
+        close = scored.filter(F.col("similarity") >= threshold - 1e-12)
+        return cut_lineage(close.groupBy("site", "page_id").agg(F.min(F.struct("dup_of", "similarity")).alias("m")).select("site", "page_id", "m.*"))
+
+    by_head = matched(meets.filter("page_id > head").select("site", "page_id", F.col("head").alias("dup_of")))
+    x = meets.join(by_head.select("site", "page_id", F.col("dup_of").alias("best")), ["site", "page_id"], "left").filter("best is null or best > head")
+    y = meets.filter("page_id > head").select("site", "s", F.col("page_id").alias("dup_of"), F.col("n").alias("k"))
+    fits = (F.col("dup_of") < F.col("page_id")) & (F.col("best").isNull() | (F.col("dup_of") < F.col("best"))) & (F.col("k") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("k") * threshold - 1e-9)
+    rest = matched(x.join(y, ["site", "s"]).filter(fits).select("site", "page_id", "dup_of"))
+    # of a folded text the first page stands for all, and its copies may have an earlier near copy too
+    found = by_head.unionByName(rest).groupBy("site", "page_id").agg(F.min(F.struct("dup_of", "similarity")).alias("m")).select("site", F.col("page_id").alias("first"), "m.*")
+    pages = keyed.select("site", "page_id", "h").join(first, ["site", "h"]).join(found, ["site", "first"], "left")
+    own = F.when(F.col("page_id") > F.col("first"), F.struct(F.col("first").alias("dup_of"), F.lit(1.0).alias("similarity")))
+    near = F.when(F.col("dup_of").isNotNull(), F.struct("dup_of", "similarity"))
+    pages = pages.select("site", "page_id", F.least(own, near).alias("m")).filter("m is not null")
+    return pages.select("site", "page_id", "m.dup_of", F.round("m.similarity", 6).alias("similarity"))

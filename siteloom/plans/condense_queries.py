@@ -203,7 +203,16 @@ def _(spark, d):
     return C.page_status_labels(pages, pages.filter(F.col("site").like("%.example.com")).select("site"))
 
 
-@query("near_duplicate_pages", covers="D13")
+@query(
+    "near_duplicate_pages",
+    f"""WITH {D.DP}, t0 AS (SELECT site, page_id, string_split(lower({D.squash('text')}), ' ') AS w FROM dp WHERE {D.squash('text')} <> ''),
+    sh AS (SELECT DISTINCT site, page_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM t0),
+    nn AS (SELECT site, page_id, count(*) AS n FROM sh GROUP BY ALL),
+    cc AS (SELECT a.site, a.page_id, b.page_id AS dup_of, count(*) AS c FROM sh a JOIN sh b ON a.site = b.site AND a.s = b.s AND b.page_id < a.page_id GROUP BY ALL),
+    jj AS (SELECT cc.site, cc.page_id, dup_of, c / (x.n + y.n - c) AS j FROM cc JOIN nn x ON x.site = cc.site AND x.page_id = cc.page_id JOIN nn y ON y.site = cc.site AND y.page_id = cc.dup_of)
+    SELECT site, page_id, min(dup_of) AS dup_of, round(arg_min(j, dup_of), 6) AS similarity FROM jj WHERE j >= 0.7 - 1e-12 GROUP BY ALL""",
+    covers="D13",
+)
 def _(spark, d):
     from siteloom.operators.near_duplicates import near_duplicate_pages
 
