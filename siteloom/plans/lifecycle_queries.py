@@ -388,7 +388,14 @@ def _(spark, d):
     return L.display_rows(docs, values, fields)
 
 
-@query("collection_cards", covers="I18")
+@query(
+    "collection_cards",
+    f"""WITH {_VAL}, aa AS (SELECT site, type, doc_id, arg_min(value, ord) FILTER (field_type = 'string' AND regexp_matches(lower(field_name), '^(title|name|heading|label)$')) AS t,
+      arg_min(value, ord) FILTER (field_type IN ('text', 'portableText')) AS summary, arg_min(value, ord) FILTER (regexp_matches(lower(field_name), 'price|cost')) AS p FROM vv GROUP BY ALL)
+    SELECT site, type, doc_id, coalesce(nullif(t, ''), doc_id) AS title, CASE WHEN try_cast(p AS DOUBLE) IS NOT NULL THEN format('{{:,.2f}}', p::DOUBLE) ELSE p END AS price, summary,
+      '/' || lower(regexp_replace(type, '([a-z0-9])([A-Z])', '\\1-\\2', 'g')) || '/' || substr(doc_id, length(type) + 2) AS href FROM aa""",
+    covers="I18",
+)
 def _(spark, d):
     docs, values, fields = published_values(spark, d)
     colls = docs.select("site", "type").distinct().withColumn("route", U.kebab("type"))
