@@ -13,7 +13,6 @@ from siteloom.functions import text as X
 from siteloom.functions import urls as U
 from siteloom.operators.extract import corpus
 
-SECTION_CAP = 600
 SITE_BUDGET = 240_000
 MIN_SECTION = 40
 
@@ -50,23 +49,18 @@ def block_rows(texts: DataFrame, text_col: str = "text", low: int = 40, high: in
     )
 
 
-def chrome_blocks(texts: DataFrame, ratio: float = 0.7, top: int = 20, text_col: str = "text") -> DataFrame:
-    """Blocks found on at least ceil(ratio·n) of a site's n ≥ 3 pages, the 20 most common.
+def chrome_blocks(texts: DataFrame, ratio: float = 0.7, top: int | None = None, text_col: str = "text") -> DataFrame:
+    """Blocks found on at least ceil(ratio·n) of a site's n ≥ 3 pages, or the ``top`` most common of them.
 
     ``rank`` orders by page count, then block. Counting is keyed by (site, block), so one
-    large site spreads over all tasks; the top-20 filter is pushed below its shuffle.
+    large site spreads over all tasks; a top filter is pushed below its shuffle.
     """
     sizes = texts.groupBy("site").agg(F.countDistinct("page_id").alias("site_pages")).filter("site_pages >= 3")
     counts = block_rows(texts, text_col).groupBy("site", "block").agg(F.count("*").alias("pages"))
     enough = F.col("pages") >= F.ceil(F.col("site_pages") * F.lit(ratio))
     rank = F.row_number().over(W.partitionBy("site").orderBy(F.desc("pages"), "block"))
-    return (
-        counts.join(sizes, "site")
-        .filter(enough)
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= top)
-        .select("site", "block", "pages", "rank")
-    )
+    ranked = counts.join(sizes, "site").filter(enough).withColumn("rank", rank)
+    return (ranked if top is None else ranked.filter(F.col("rank") <= top)).select("site", "block", "pages", "rank")
 
 
 def _splice_first(text: Column, block: Column) -> Column:
@@ -77,16 +71,17 @@ def _splice_first(text: Column, block: Column) -> Column:
     return F.when(at > 0, X.collapse(cut)).otherwise(text)
 
 
-def strip_chrome(sections: DataFrame, chrome: DataFrame, cap: int = SECTION_CAP) -> DataFrame:
-    """Collapse, cap at 600 characters, remove the first use of every chrome block, drop empties.
+def strip_chrome(sections: DataFrame, chrome: DataFrame, cap: int | None = None) -> DataFrame:
+    """Collapse, remove the first use of every chrome block, drop empties; cut first where ``cap`` is given.
 
-    ``sections``: (site, page_id, ord, kind, text). A site has at most 20 blocks (the top-k of
-    ``chrome_blocks``), so its block list is one small array per site.
+    ``sections``: (site, page_id, ord, kind, text). A block is on a fixed
+    share of a site's pages, so at most 1 / share times the blocks of one page make up its list.
     """
     lists = chrome.groupBy("site").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda s: s["block"]).alias("_blocks")
     )
-    short = sections.withColumn("text", F.substring(X.collapse("text"), 1, cap)).filter("text <> ''")
+    text = X.collapse("text") if cap is None else F.substring(X.collapse("text"), 1, cap)
+    short = sections.withColumn("text", text).filter("text <> ''")
     cleaned = short.join(lists, "site", "left").withColumn(
         "text",
         F.when(F.col("_blocks").isNull(), F.col("text")).otherwise(F.aggregate("_blocks", F.col("text"), _splice_first)),

@@ -38,9 +38,8 @@ BUILDER_JSON = (
     "fonts:struct<head:struct<family:string>,body:struct<family:string>>,"
     "Business:struct<name:string>>>>"
 )
-# Keys removed from stored builder JSON; stored HTML limit in bytes.
+# Keys removed from stored builder JSON.
 PRIVATE_KEYS = ["ipAddress", "captchaKey", "apiUrl"]
-MAX_STORED_BYTES = 500 * 1024
 
 # Platform marks in HTML.
 PLATFORM_MARKS = {
@@ -89,7 +88,7 @@ def _builder_sections(data: Column) -> Column:
                     "\n",
                     F.nullif(b["headline"], F.lit("")),
                     F.nullif(b["content"], F.lit("")),
-                    F.substring(b["items"], 1, 2000),
+                    b["items"],
                 )
             ).alias("text"),
         ),
@@ -227,13 +226,13 @@ def page_headings(records: DataFrame) -> DataFrame:
     return records.select("site", "page_id", F.posexplode("headings").alias("ord", "heading"))
 
 
-def page_section_rows(records: DataFrame, max_sections: int = 40, max_chars: int = 4000) -> DataFrame:
-    """Stored section rows: the first 40 of a page, text up to 4000 characters."""
+def page_section_rows(records: DataFrame, max_sections: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Section rows with their whole text; the first sections or characters only where limits are given."""
     rows = records.select("site", "page_id", F.posexplode("sections").alias("ord", "s"))
-    return rows.filter(F.col("ord") < max_sections).select(
-        "site", "page_id", "ord", "s.kind", F.substring("s.text", 1, max_chars).alias("text"),
-        F.length("s.text").cast("long").alias("full_chars"),
-    )
+    if max_sections is not None:
+        rows = rows.filter(F.col("ord") < max_sections)
+    text = F.col("s.text") if max_chars is None else F.substring("s.text", 1, max_chars)
+    return rows.select("site", "page_id", "ord", "s.kind", text.alias("text"), F.length("s.text").cast("long").alias("full_chars"))
 
 
 def content_hashes(records: DataFrame) -> DataFrame:
@@ -316,7 +315,7 @@ def embedded_blocks(pages: DataFrame) -> DataFrame:
     with_json = pages.filter(F.instr("html", "__NEXT_DATA__") > 0)
     rows = with_json.select("site", "page_id", _builder_sections(builder_data(F.col("html"))).alias("s"))
     return rows.select("site", "page_id", F.posexplode("s").alias("ord", "b")).select(
-        "site", "page_id", "ord", "b.kind", F.substring("b.text", 1, 4000).alias("text")
+        "site", "page_id", "ord", "b.kind", "b.text"
     )
 
 
@@ -362,8 +361,10 @@ def _scrub_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(clean)
 
 
-def sanitise_html(pages: DataFrame, max_bytes: int = MAX_STORED_BYTES) -> DataFrame:
-    """HTML fit for storing: private keys leave the builder JSON, the size is capped with a marker.
+def sanitise_html(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """HTML fit for storing: private keys leave the builder JSON.
+
+    With ``max_bytes`` longer pages are cut to at most that many bytes of UTF-8, behind a marker.
 
     Only the JSON text travels to Python; pages without it pass a null.
     """
@@ -379,14 +380,12 @@ def sanitise_html(pages: DataFrame, max_bytes: int = MAX_STORED_BYTES) -> DataFr
     whole = F.when(
         F.col("_head") != "", F.concat("_head", F.coalesce("_clean", F.lit("{}")), "_tail")
     ).otherwise(F.col("html"))
-    size = F.octet_length("_whole")
-    capped = F.when(
-        size > max_bytes,
-        F.concat(
-            F.lit("<!-- truncated: "), size.cast("string"), F.lit(f" bytes → cap {max_bytes} -->\n"),
-            F.substring("_whole", 1, max_bytes),
-        ),
-    ).otherwise(F.col("_whole"))
+    capped = F.col("_whole")
+    if max_bytes is not None:
+        size = F.octet_length("_whole")
+        # a cut inside a character leaves bytes that decode to one replacement sign
+        kept = F.rtrim(F.decode(F.substring(F.encode("_whole", "UTF-8"), 1, max_bytes), "UTF-8"), F.lit("\ufffd"))
+        capped = F.when(size > max_bytes, F.concat(F.lit("<!-- truncated: "), size.cast("string"), F.lit(f" bytes → cap {max_bytes} -->\n"), kept)).otherwise(F.col("_whole"))
     return parts.withColumn("_whole", whole).select("site", "page_id", capped.alias("html"))
 
 

@@ -30,7 +30,6 @@ ANSWER_RULES = {
     "keep": r"(?i)\b(keep|authentic|real|intentional)\b",
 }
 TITLE_SEPARATOR = r"\s+[|–—-]\s+"
-MAX_SITE_IMAGES = 60
 
 
 def site_names(pages: DataFrame) -> DataFrame:
@@ -294,7 +293,7 @@ def fill_fields(docs: DataFrame, fields: DataFrame, summaries: DataFrame) -> Dat
     )
     name = F.lower("field_name")
     summary = F.substring(F.array_join(F.slice("paragraphs", 1, 2), " "), 1, 500)
-    body = F.array_join(F.slice("paragraphs", 1, 20), "\n\n")
+    body = F.array_join("paragraphs", "\n\n")
     text = (
         F.when(name.rlike("^(title|name|heading|label)$"), F.col("title"))
         .when(name.rlike("price|cost"), F.col("price"))
@@ -316,7 +315,7 @@ def fill_fields(docs: DataFrame, fields: DataFrame, summaries: DataFrame) -> Dat
         .when((kind == "url") & name.rlike("url|link|website"), F.col("url"))
         .when(kind == "image", F.get("images", F.lit(0)))
         .when(kind == "portableText", body)
-        .when((kind == "array") & F.array_contains(of, "image"), F.array_join(F.slice("images", 1, 12), "|"))
+        .when((kind == "array") & F.array_contains(of, "image"), F.array_join("images", "|"))
         .when((kind == "array") & F.array_contains(of, "block"), body)
     )
     return wide.select("site", "doc_id", "field_name", F.nullif(value, F.lit("")).alias("value")).filter(
@@ -343,11 +342,12 @@ def page_summaries(titles: DataFrame, atoms: DataFrame, texts: DataFrame) -> Dat
     ).join(ents, ["site", "page_id"], "left")
 
 
-def image_sources(uses: DataFrame, cap: int = MAX_SITE_IMAGES) -> DataFrame:
-    """Distinct image URLs the documents of a site use, first 60 in document order."""
+def image_sources(uses: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct image URLs the documents of a site use, in document order; the first ``cap`` where given."""
     first = uses.groupBy("site", "src").agg(F.min(F.struct("doc_id", "ord")).alias("at"))
     nth = F.row_number().over(W.partitionBy("site").orderBy("at", "src"))
-    return first.withColumn("n", nth).filter(F.col("n") <= cap).select("site", "src", "n")
+    placed = first.withColumn("n", nth)
+    return (placed if cap is None else placed.filter(F.col("n") <= cap)).select("site", "src", "n")
 
 
 def resolve_images(uses: DataFrame, assets: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ BLOCKS = f"""{D.DP}, bl AS (
 sz AS (SELECT site, count(DISTINCT page_id) AS n FROM dp GROUP BY site HAVING count(DISTINCT page_id) >= 3),
 bc AS (SELECT site, block, count(*) AS pages FROM bl GROUP BY ALL),
 ch AS (SELECT site, block, pages, row_number() OVER (PARTITION BY site ORDER BY pages DESC, block)::INT AS rank
-       FROM bc JOIN sz USING (site) WHERE pages >= ceil(n * 0.05) QUALIFY rank <= 20)"""
+       FROM bc JOIN sz USING (site) WHERE pages >= ceil(n * 0.05))"""
 
 
 @query("chrome_blocks", f"WITH {BLOCKS} SELECT site, block, pages, rank FROM ch", covers="D3")
@@ -65,7 +65,7 @@ def _splice(t, b):
 @query(
     "stripped_sections",
     f"""WITH {BLOCKS}, ls AS (SELECT site, list(block ORDER BY rank) AS blocks FROM ch GROUP BY site),
-    s AS (SELECT site, page_id, substr({D.squash('text')}, 1, 600) AS t FROM dp),
+    s AS (SELECT site, page_id, {D.squash('text')} AS t FROM dp),
     j AS (SELECT s.site, page_id, t, coalesce(blocks, []) AS blocks FROM s LEFT JOIN ls USING (site) WHERE t <> ''),
     r AS (SELECT site, page_id, list_reduce(list_prepend(t, blocks), lambda a, b: {_splice('a', 'b')}) AS text FROM j)
     SELECT site, page_id, text FROM r WHERE text <> ''""",

@@ -372,13 +372,13 @@ def _(spark, d):
     f"""WITH {RICH}, l AS (SELECT site, page_id, lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || {D.host('url')} || '/img/' || (page_id % 9) || '.jpg' AS src FROM pg),
     f AS (SELECT site, src, min(page_id) AS page_id FROM l GROUP BY ALL)
     SELECT site, row_number() OVER (PARTITION BY site ORDER BY page_id, src)::INT AS n, 'image-' || substr(sha1(src), 1, 12) AS asset_id
-    FROM f QUALIFY n <= 3 AND page_id % 9 <> 4""",
+    FROM f QUALIFY page_id % 9 <> 4""",
     covers="G19",
 )
 def _(spark, d):
     atoms = E.page_atoms(V.rich_pages(spark, d)).filter("type = 'image'")
     uses = atoms.select("site", F.col("page_id").alias("doc_id"), "ord", "src")
-    listed = M.image_sources(uses, cap=3)
+    listed = M.image_sources(uses)
     assets = listed.filter(~F.col("src").endswith("/4.jpg")).select(
         "site", "src", F.concat(F.lit("image-"), F.substring(F.sha1("src"), 1, 12)).alias("asset_id")
     )

@@ -115,7 +115,7 @@ def test_no_cross_joins(spark, folder, name):
 def test_scans_are_pruned_and_top_k_is_limited_early(spark, folder):
     text = plan(T.read_pages(spark, folder).select("site", "page_id"))
     assert "html" not in text.split("ReadSchema")[1]
-    assert "WindowGroupLimit" in plan(C.chrome_blocks(T.read_document_pages(spark, folder)))
+    assert "WindowGroupLimit" in plan(C.chrome_blocks(T.read_document_pages(spark, folder), top=20))
 
 
 def test_columns_only_work_stays_out_of_python(spark, folder):
