@@ -30,7 +30,8 @@ def test_competing_phones_are_one(spark):
     assert q.prompt == 'This site lists different phone numbers across pages: "032601566", "(03) 111 2222". Which is correct?'
     assert q.required and q["rank"] == 100
     ev = Q.contradiction_evidence(df).collect()
-    assert sorted((e.label, e.page_id) for e in ev) == [("(03) 111 2222", 4), ("032601566", 1), ("032601566", 2)]
+    assert sorted((e.label, e.page_id) for e in ev) == [("(03) 111 2222", 4), ("032601566", 1), ("032601566", 2), ("032601566", 3)]
+    assert Q.contradiction_evidence(df, pages=2).count() == 3
 
 
 def test_shop_prices_are_no_contradiction(spark):
