@@ -6,8 +6,9 @@ features; one-versus-rest ridge regression with rows weighted by language gives
 the kernel is a product of presence vectors, landmark kernel and coefficients fold into one
 matrix, and a batch of texts is scored by one matrix product.
 
-Learning uses at most ``SAMPLE`` rows of each language, drawn by hash; only their presence bits,
-SLOTS / 8 bytes a row whatever the text's length, come to the driver. Scoring reads whole texts.
+Learning uses at most ``SAMPLE`` rows of each language, drawn by hash, and about ``MOST_ROWS`` rows and
+``MOST_LANDMARKS`` landmarks of all; only their presence bits, SLOTS / 8 bytes a row whatever the text's
+length, come to the driver. Scoring reads whole texts.
 
 A null text or one without a letter is ``und`` with score 0, and so is every text if there is
 nothing to learn from. Rows with a null doc_id are held out. Repeated rows get equal results; an
@@ -28,6 +29,7 @@ from siteloom.llm.support import chunks, free_name, raw_bytes
 LONGEST, SLOT_BITS = 4, 15
 SLOTS = 1 << SLOT_BITS
 SAMPLE, LANDMARKS, RIDGE = 1000, 64, 1e-3
+MOST_ROWS, MOST_LANDMARKS = 8000, 512
 UNDETERMINED = "und"
 ROWS = 32
 _odd = np.array([2654435769, 2246822519, 3266489917, 668265263], np.uint32)
@@ -66,11 +68,11 @@ def sampled_bits(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, bits) of at most ``sample`` learnable rows a language."""
     learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    share = docs.where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").count().select("lang", (F.lit(1.2 * sample * (1 << 30)) / F.col("count")).alias("_most"))
-    shares = {r[0]: r[1] for r in share.collect()}  # one number a language
+    counts = docs.where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").count().collect()  # one number a language
+    sample = max(20, min(sample, MOST_ROWS // max(1, len(counts))))
     least = F.lit(0.0)
-    for lang, most in shares.items():
-        least = F.when(F.col("lang") == lang, most).otherwise(least)
+    for lang, n in counts:
+        least = F.when(F.col("lang") == lang, 1.2 * sample * (1 << 30) / n).otherwise(least)
     few = learn.where(h <= least).select("lang", F.lower("text").alias("text"), h.alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +95,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     y = np.array([langs.index(r[0]) for r in rows])
     bits = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(len(rows), -1)
     sizes = np.maximum(np.concatenate([np.unpackbits(bits[i : i + 256], axis=1).sum(1, dtype=np.float64) for i in range(0, len(bits), 256)]), 1)
+    landmarks = max(2, min(landmarks, MOST_LANDMARKS // len(langs)))
     first = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(langs))])
     z = np.unpackbits(bits[first], axis=1).astype(np.float32) / np.sqrt(sizes[first])[:, None].astype(np.float32)
     k_nm = np.concatenate([np.unpackbits(bits[i : i + 256], axis=1).astype(np.float32) @ z.T for i in range(0, len(bits), 256)]).astype(np.float64) / np.sqrt(sizes)[:, None]
@@ -104,7 +107,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     target = (y[:, None] == np.arange(len(langs))).astype(np.float64)
     gram = phi.T @ (phi * weight[:, None])
     solved = np.linalg.solve(gram + ridge * np.eye(len(gram)), phi.T @ (target * weight[:, None]))
-    return langs, (z.T @ (root @ solved)).astype(np.float32)
+    return langs, z.T @ (root @ solved).astype(np.float32)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
