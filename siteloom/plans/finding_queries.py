@@ -337,9 +337,8 @@ def _(spark, d):
 
 @query(
     "sites_without_contact",
-    f"WITH {D.DP} SELECT site, count(*) AS pages FROM dp WHERE NOT (site LIKE '%1' AND page_id % 7 = 0) GROUP BY site HAVING NOT bool_or(path ILIKE '%/contact%')",
+    f"WITH {D.PG} SELECT site, count(*) AS pages FROM pg GROUP BY site HAVING NOT bool_or(path ILIKE '%/contact%')",
     covers="F18",
 )
 def _(spark, d):
-    docs = T.read_document_pages(spark, d).filter("NOT (site LIKE '%1' AND page_id % 7 = 0)")
-    return Q.sites_without_contact(docs)
+    return Q.sites_without_contact(T.read_pages(spark, d))

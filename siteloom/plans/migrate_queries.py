@@ -87,10 +87,11 @@ def _(spark, d):
 
 @query(
     "answer_decisions",
-    """SELECT conv_id, turn, CASE
-      WHEN role = 'system' THEN NULL
-      WHEN regexp_matches(text, '(?i)none of these|clarify|check with|ask the client|not sure') THEN NULL
-      WHEN turn % 5 = 0 THEN NULL WHEN turn % 5 = 1 THEN 'merge' WHEN turn % 5 = 2 THEN 'drop' WHEN turn % 5 = 3 THEN 'keep' END AS decision FROM conversations""",
+    """WITH a AS (SELECT conv_id, turn, role, text || CASE turn % 5 WHEN 0 THEN ' not sure, kill?' WHEN 1 THEN ' Consolidate and remove it' WHEN 2 THEN ' please KILL it'
+      WHEN 3 THEN ' it is authentic' ELSE ' and so on' END AS t FROM conversations)
+    SELECT conv_id, turn, CASE WHEN role = 'system' OR regexp_matches(t, '(?i)none of these|clarify|check with|i[''’]ll check|ask the client|not sure') THEN NULL
+      WHEN regexp_matches(t, '(?i)consolidat|merge') THEN 'merge' WHEN regexp_matches(t, '(?i)remove|kill|drop|delete') THEN 'drop'
+      WHEN regexp_matches(t, '(?i)\\b(keep|authentic|real|intentional)\\b') THEN 'keep' END AS decision FROM a""",
     covers="G6",
 )
 def _(spark, d):
@@ -98,10 +99,10 @@ def _(spark, d):
     n = F.col("turn") % 5
     word = (
         F.when(n == 0, " not sure, kill?").when(n == 1, " Consolidate and remove it").when(n == 2, " please KILL it")
-        .when(n == 3, " it is authentic").otherwise(" zz")
+        .when(n == 3, " it is authentic").otherwise(" and so on")
     )
     kind = F.when(F.col("role") == "system", "mapping").otherwise("keep-or-kill")
-    return c.select("conv_id", "turn", M.answer_decision(kind, F.concat(F.regexp_replace("text", "(?i)[a-z]", "z"), word)).alias("decision"))
+    return c.select("conv_id", "turn", M.answer_decision(kind, F.concat("text", word)).alias("decision"))
 
 
 # questions with answers, their evidence
