@@ -181,20 +181,13 @@ def _(spark, d):
     return L.stage_status(facts(spark, d), SF.stages(spark), SF.effects(spark), SF.checkpoints(spark), SF.wording(spark))
 
 
-def instance_rows(spark, d):
-    p = pending(spark, d)
-    return p.groupBy("instance").agg(
-        F.collect_list(F.struct(F.col("effect").alias("name"), "queued_at", "claimed_at")).alias("pending")
-    )
-
-
 @query(
     "pending_work",
     f"WITH {PENDING} SELECT instance, count_if(claimed_at IS NULL)::BIGINT AS unclaimed, count(*) AS effects FROM pe GROUP BY instance HAVING count_if(claimed_at IS NULL) > 0",
     covers="I6",
 )
 def _(spark, d):
-    return L.pending_work(instance_rows(spark, d))
+    return L.pending_work(pending(spark, d))
 
 
 _AT = "TIMESTAMP '2024-01-30 12:00:00'"
