@@ -326,23 +326,21 @@ def drop_overlapping(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     paths = paths.join(kok.select("site", "fingerprint"), ["site", "fingerprint"], "left_semi")
     freq = paths.groupBy("site", "path").agg(F.count("*").alias("df"))
     sets = paths.join(freq, ["site", "path"]).groupBy("site", "fingerprint").agg(
-        F.array_sort(F.collect_list("path")).alias("paths"),
-        F.min(F.struct("df", "path"))["path"].alias("rarest"),
+        F.count("*").alias("n"), X.set_digest(F.col("path")).alias("digest"), F.min(F.struct("df", "path"))["path"].alias("rarest")
     ).join(kok, ["site", "fingerprint"])
-    order = F.struct((-F.size("paths")).alias("a"), (-F.col("score")).alias("b"), F.col("fingerprint").alias("c"))
-    sets = sets.withColumn("ord", order)
-    folded = sets.groupBy("site", "paths", "rarest").agg(F.min("ord").alias("first_ord"))
-    equal_dropped = sets.join(folded, ["site", "paths", "rarest"]).filter(
+    sets = sets.withColumn("ord", F.struct((-F.col("n")).alias("a"), (-F.col("score")).alias("b"), F.col("fingerprint").alias("c")))
+    folded = sets.groupBy("site", "n", "digest", "rarest").agg(F.min("ord").alias("first_ord"))
+    equal_dropped = sets.join(folded, ["site", "n", "digest", "rarest"]).filter(
         (F.col("ord") > F.col("first_ord")) & ~F.col("required")
     ).select("site", "fingerprint")
-    wide = folded.select("site", F.explode("paths").alias("anchor"), F.col("paths").alias("wide"))
-    covered = (
-        folded.withColumnRenamed("rarest", "anchor")
-        .join(wide, ["site", "anchor"])
-        .filter((F.size("wide") > F.size("paths")) & (F.size(F.array_except("paths", "wide")) == 0))
-        .select("site", "paths").distinct()
-    )
-    sub_dropped = sets.join(covered, ["site", "paths"], "left_semi").filter(~F.col("required")).select("site", "fingerprint")
+    # one question stands for each set; its paths stay rows
+    heads = folded.select("site", F.col("first_ord.c").alias("fingerprint"), "n", "digest", "rarest")
+    rows = paths.join(heads.select("site", "fingerprint", "n"), ["site", "fingerprint"])
+    wide = rows.select("site", F.col("path").alias("rarest"), F.col("fingerprint").alias("wide"), F.col("n").alias("wide_n"))
+    pairs = heads.join(wide, ["site", "rarest"]).filter("wide_n > n").select("site", "fingerprint", "digest", "n", "wide")
+    common = pairs.join(paths, ["site", "fingerprint"]).join(rows.select("site", F.col("fingerprint").alias("wide"), "path"), ["site", "wide", "path"])
+    covered = common.groupBy("site", "digest", "n", "wide").agg(F.count("*").alias("held")).filter("held = n").select("site", "digest", "n").distinct()
+    sub_dropped = sets.join(covered, ["site", "digest", "n"], "left_semi").filter(~F.col("required")).select("site", "fingerprint")
     return questions.join(equal_dropped.unionByName(sub_dropped).distinct(), ["site", "fingerprint"], "left_anti")
 
 
