@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
+from siteloom.operators.spread import join_per_site
 from siteloom.operators.extract import corpus
 
 SITE_BUDGET = 240_000
@@ -82,7 +83,7 @@ def strip_chrome(sections: DataFrame, chrome: DataFrame, cap: int | None = None)
     )
     text = X.collapse("text") if cap is None else F.substring(X.collapse("text"), 1, cap)
     short = sections.withColumn("text", text).filter("text <> ''")
-    cleaned = short.join(lists, "site", "left").withColumn(
+    cleaned = join_per_site(short, lists, "page_id", "left").withColumn(
         "text",
         F.when(F.col("_blocks").isNull(), F.col("text")).otherwise(F.aggregate("_blocks", F.col("text"), _splice_first)),
     )
@@ -228,7 +229,7 @@ def fit_text_budget(sections: DataFrame, chars: int = SITE_BUDGET, floor: int =
     level = over.groupBy("site").agg(
         F.min_by(F.greatest(F.lit(floor).cast("long"), F.floor((F.lit(chars) - F.col("below")) / F.col("rest"))), "len").alias("cap")
     )
-    capped = sections.join(level, "site", "left")
+    capped = join_per_site(sections, level, "page_id", "left")
     fits = F.when(F.col("cap").isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), F.col("cap").cast("int")))
     return capped.withColumn("text", fits).drop("cap")
 

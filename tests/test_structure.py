@@ -122,3 +122,15 @@ def test_columns_only_work_stays_out_of_python(spark, folder):
     rec = X.page_records(T.read_pages(spark, folder), tree_layouts=False)
     text = plan(X.content_hashes(rec))
     assert "Python" not in text and "Pandas" not in text and F is not None
+
+
+def test_per_site_joins_spread_a_large_site(spark):
+    from siteloom.operators.spread import join_per_site
+
+    rows = spark.range(2000).selectExpr("if(id < 1900, 'big', concat('s', id)) AS site", "id AS page_id")
+    few = spark.createDataFrame([("big", 1), ("big", 2), ("s1950", 3)], "site string, v int")
+    got = join_per_site(rows, few, "page_id", "left")
+    want = rows.join(few, "site", "left")
+    cols = ["site", "page_id", "v"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    assert "_salt" in plan(got)
