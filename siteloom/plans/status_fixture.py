@@ -22,7 +22,9 @@ SCREEN_ROWS = [(s, f"screen {i // 2}") for i, s in enumerate(STAGES[:-1])]
 
 
 def table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    return spark.createDataFrame(rows, columns)
+    """Inline rows, so their size is known to the optimiser and joins broadcast them."""
+    names = ", ".join(c.split()[0] for c in columns.split(", "))
+    return spark.sql(f"SELECT * FROM {values(rows)} AS t({names})")
 
 
 def stages(spark: SparkSession) -> DataFrame:
