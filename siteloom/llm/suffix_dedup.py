@@ -14,6 +14,7 @@ About one position in WINDOW / 2 is an anchor; it owns the consecutive starts [l
    so nothing is left to compare across buckets. A block that occurs twice is a repeat as a whole.
 2. Blocks that meet others under one suffix but equal none are looked at string by string: the fingerprints
    of their strings, and of one block of each repeated kind beside them, are dealt and sorted likewise.
+   Of a suffix with more than ``TOGETHER`` kinds in one slice every kind is looked at.
 
 Before anything is dealt, a task settles what repeats inside its own slice and hands on one entry of
 it, so a passage in a third of all documents sends a few entries a task, not one a document.
@@ -40,6 +41,7 @@ LENGTH, WINDOW, GRAM = 400, 128, 16
 BUCKET_BYTES, FLUSH, TOGETHER = 16 << 20, 250_000, 8
 SAMPLE_KEYS = 65_536
 REPEAT, LOOK = 1, 2  # marks of an anchor: its block repeats; its strings must be looked at
+TWICE, MORE = 1, 2  # flags of a sent block: it repeats in its slice; the slice has held back other blocks of its suffix
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +151,15 @@ def _settle_anchors(key, shared, block, rid, at):
     kinds = np.flatnonzero(kind)
     many = np.diff(np.append(kinds, len(kind))) >= 2
     repeated = np.repeat(many, np.diff(np.append(kinds, len(kind))))
-    # one entry a block; of a suffix with many blocks only the first few, as enough to tell the others
+    # one entry a block; of a suffix with many blocks only the first few, which say that there are more
     nth = np.cumsum(kind) - 1
     base = nth[suffix][np.cumsum(suffix) - 1]
     over = nth - base >= TOGETHER
     send = kind & ~over
+    more = np.bincount(np.cumsum(suffix) - 1, over)[np.cumsum(suffix) - 1] > 0
     mark = np.where(repeated & ~send, REPEAT, 0) | np.where(kind & over, LOOK, 0)
     out = mark > 0
-    return key[send], [shared[send], block[send], rid[send], at[send], repeated[send].astype(np.uint8)], [rid[out], at[out], mark[out].astype(np.uint8)]
+    return key[send], [shared[send], block[send], rid[send], at[send], np.where(repeated[send], TWICE, 0).astype(np.uint8) | np.where(more[send], MORE, 0).astype(np.uint8)], [rid[out], at[out], mark[out].astype(np.uint8)]
 
 
 ANCHOR_TYPES = [np.uint64, np.uint64, np.int64, np.uint32, np.uint8]
@@ -164,14 +167,17 @@ MARK_TYPES = [np.int64, np.uint32, np.uint8]
 
 
 def _anchor_bucket(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    shared, block, rid, at, twice = _unpack(group, 0, ANCHOR_TYPES)
-    order = np.lexsort((twice, block, shared))
-    shared, block, rid, at, twice = (c[order] for c in (shared, block, rid, at, twice))
+    shared, block, rid, at, flags = _unpack(group, 0, ANCHOR_TYPES)
+    order = np.lexsort((flags, block, shared))
+    shared, block, rid, at, flags = (c[order] for c in (shared, block, rid, at, flags))
+    twice = (flags & TWICE) > 0
     kind, suffix = _first(shared, block), _first(shared)
     kinds, group_of = np.flatnonzero(kind), np.cumsum(suffix) - 1
     repeated = (np.add.reduceat(twice.astype(np.int64), kinds) > 0) | (np.diff(np.append(kinds, len(kind))) >= 2) if len(kinds) else np.zeros(0, bool)
     blocks, lone = np.bincount(group_of[kinds], minlength=1), np.bincount(group_of[kinds], ~repeated, minlength=1)
-    look = (blocks >= 2) & (lone > 0)
+    # blocks that a slice held back are looked at there, so those they may meet must be too
+    held = np.bincount(group_of, (flags & MORE) > 0, minlength=1)
+    look = ((blocks >= 2) & (lone > 0)) | (held > 0)
     each = np.repeat(repeated, np.diff(np.append(kinds, len(kind))))
     mark = np.where(each, REPEAT, 0) | np.where(kind & look[group_of], LOOK, 0) if len(kind) else np.zeros(0, np.int64)
     out = mark > 0

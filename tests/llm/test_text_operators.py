@@ -277,6 +277,20 @@ def test_repeats_survive_local_settling(spark, monkeypatch):
     assert Counter(tuple(x)[:5] for x in got.collect()) == brute_repeats(rows)
 
 
+def test_a_single_context_beside_many_repeated_ones_is_looked_at(spark):
+    """More block kinds under one suffix than a slice sends, all sent ones repeated: the one held back meets them still."""
+    r = random.Random(7)
+    rows = []
+    for _ in range(25):
+        passage = "".join(r.choice("klmnopqrst ") for _ in range(520))
+        for context in range(9):
+            text = "".join(r.choice("abcdefgh") for _ in range(60)) + passage + "".join(r.choice("uvwxyz") for _ in range(40))
+            rows += [(len(rows) + i, text) for i in range(2 if context else 1)]
+    for parts in (1, 3):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), keep_text=False)
+        assert Counter(tuple(x) for x in got.collect()) == brute_repeats(rows)
+
+
 def test_language_is_learnt_and_undetermined_without_letters(spark, docs, empty):
     r = random.Random(8)
     kinds = {"aa": "abcde", "bb": "vwxyz"}
