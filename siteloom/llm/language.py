@@ -48,7 +48,7 @@ def presence(data: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> np.ndarr
     row = np.repeat(np.arange(n, dtype=np.int64) << SLOT_BITS, np.diff(offsets))
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
     code = np.zeros(len(data), np.uint32)
-    for k in range(LONGEST):
+    for k in range(min(LONGEST, len(data))):
         code[: len(data) - k] |= data[k:].astype(np.uint32) << np.uint32(8 * k)
         ok = room > k
         slot = (code * _odd[k] + np.uint32(k)) >> np.uint32(32 - SLOT_BITS)

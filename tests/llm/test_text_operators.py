@@ -307,6 +307,15 @@ def test_language_is_learnt_and_undetermined_without_letters(spark, docs, empty)
     assert {x.lang_pred for x in none.collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text", ["", "o", "ok", "ok!", "abcd", "abcde"])
+def test_language_of_a_short_text_alone(spark, text):
+    got = language.presence(np.frombuffer(text.encode(), np.uint8), np.array([0, 0, len(text), len(text)]), np.ones((4, language.SLOTS), np.uint8))
+    grams = {text[i : i + n] for n in range(1, 5) for i in range(len(text) - n + 1)}
+    assert got.sum(1).tolist() == [0, len(grams), 0]
+    one = spark.createDataFrame([(1, text, "aa")], "doc_id long, text string, lang string").coalesce(1)
+    assert [r.lang_pred for r in language.identify(one).collect()] == ["aa" if text else "und"]
+
+
 def test_language_held_out_accuracy(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = language.identify(docs, keep=("doc_id", "lang")).where("held_out").collect()
