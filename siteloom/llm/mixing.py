@@ -7,6 +7,8 @@ excess is shared again by weight until none is above.
 Slot i of the schedule takes the golden-ratio point frac((i + 1/2) * phi) and falls to the source
 whose cumulative target share covers it. The r-th slot of a source reads words
 [r * block, (r + 1) * block) of the source's shuffled documents, laid end to end and repeated.
+Slots that a source's points fall short of its target follow after the schedule, source by source,
+and its last slot is cut at the target: every source gives the whole words of its target.
 
 Nothing is collected but two counts. Running sums and ranks are taken inside chunks of bounded
 size and shifted by chunk totals, so a source with a third of all rows is spread like any other.
@@ -64,19 +66,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat:
 
 
 def schedule(spark: SparkSession, targets: DataFrame, words: int, block: int = BLOCK) -> DataFrame:
-    """(slot, sid, rank): the source of each slot and which of the source's slots it is.
+    """(slot, sid, rank): the source of each slot and which of the source's slots it is; enough slots for every target.
 
     Points and sources meet by equal cells of [0, 1), so the lookup is an equi-join.
     """
-    slots = spark.range(-(-words // block)).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * PHI % 1.0).alias("u"))
+    length = -(-words // block)
+    slots = spark.range(length).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * PHI % 1.0).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
     cells = targets.where("target > 0").select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
     slots = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "sid", F.shiftright("slot", SLOT_BITS).alias("part"))
     counts = slots.groupBy("sid", "part").count()
+    have_slots = counts.groupBy("sid").agg(F.sum("count").alias("have"))
     ahead = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("sid", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1
-    return slots.withColumn("inside", inside).join(counts, ["sid", "part"]).select("slot", "sid", (F.col("base") + F.col("inside")).alias("rank"))
+    slots = slots.withColumn("inside", inside).join(counts, ["sid", "part"]).select("slot", "sid", (F.col("base") + F.col("inside")).alias("rank"))
+    # what a source's points fall short of its target, one row a source before it is dealt out
+    have = F.coalesce("have", F.lit(0))
+    short = targets.join(have_slots, "sid", "left").select("sid", have.alias("have"), (F.ceil(F.floor("target") / block) - have).alias("missing")).where("missing > 0")
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("first", F.lit(length) + F.coalesce(F.sum("missing").over(before), F.lit(0)))
+    short = short.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1)))
+    return slots.unionByName(short.select((F.col("first") + F.col("i")).alias("slot"), "sid", (F.col("have") + F.col("i")).alias("rank")))
 
 
 def laid_out(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:

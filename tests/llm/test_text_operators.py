@@ -185,6 +185,19 @@ def test_mixing_meets_the_targets(spark, docs):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sources(spark, docs.repartition(5)).collect()))
 
 
+def test_mixing_gives_small_sources_their_words(spark):
+    """A long tail of sources below one block, beside large ones: each gives the whole words of its target."""
+    sizes = {f"s{i:03}": 10 + 7 * i for i in range(60)} | {"t1": 30_000, "t2": 9_000, "u": 1}
+    table = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    target = brute_targets(sizes)
+    got = {r.doc_id: r.taken for r in mixing.mix_sources(spark, table).collect()}
+    assert [got[i] for i in range(len(sizes))] == [int(target[s] + 1e-6) for s in sizes]
+    copies = Counter(r.source for r in mixing.mixed_documents(spark, table).collect())
+    assert all(copies[s] == round(int(target[s] + 1e-6) / n) for s, n in sizes.items())
+    slots = mixing.mixed_segments(spark, table).where("slot is not null").select("slot", "sid").distinct()
+    assert slots.count() == slots.select("slot").distinct().count()
+
+
 def test_mix_segments_read_each_source_in_order(spark, docs):
     seg = mixing.mixed_segments(spark, docs.where("source = 's1'"), block=64).where("slot is not null").collect()
     assert all(0 <= r.start < r.end <= r.size for r in seg)
