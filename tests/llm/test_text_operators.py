@@ -137,6 +137,14 @@ def test_base_spans_and_added_spans(spark, docs, trees):
     assert clean[100] == "call [PHONE] now, or [PHONE]" and clean[0] is None
 
 
+def test_a_candidate_stays_if_what_overlaps_it_goes(spark):
+    """Addresses of 8 and 11 digits overlap a phone between them: the best drops the phone, so the first stays too."""
+    model = [([], np.inf), ([(0, 9, 0.6, 2.0)], 0.5), ([], np.inf), ([1.0], 0.5)]
+    table = spark.createDataFrame([(1, "at 12,34,56,78 90 55 12,134,156,179 up")], "doc_id long, text string")
+    assert [r.spans for r in pii.pii_digest(table, model).collect()] == ["ip:3:14,ip:21:35"]
+    assert [r.text for r in pii.redact(table, model).collect()] == ["at [IP] 90 55 [IP] up"]
+
+
 def test_redaction_keeps_clashing_columns(docs, trees):
     got = pii.redact(docs, trees)
     assert got.columns == docs.columns
