@@ -365,18 +365,24 @@ def faq_items(sections: DataFrame) -> DataFrame:
     )
 
 
-MAX_BLOCKS, MAX_GALLERY, MAX_RICH = 14, 24, 40
+def _at_most(column: Column, limit: int | None, cut) -> Column:
+    return column if limit is None else cut(column, limit)
 
 
 def _text_length(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.length(F.regexp_replace("text", "\n", "")))), F.lit(0))
 
 
-def section_blocks(sections: DataFrame) -> DataFrame:
+def section_blocks(
+    sections: DataFrame, max_blocks: int | None = None, max_texts: int | None = None, max_gallery: int | None = None,
+    heading_chars: int | None = None, lead_chars: int | None = None,
+) -> DataFrame:
     """One block per section (two for a hero with more text): hero, faq, gallery, mediaText, richText.
 
-    The first 14 blocks of a page stay. ``block_text`` is the plain text of the block body.
+    ``block_text`` is the plain text of the block body. All blocks of a page stay, with all their texts and images, unless
+    limits are given: blocks a page, texts a section, images a gallery, characters of a hero's heading and lead.
     """
+    first_chars = lambda column, n: F.substring(column, 1, n)
     body = ~F.col("is_heading")
     is_img, is_para = F.col("type") == "image", F.col("type") == "para"
     ordered = W.partitionBy("site", "page_id", "section").orderBy("ord")
@@ -385,7 +391,7 @@ def section_blocks(sections: DataFrame) -> DataFrame:
     ).withColumn("_lead", body & is_para & (F.col("_para_no") == 1))
     joined = lambda cond: F.array_join(
         F.transform(
-            F.slice(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "text")))), 1, MAX_RICH),
+            _at_most(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "text")))), max_texts, lambda a, n: F.slice(a, 1, n)),
             lambda s: s["text"],
         ),
         "\n\n",
@@ -427,8 +433,8 @@ def section_blocks(sections: DataFrame) -> DataFrame:
     first = F.struct(
         F.lit(0).alias("part"),
         F.col("type"),
-        F.when(hero, F.substring("heading", 1, 90)).otherwise(F.col("heading")).alias("heading"),
-        F.when(hero, F.substring("lead", 1, 240)).when(F.col("type") == "gallery", "").otherwise(F.col("full_text")).alias("block_text"),
+        F.when(hero, _at_most(F.col("heading"), heading_chars, first_chars)).otherwise(F.col("heading")).alias("heading"),
+        F.when(hero, _at_most(F.col("lead"), lead_chars, first_chars)).when(F.col("type") == "gallery", "").otherwise(F.col("full_text")).alias("block_text"),
     )
     rest = F.struct(
         F.lit(1).alias("part"), F.lit("richText").alias("type"), F.lit(None).cast("string").alias("heading"),
@@ -439,15 +445,16 @@ def section_blocks(sections: DataFrame) -> DataFrame:
         "site", "page_id", "section", "b.part", "b.type", "b.heading", "b.block_text",
         F.when((F.col("b.part") == 0) & F.col("b.type").isin("hero", "mediaText"), F.col("image.src")).alias("image_src"),
         F.when((F.col("b.part") == 0) & F.col("b.type").isin("hero", "mediaText"), F.col("image.alt")).alias("image_alt"),
-        F.when(F.col("b.type") == "gallery", F.least("images", F.lit(MAX_GALLERY))).alias("gallery_images"),
+        F.when(F.col("b.type") == "gallery", _at_most(F.col("images"), max_gallery, lambda c, n: F.least(c, F.lit(n)))).alias("gallery_images"),
         F.when(F.col("b.part") == 0, F.col("image_side")).alias("image_side"),
     )
     nth = F.row_number().over(W.partitionBy("site", "page_id").orderBy("section", "part"))
-    return flat.withColumn("block_no", nth).filter(F.col("block_no") <= MAX_BLOCKS)
+    placed = flat.withColumn("block_no", nth)
+    return placed if max_blocks is None else placed.filter(F.col("block_no") <= max_blocks)
 
 
-def rich_text(sections: DataFrame) -> DataFrame:
-    """Block rows of the text atoms: style, list marker, text; at most 40 per section."""
+def rich_text(sections: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Block rows of the text atoms: style, list marker, text; the first ``max_rows`` per section where given."""
     body = sections.filter(F.col("type") != "image")
     style = (
         F.when((F.col("type") == "heading") & (F.col("level") <= 2), "h2")
@@ -464,4 +471,5 @@ def rich_text(sections: DataFrame) -> DataFrame:
         F.posexplode(lines).alias("item", "text"),
     )
     nth = F.row_number().over(W.partitionBy("site", "page_id", "section").orderBy("ord", "item"))
-    return rows.withColumn("block", nth).filter(F.col("block") <= MAX_RICH).drop("ord", "item")
+    placed = rows.withColumn("block", nth).drop("ord", "item")
+    return placed if max_rows is None else placed.filter(F.col("block") <= max_rows)

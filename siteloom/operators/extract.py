@@ -458,9 +458,10 @@ def site_stats(records: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def site_brand(pages: DataFrame) -> DataFrame:
+def site_brand(pages: DataFrame, max_colors: int | None = None, max_fonts: int | None = None) -> DataFrame:
     """Colours, fonts, logo and name from the first page of each site.
 
+    All colours and fonts of its style sheets, most used and first ones first, or the first few where limits are given.
     The style text and logo source are cut out first; the fold keeps one small struct per site.
     """
     styles = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<style[^>]*>(.*?)</style>"), F.lit(1)), "\n")
@@ -498,19 +499,12 @@ def site_brand(pages: DataFrame) -> DataFrame:
             c.alias("color"),
         ),
     )
-    ranked = F.slice(F.transform(F.array_sort(weighed), lambda s: s["color"]), 1, 8)
-    fonts = F.slice(
-        F.array_distinct(
-            F.filter(
-                F.transform(
-                    F.regexp_extract_all("css", F.lit(r"(?i)font-family\s*:\s*([^;!}{]+)"), F.lit(1)),
-                    lambda f: F.trim(f),
-                ),
-                lambda f: f != "",
-            )
-        ),
-        1, 6,
+    some = lambda a, n: a if n is None else F.slice(a, 1, n)
+    ranked = some(F.transform(F.array_sort(weighed), lambda s: s["color"]), max_colors)
+    families = F.transform(
+        F.regexp_extract_all("css", F.lit(r"(?i)font-family\s*:\s*([^;!}{]+)"), F.lit(1)), lambda f: F.trim(f)
     )
+    fonts = some(F.array_distinct(F.filter(families, lambda f: f != "")), max_fonts)
     real = lambda a: F.filter(a, lambda v: v.isNotNull() & (v != ""))
     palette = F.transform(
         F.coalesce(data["colorPalette"]["Palette"]["colors"], F.expr("cast(array() as array<struct<hex:string,value:string>>)")),

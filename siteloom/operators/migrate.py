@@ -281,18 +281,23 @@ def contact_blocks(targets: DataFrame) -> DataFrame:
     ).select("site", "doc_id", F.lit("contactBlock").alias("type"), X.short_key(F.col("doc_id"), F.lit("contact")).alias("key")).distinct()
 
 
-def fill_fields(docs: DataFrame, fields: DataFrame, summaries: DataFrame) -> DataFrame:
+def fill_fields(
+    docs: DataFrame, fields: DataFrame, summaries: DataFrame,
+    paragraphs: int | None = None, chars: int | None = None, string_chars: int | None = None,
+) -> DataFrame:
     """Field values of collection documents by field type and name, long form.
 
     ``docs``: site, page_id, doc_id, type, slug, url; ``fields``: site, type_name, field_name,
     field_type, of; ``summaries``: site, page_id, title, paragraphs, images, and the first
-    phone, email, address and price. Fields that nothing fits stay empty.
+    phone, email, address and price. Fields that nothing fits stay empty. Running text is every paragraph, or
+    the first ``paragraphs`` and ``chars`` characters (``string_chars`` in fields of type string) where given.
     """
     wide = docs.join(fields.withColumnRenamed("type_name", "type"), ["site", "type"]).join(
         summaries, ["site", "page_id"], "left"
     )
     name = F.lower("field_name")
-    summary = F.substring(F.array_join(F.slice("paragraphs", 1, 2), " "), 1, 500)
+    some = lambda text, n: text if n is None else F.substring(text, 1, n)
+    summary = some(F.array_join("paragraphs" if paragraphs is None else F.slice("paragraphs", 1, paragraphs), " "), chars)
     body = F.array_join("paragraphs", "\n\n")
     text = (
         F.when(name.rlike("^(title|name|heading|label)$"), F.col("title"))
@@ -302,7 +307,7 @@ def fill_fields(docs: DataFrame, fields: DataFrame, summaries: DataFrame) -> Dat
         .when(name.rlike("address|location"), F.col("address"))
         .when(
             name.rlike("desc|summary|excerpt|intro|body|content|detail|about|text"),
-            F.when(F.col("field_type") == "string", F.substring(summary, 1, 160)).otherwise(summary),
+            F.when(F.col("field_type") == "string", some(summary, string_chars)).otherwise(summary),
         )
     )
     number = F.expr("try_cast(regexp_replace(price, '[^0-9.]', '') as double)")

@@ -314,11 +314,12 @@ def apply_decisions(types: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
-def low_confidence_types(types: DataFrame, below: float = LOW_CONFIDENCE, top: int = 8) -> DataFrame:
-    """Undecided weak types, the first 8 of a site."""
+def low_confidence_types(types: DataFrame, below: float = LOW_CONFIDENCE, top: int | None = None) -> DataFrame:
+    """Undecided weak types with their place in the site, weakest first; the first ``top`` where given."""
     weak = types.filter((F.col("confidence") < below) & ~F.coalesce("decision", F.lit("keep")).isin("drop"))
     nth = F.row_number().over(W.partitionBy("site").orderBy("confidence", "name"))
-    return weak.withColumn("n", nth).filter(F.col("n") <= top)
+    placed = weak.withColumn("n", nth)
+    return placed if top is None else placed.filter(F.col("n") <= top)
 
 
 def type_changes(cur: DataFrame, prior: DataFrame) -> DataFrame:
@@ -466,15 +467,23 @@ def usage_totals(proposals: DataFrame) -> DataFrame:
     )
 
 
-def model_input_batch(records: DataFrame, pages: int = 40, chars: int = 1200) -> DataFrame:
-    """Export for an outside model: the first 40 live pages of a site as JSON rows."""
+def model_input_batch(records: DataFrame, pages: int | None = None, chars: int | None = None, batch: int = 40) -> DataFrame:
+    """Export for an outside model: the live pages of a site as JSON rows, numbered and dealt to batches of ``batch`` pages.
+
+    Every page with its whole text, or the first ``pages`` pages and ``chars`` characters where given.
+    """
     live = records.filter(F.coalesce("http_status", F.lit(200)) < 400)
     nth = F.row_number().over(W.partitionBy("site").orderBy("page_id"))
-    first = live.select(
-        "site", "page_id", U.page_path("path", "url").alias("path"), "url", "title", F.substring(corpus(), 1, chars).alias("text")
-    ).withColumn("n", nth).filter(F.col("n") <= pages)
+    text = corpus() if chars is None else F.substring(corpus(), 1, chars)
+    # pages are numbered by id alone: their texts stay out of the sort by site
+    placed = live.select("site", "page_id").withColumn("n", nth)
+    if pages is not None:
+        placed = placed.filter(F.col("n") <= pages)
+    rows = live.select("site", "page_id", U.page_path("path", "url").alias("path"), "url", "title", text.alias("text"))
     payload = F.to_json(F.struct(F.col("page_id").alias("pageId"), "path", "url", "title", "text"))
-    return first.select("site", "page_id", "n", payload.alias("payload"))
+    return rows.select("site", "page_id", payload.alias("payload")).join(placed, ["site", "page_id"]).select(
+        "site", "page_id", "n", F.ceil(F.col("n") / batch).cast("int").alias("batch"), "payload"
+    )
 
 
 def document_violations(docs: DataFrame) -> DataFrame:

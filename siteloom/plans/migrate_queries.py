@@ -325,9 +325,9 @@ hd AS (SELECT site, page_id, text AS heading FROM a3 WHERE n = 0 AND text <> ''
 @query(
     "page_blocks",
     f"""WITH {_BLK}, bl AS (
-      SELECT hd.site, hd.page_id, 'hero' AS type, 1 AS part, substr(heading, 1, 90) AS heading, (SELECT substr(text, 1, 240) FROM pr WHERE pr.page_id = hd.page_id AND k = 1) AS block_text FROM hd
+      SELECT hd.site, hd.page_id, 'hero' AS type, 1 AS part, heading, (SELECT text FROM pr WHERE pr.page_id = hd.page_id AND k = 1) AS block_text FROM hd
       UNION ALL
-      SELECT hd.site, hd.page_id, 'richText', 2, NULL, string_agg(text, chr(10) || chr(10) ORDER BY k) FILTER (k <= 41) FROM hd JOIN pr USING (site, page_id) WHERE k > 1 GROUP BY ALL)
+      SELECT hd.site, hd.page_id, 'richText', 2, NULL, string_agg(text, chr(10) || chr(10) ORDER BY k) FROM hd JOIN pr USING (site, page_id) WHERE k > 1 GROUP BY ALL)
     SELECT site, page_id, type, row_number() OVER (PARTITION BY site, page_id ORDER BY part)::INT AS block_no, heading, block_text FROM bl""",
     covers="G14 G15 G17",
 )
@@ -339,7 +339,7 @@ def _(spark, d):
 @query(
     "rich_text_blocks",
     f"""WITH {_BLK}, r AS (SELECT site, page_id, 'h2' AS style, heading AS text, 0 AS k FROM hd UNION ALL SELECT site, page_id, 'normal', text, k FROM pr)
-    SELECT site, page_id, style, text, row_number() OVER (PARTITION BY site, page_id ORDER BY k)::INT AS block FROM r QUALIFY block <= 40""",
+    SELECT site, page_id, style, text, row_number() OVER (PARTITION BY site, page_id ORDER BY k)::INT AS block FROM r""",
     covers="G17",
 )
 def _(spark, d):

@@ -254,11 +254,11 @@ def _(spark, d):
     "low_confidence_types",
     f"""WITH {PT}, w AS (SELECT site, name, m, confidence, row_number() OVER (PARTITION BY site ORDER BY confidence, name)::INT AS k
       FROM pt WHERE confidence < 0.6 AND coalesce(decision, 'keep') <> 'drop')
-    SELECT site, name, m, confidence, k AS n FROM w WHERE k <= 2""",
+    SELECT site, name, m, confidence, k AS n FROM w""",
     covers="E12",
 )
 def _(spark, d):
-    return MD.low_confidence_types(V.proposal_types(spark, d), top=2).select("site", "name", "m", "confidence", "n")
+    return MD.low_confidence_types(V.proposal_types(spark, d)).select("site", "name", "m", "confidence", "n")
 
 
 VERSIONS = f"""{PF}, t1 AS (SELECT site, seg AS name, m FROM pt WHERE m % 4 <> 0 AND site NOT LIKE 'b%'), t2 AS (SELECT site, seg AS name, m FROM pt WHERE m % 4 <> 3),
@@ -389,8 +389,8 @@ def _(spark, d):
 
 @query(
     "model_input_batch",
-    f"""WITH {D.PX}, n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id)::INT AS n FROM pc WHERE http_status < 400 QUALIFY n <= 40)
-    SELECT site, page_id, n, to_json({{'pageId': page_id, 'path': path, 'url': url, 'title': title, 'text': substr(corpus, 1, 1200)}})::VARCHAR AS payload FROM n""",
+    f"""WITH {D.PX}, n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id)::INT AS n FROM pc WHERE http_status < 400)
+    SELECT site, page_id, n, ceil(n / 40.0)::INT AS batch, to_json({{'pageId': page_id, 'path': path, 'url': url, 'title': title, 'text': corpus}})::VARCHAR AS payload FROM n""",
     covers="E20",
 )
 def _(spark, d):
