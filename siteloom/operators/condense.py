@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +9,8 @@ from pyspark.sql import functions as F
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
 from siteloom.operators.extract import corpus
-from siteloom.operators.spread import join_per_site
+from siteloom.operators.spread import join_per_site, placed_within
+from siteloom.session import cut_lineage
 
 SITE_BUDGET = 240_000
 MIN_SECTION = 40
@@ -137,64 +135,70 @@ def signature_distance(a: Column, b: Column, kinds: list[str]) -> Column:
     return F.when(gap > 1, gap).otherwise(F.levenshtein(code(a), code(b)))
 
 
-def _near(a: tuple, b: tuple) -> bool:
-    """Edit distance of at most one."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b)) <= 1
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    return any(large[:i] + large[i + 1 :] == small for i in range(len(large)))
+def near_signatures(distinct: DataFrame) -> DataFrame:
+    """(site, prefix, a, b): ordered pairs of distinct signatures one edit apart, named by their first page.
+
+    Two signatures of one length differ in one place if they agree when that place is cut out of both; one is the
+    other with a kind added if cutting that place out gives the shorter one. Both are equi-joins on what is
+    left after a cut. Only signatures that agree in all other places share a key, so a key holds no more of them than there are kinds.
+    """
+    s, n = F.col("signature"), F.size("signature")
+    key = lambda kinds: F.xxhash64(F.array_join(kinds, "\u0000"), F.size(kinds))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
+    cut = distinct.select("site", "prefix", F.col("first_page").alias("a"), "signature", F.explode(places).alias("place"))
+    cut = cut.withColumn("rest", F.concat(F.slice(s, F.lit(1), F.col("place") - 1), F.slice(s, F.col("place") + 1, n)))
+    cut = cut.select("site", "prefix", "a", "place", "rest", key(F.col("rest")).alias("key"))
+    other = cut.select("site", "prefix", "place", "key", F.col("rest").alias("other_rest"), F.col("a").alias("b"))
+    changed = cut.join(other, ["site", "prefix", "place", "key"]).filter((F.col("a") != F.col("b")) & (F.col("rest") == F.col("other_rest")))
+    whole = distinct.select("site", "prefix", key(s).alias("key"), F.col("signature").alias("whole"), F.col("first_page").alias("b"))
+    added = cut.join(whole, ["site", "prefix", "key"]).filter(F.col("rest") == F.col("whole")).select("site", "prefix", "a", "b")
+    both = added.unionByName(added.select("site", "prefix", F.col("b").alias("a"), F.col("a").alias("b")))
+    return changed.select("site", "prefix", "a", "b").unionByName(both).distinct()
+
+
+def first_come_seeds(edges: DataFrame) -> DataFrame:
+    """(site, prefix, b): the nodes of ``edges`` (site, prefix, a, b, both ways) that a smaller seed takes.
+
+    Going through the nodes in order, a node that no seed has taken becomes a seed and takes its neighbours. In rounds: every
+    undecided node that is smaller than its undecided neighbours is a seed, its neighbours are taken, and edges of
+    decided nodes go. A round is checkpointed; rounds follow the longest run of neighbours in falling order.
+    """
+    node = ["site", "prefix"]
+    open_edges, taken = cut_lineage(edges), None
+    while not open_edges.isEmpty():
+        seeds = open_edges.groupBy(*node, "a").agg(F.min("b").alias("least")).filter("a < least").select(*node, "a")
+        lost = cut_lineage(open_edges.join(seeds, [*node, "a"], "left_semi").select(*node, "b").distinct())
+        taken = lost if taken is None else taken.unionByName(lost)
+        left = open_edges.join(lost, [*node, "b"], "left_anti").join(lost.withColumnRenamed("b", "a"), [*node, "a"], "left_anti")
+        open_edges = cut_lineage(left.select(*node, "a", "b"))
+    return edges.select(*node, "b").limit(0) if taken is None else taken
 
 
 def shape_clusters(signatures: DataFrame, min_pages: int = 3) -> DataFrame:
-    """Greedy clusters of pages with one prefix and almost equal signatures.
+    """Clusters of pages with one prefix and almost equal signatures, as if gathered page by page in order.
 
-    Pages with equal signatures always share a cluster, so the greedy step sees only the
-    distinct signatures of a prefix with their page counts (streamed per group in batches,
-    first page first). Returns (site, prefix, cluster, signature, member_signature); the
+    Pages with equal signatures always share a cluster, so the work is on the distinct signatures of a
+    prefix, by first page: a signature that is one edit from no earlier seed is a seed, others go to the earliest
+    seed one edit away. Neighbours come from equi-joins, seeds from rounds over the whole table, so a prefix with
+    a third of all signatures is spread. Returns (site, prefix, cluster, signature, member_signature); the
     page list is the join ``cluster_pages``.
     """
-    distinct = signatures.groupBy("site", "prefix", "signature").agg(
-        F.count("*").alias("pages"), F.min("page_id").alias("first_page")
+    node = ["site", "prefix"]
+    distinct = cut_lineage(
+        signatures.groupBy("site", "prefix", "signature").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
     )
-    sized = distinct.groupBy("site", "prefix").agg(F.sum("pages").alias("prefix_pages"))
-    ready = distinct.join(sized.filter(F.col("prefix_pages") >= min_pages), ["site", "prefix"])
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = []
-        for pdf in batches:
-            shapes += [(int(f), tuple(s), int(n)) for f, s, n in zip(pdf.first_page, pdf.signature, pdf.pages)]
-            site, prefix = pdf.site.iloc[0], pdf.prefix.iloc[0]
-        shapes.sort()
-        used, out, number = set(), [], 0
-        index: dict[tuple, int] = {s: i for i, (_, s, _) in enumerate(shapes)}
-        kinds = sorted({k for _, s, _ in shapes for k in s})
-        for i, (_, seed, _) in enumerate(shapes):
-            if i in used:
-                continue
-            # neighbours are looked up by editing the seed, not by comparing all pairs
-            near = {i}
-            for p in range(len(seed) + 1):
-                if p < len(seed):
-                    near.add(index.get(seed[:p] + seed[p + 1 :], i))
-                for k in kinds:
-                    near.add(index.get(seed[:p] + (k,) + seed[p:], i))
-                    if p < len(seed):
-                        near.add(index.get(seed[:p] + (k,) + seed[p + 1 :], i))
-            members = sorted(m for m in near if m == i or m not in used)
-            used.update(members)
-            if sum(shapes[m][2] for m in members) < min_pages:
-                continue
-            order = [i] + [m for m in members if m != i]
-            shortest = min(order, key=lambda m: len(shapes[m][1]))
-            out += [(site, prefix, number, list(shapes[shortest][1]), list(shapes[m][1])) for m in order]
-            number += 1
-        yield pd.DataFrame(out, columns=["site", "prefix", "cluster", "signature", "member_signature"])
-
-    return ready.select("site", "prefix", "signature", "pages", "first_page").groupBy("site", "prefix").applyInPandas(
-        greedy,
-        "site string, prefix string, cluster int, signature array<string>, member_signature array<string>",
+    edges = cut_lineage(near_signatures(distinct))
+    taken = first_come_seeds(edges).select(*node, F.col("b").alias("first_page"))
+    seeds = distinct.select(*node, F.col("first_page").alias("a")).join(taken.withColumnRenamed("first_page", "a"), [*node, "a"], "left_anti")
+    owner = edges.join(seeds, [*node, "a"], "left_semi").groupBy(*node, F.col("b").alias("first_page")).agg(F.min("a").alias("seed"))
+    owner = owner.join(taken, [*node, "first_page"], "left_semi")
+    members = distinct.join(owner, [*node, "first_page"], "left").withColumn("seed", F.coalesce("seed", "first_page"))
+    groups = members.groupBy(*node, "seed").agg(
+        F.sum("pages").alias("pages"), F.min(F.struct(F.size("signature").alias("n"), "first_page", "signature"))["signature"].alias("shortest")
+    ).filter(F.col("pages") >= min_pages)
+    numbered = placed_within(groups.select(*node, "seed", "shortest"), node, ["seed"], "cluster").withColumn("cluster", F.col("cluster") - 1)
+    return members.join(numbered, [*node, "seed"]).select(
+        *node, "cluster", F.col("shortest").alias("signature"), F.col("signature").alias("member_signature")
     )
 
 

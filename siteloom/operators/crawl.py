@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls as U
-from siteloom.session import cut_lineage
+from siteloom.operators.spread import join_per_site, placed_within
+from siteloom.session import cut_lineage, scratch_path
 
 # Content types read as HTML and as XML; sitemap locations tried on every site.
 HTML_TYPES = ["text/html", "application/xhtml+xml"]
@@ -134,69 +135,105 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
     """Adds ``allowed``: the longest matching rule decides, allow wins ties, no rule allows.
 
-    A site's rules travel as one array (they come from one bounded file), so the join is an
-    equi-join on site and no row is multiplied.
+    Rules without wildcards are an index of prefixes: a path is cut to the lengths that occur among its
+    site's rules, and each cut is looked up by equi-join, so thousands of rules cost as many lookups as
+    they have lengths. Rules with ``*`` or ``$`` are few and tried one by one.
     """
-    rules = robots_rules(robots, agent)
+    rules = robots_rules(robots, agent).withColumn("n", F.length("pattern"))
+    wild = F.col("pattern").rlike(r"[*$]")
+    plain = rules.filter(~wild).groupBy("site", "pattern", "n").agg(F.max("allow").alias("allow"))
+    lengths = plain.groupBy("site").agg(F.collect_set("n").alias("_lengths"))
     escaped = F.regexp_replace("pattern", r"([.+?^{}()|\[\]\\])", r"\\$1")
     regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(escaped, r"\*", ".*"), r"\$(?!$)", r"\\$"))
-    lists = rules.groupBy("site").agg(
-        F.collect_list(
-            F.struct(F.length("pattern").alias("n"), "allow", "pattern", F.col("pattern").rlike(r"[*$]").alias("wild"), regex.alias("regex"))
-        ).alias("_rules")
-    )
+    tried = rules.filter(wild).groupBy("site").agg(F.collect_list(F.struct("n", "allow", regex.alias("regex"))).alias("_rules"))
+
     query = U.query_of("url")
     target = F.concat(U.path_of("url"), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    joined = urls.withColumn("_target", target).join(lists, "site", "left")
-    hits = F.filter(
-        "_rules",
-        lambda r: F.when(r["wild"], F.rlike(F.col("_target"), r["regex"])).otherwise(F.col("_target").startswith(r["pattern"])),
+    asked = urls.withColumn("_target", target)
+    targets = asked.select("site", "_target").distinct()
+    cuts = join_per_site(targets, lengths, "_target").select(
+        "site", "_target", F.explode(F.filter("_lengths", lambda n: n <= F.length("_target"))).alias("_n")
+    )
+    cuts = cuts.select("site", "_target", F.substring("_target", F.lit(1), F.col("_n")).alias("pattern"))
+    found = join_per_site(cuts, plain, "_target", on=("site", "pattern")).select("site", "_target", "n", "allow")
+    more = join_per_site(targets, tried, "_target").select(
+        "site", "_target", F.explode(F.filter("_rules", lambda r: F.rlike(F.col("_target"), r["regex"]))).alias("r")
+    )
+    verdict = found.unionByName(more.select("site", "_target", "r.n", "r.allow")).groupBy("site", "_target").agg(
+        F.max(F.struct("n", "allow"))["allow"].alias("allowed")
     )
-    verdict = F.array_max(F.transform(hits, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))["allow"]
-    return joined.withColumn("allowed", F.coalesce(verdict, F.lit(True))).drop("_target", "_rules")
+    out = asked.join(verdict, ["site", "_target"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    return out.select(*urls.columns, "allowed")
+
+
+def url_dictionary(pages: DataFrame) -> DataFrame:
+    """(site, url, id): each distinct page URL with a number that stays its own."""
+    return cut_lineage(pages.select("site", "url").distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
+def adjacency(links: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+    """(src, dst, pos) of the links between known URLs, and the name of the table that holds them.
+
+    Stored once, bucketed by ``src``: a join with some sources shuffles those and reads the links as they lie.
+    """
+    spark = links.sparkSession
+    source = ids.select("site", F.col("url").alias("from_url"), F.col("id").alias("src"))
+    target = ids.select("site", F.col("url").alias("to_url"), F.col("id").alias("dst"))
+    edges = links.join(source, ["site", "from_url"]).join(target, ["site", "to_url"]).groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    path = scratch_path(spark, "adjacency")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src").option("path", path).saveAsTable(name)
+    return spark.table(name), name
 
 
 def crawl_order(
-    links: DataFrame, seeds: DataFrame, pages: DataFrame, cap: int | None = None
+    links: DataFrame, seeds: DataFrame, pages: DataFrame, cap: int | None = None, places: bool = True
 ) -> DataFrame:
-    """Breadth-first discovery over a stored link table: site, url, depth (and place with a cap).
+    """Breadth-first discovery over a stored link table: site, url, depth and place in the site's queue.
 
     ``links``: site, from_url, to_url, pos; ``seeds``: site, url, pos; ``pages``: site, url.
-    With a cap the frontier never exceeds ``cap`` pages per site. Every level is checkpointed,
-    so neither the plan nor a lost executor costs more than one level.
+    A level joins the frontier with the adjacency table, drops what was seen and is placed by (place of
+    the page that links first, position of the link). With a cap the frontier never exceeds ``cap``
+    pages per site; without one, places come from ordered ranges, or are left null if not asked for.
+    Every level is checkpointed, so neither the plan nor a lost executor costs more than one level.
     """
-    known = pages.select("site", "url").distinct()
-
-    def ranked(found: DataFrame, depth: int, done: DataFrame | None) -> DataFrame:
+    spark = links.sparkSession
+    ids = url_dictionary(pages)
+    edges, table = adjacency(links, ids)
+
+    def placed(found: DataFrame, done: DataFrame | None) -> DataFrame:
+        if cap is None and not places:
+            return cut_lineage(found.select("site", "id", F.lit(None).cast("int").alias("place")))
+        found = found.select("site", "id", "url", F.col("ord.parent").alias("parent"), F.col("ord.pos").alias("pos"))
         if cap is None:
-            return found.select("site", "url", F.lit(depth).alias("depth"), F.lit(None).cast("int").alias("place"))
-        n = F.row_number().over(W.partitionBy("site").orderBy("ord", "url"))
-        out = found.withColumn("n", n).filter(F.col("n") <= cap)
+            out = placed_within(found, ["site"], ["parent", "pos", "url"], "n")
+        else:
+            n = F.row_number().over(W.partitionBy("site").orderBy("parent", "pos", "url"))
+            out = found.withColumn("n", n).filter(F.col("n") <= cap)
         if done is not None:
             counts = done.groupBy("site").agg(F.count("*").alias("before"))
-            out = out.join(counts, "site").withColumn("n", (F.col("n") + F.col("before")).cast("int"))
-        return out.filter(F.col("n") <= cap).select("site", "url", F.lit(depth).alias("depth"), F.col("n").alias("place"))
+            out = join_per_site(out, counts, "id").withColumn("n", (F.col("n") + F.col("before")).cast("int"))
+        out = out.select("site", "id", F.col("n").alias("place"))
+        return cut_lineage(out if cap is None else out.filter(F.col("place") <= cap))
 
-    start = seeds.join(known, ["site", "url"], "left_semi").groupBy("site", "url").agg(
+    start = seeds.join(ids, ["site", "url"]).groupBy("site", "url", "id").agg(
         F.min(F.struct(F.lit(0).alias("parent"), "pos")).alias("ord")
     )
-    frontier = cut_lineage(ranked(start, 0, None))
+    frontier = placed(start, None).withColumn("depth", F.lit(0))
     seen, depth = frontier, 0
     while True:
         depth += 1
-        out = frontier.select("site", F.col("url").alias("from_url"), F.coalesce("place", F.lit(0)).alias("parent")).join(
-            links, ["site", "from_url"]
-        )
-        found = (
-            out.groupBy("site", F.col("to_url").alias("url"))
-            .agg(F.min(F.struct("parent", "pos")).alias("ord"))
-            .join(known, ["site", "url"], "left_semi")
-            .join(seen.select("site", "url"), ["site", "url"], "left_anti")
-        )
-        frontier = cut_lineage(ranked(found, depth, seen))
+        out = frontier.select(F.col("id").alias("src"), F.coalesce("place", F.lit(0)).alias("parent")).join(edges, "src")
+        found = out.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("ord")).join(seen.select("id"), "id", "left_anti")
+        frontier = placed(found.join(ids, "id"), seen).withColumn("depth", F.lit(depth))
         if frontier.isEmpty():  # every level holds new pages only, so this ends
-            return seen
+            break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:
+            seen = cut_lineage(seen)
+    spark.sql(f"DROP TABLE {table}")  # every level is checkpointed by now
+    return seen.join(ids, ["site", "id"]).select("site", "url", "depth", "place")
 
 
 def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -149,7 +149,22 @@ def _(spark, d):
     )
 
 
-@query("shape_clusters", covers="D8")
+# signature by signature in the order of first pages: the first seed one edit away takes it, else it is a seed
+CLUSTERS = f"""{LINES},
+nd AS (SELECT *, row_number() OVER (PARTITION BY site, prefix ORDER BY fp) AS k FROM (
+  SELECT site, prefix, signature, n, replace(replace(replace(replace(signature, 'short', 's'), 'medium', 'm'), 'long', 'l'), ',', '') AS code, count(*) AS pages, min(page_id) AS fp
+  FROM sg GROUP BY ALL)),
+gr AS (SELECT DISTINCT site, prefix, 0::BIGINT AS k, []::VARCHAR[] AS seeds FROM nd
+  UNION ALL SELECT g.site, g.prefix, nd.k, CASE WHEN len(list_filter(g.seeds, lambda s: levenshtein(s, code) <= 1)) > 0 THEN g.seeds ELSE list_append(g.seeds, code) END
+  FROM gr g JOIN nd ON nd.site = g.site AND nd.prefix = g.prefix AND nd.k = g.k + 1),
+mb AS (SELECT nd.*, list_filter(seeds, lambda s: levenshtein(s, code) <= 1)[1] AS seed
+  FROM nd JOIN (SELECT site, prefix, arg_max(seeds, k) AS seeds FROM gr GROUP BY ALL) f USING (site, prefix)),
+cg AS (SELECT site, prefix, seed, first(signature ORDER BY n, fp) AS shortest, (row_number() OVER (PARTITION BY site, prefix ORDER BY min(fp)) - 1)::INT AS cluster
+  FROM mb GROUP BY site, prefix, seed HAVING sum(pages) >= 3),
+cm AS (SELECT sg.site, sg.prefix, cluster, page_id, shortest FROM sg JOIN mb USING (site, prefix, signature) JOIN cg USING (site, prefix, seed))"""
+
+
+@query("shape_clusters", f"WITH RECURSIVE {CLUSTERS} SELECT site, prefix, cluster, page_id FROM cm", covers="D8")
 def _(spark, d):
     sig = line_signatures(spark, d)
     members = C.cluster_pages(sig, C.shape_clusters(sig))

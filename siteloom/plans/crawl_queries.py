@@ -13,14 +13,21 @@ from siteloom.plans.registry import query
 from siteloom.session import scratch_path
 from siteloom.sources import sync as S
 from siteloom.sources import tables as T
-
-GRID = """gp AS (
-  SELECT 's' || (page_id % 20) AS site, page_id, page_id // 20 AS k,
-    CASE WHEN page_id // 20 = 0 THEN '/' ELSE '/p/' || (page_id // 20) END AS path,
-    CASE WHEN page_id % 17 = 0 THEN 404 ELSE 200 END AS http_status FROM pages),
-gl AS (SELECT site, page_id, path AS from_path, t.pos AS pos, t.p AS to_path FROM gp,
-  LATERAL (VALUES (0, '/p/' || (2 * k + 2)), (1, CASE WHEN k % 4 <> 2 THEN '/p/' || (2 * k + 1) END), (2, CASE WHEN k % 3 = 0 THEN '/p/' || (k + 3) END),
-                  (3, CASE WHEN k % 5 = 0 THEN '/gone/' || k END)) t(pos, p) WHERE t.p IS NOT NULL)"""
+from siteloom.sources.site_table import SiteTable
+
+# links of the pages' HTML, those that several pages of a site carry leading from one of them to the next
+LINKED = f"""{D.PG},
+h0 AS (SELECT site, page_id, url, regexp_extract_all(html, '(?is)<a[^>]*?href\\s*=\\s*["\'\']([^"\'\']*)["\'\']', 1) AS hs FROM pg),
+h1 AS (SELECT site, page_id, url, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS pos FROM h0),
+h2 AS (SELECT site, page_id, url, {D.canon_rel('href', 'url')} AS link, pos FROM h1 WHERE href <> ''),
+rl AS (SELECT site, page_id, url, link, min(pos)::INT AS pos FROM h2 GROUP BY ALL),
+h3 AS (SELECT site, page_id, url, {D.norm_path(D.path('link'))} AS subject, min(pos) AS pos, arg_min(link, pos) AS link FROM rl GROUP BY ALL),
+lk AS (SELECT site, page_id, {D.canon_abs('url')} AS from_url, pos,
+    CASE WHEN count(*) OVER (PARTITION BY site, subject) = 1 THEN link
+         ELSE coalesce(lead({D.canon_abs('url')}) OVER (PARTITION BY site, subject ORDER BY page_id), first_value({D.canon_abs('url')}) OVER (PARTITION BY site, subject ORDER BY page_id)) END AS to_url FROM h3),
+pu AS (SELECT site, {D.canon_abs('url')} AS url, min(page_id) AS page_id FROM pg GROUP BY ALL),
+ad AS (SELECT site, from_url, list(to_url ORDER BY pos, to_url) AS targets FROM (SELECT lk.site, from_url, to_url, min(pos) AS pos FROM lk JOIN pu ON pu.site = lk.site AND pu.url = lk.to_url GROUP BY ALL) GROUP BY ALL),
+sd AS (SELECT site, arg_min(url, page_id) AS url FROM pu GROUP BY site)"""
 
 _FETCH = """f AS (SELECT page_id, url || CASE page_id % 9 WHEN 3 THEN '/feed.xml' ELSE '' END AS url,
   CASE page_id % 9 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 4 THEN 'Application/XML'
@@ -63,40 +70,75 @@ def _(spark, d):
     return K.asset_links(links, log)
 
 
+SITEMAP_PAGES = 100  # pages a sitemap lists
+
+
+def site_origins(spark, d):
+    """Scheme and host of each site's first page."""
+    origin = F.regexp_extract("page_url", "^([a-z]+://[^/]+)", 1)
+    return V.canonical_pages(spark, d).groupBy("site").agg(F.min_by(origin, "page_id").alias("origin"))
+
+
 def sitemap_docs(spark, d):
-    """One urlset per grid page, one index per tenth page, soft 404s among them."""
-    g = V.grid_pages(spark, d)
-    origin = F.concat(F.lit("https://"), "site", F.lit(".example"))
-    k = F.col("k").cast("string")
-    urlset = g.select(
-        "site", F.concat(origin, F.lit("/sm/"), k, F.lit(".xml")).alias("url"),
-        F.when(F.col("k") % 7 == 6, "text/html").otherwise("application/xml").alias("content_type"),
-        F.concat(F.lit('<?xml version="1.0"?><urlset><url><loc> '), "url", F.lit("?utm_source=map </loc></url><url><loc>"),
-                 F.lit("https://other.example/x</loc></url></urlset>")).alias("body"),
+    """Sitemaps of the pages and the links in their HTML: one for each hundred pages of a site's section, an index a section.
+
+    Indexes list themselves first; those of the section ``es`` answer with HTML.
+    """
+    pages = T.read_pages(spark, d)
+    section = F.split_part("path", F.lit("/"), F.lit(2))
+    part = F.floor(F.col("page_id") / SITEMAP_PAGES).cast("long")
+    own = pages.select("site", "page_id", F.lit(-1).alias("pos"), F.col("url").alias("loc"))
+    locs = own.unionByName(L.page_links(pages).select("site", "page_id", "pos", F.col("link").alias("loc")))
+    listed = locs.join(pages.select("site", "page_id", section.alias("section"), part.alias("part")), ["site", "page_id"])
+    entry = F.concat(F.lit("<url><loc> "), F.replace("loc", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    in_order = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["e"]), "")
+    urlsets = listed.groupBy("site", "section", "part").agg(in_order(F.struct("page_id", "pos", entry.alias("e"))).alias("locs"))
+    urlsets = urlsets.join(site_origins(spark, d), "site")
+    at = F.concat("origin", F.lit("/sm/"), "section", F.lit("-"), F.col("part").cast("string"), F.lit(".xml"))
+    html = F.when(F.col("section") == "es", "text/html").otherwise("application/xml")
+    maps = urlsets.select(
+        "site", at.alias("url"), html.alias("content_type"),
+        F.concat(F.lit('<?xml version="1.0"?><urlset>'), "locs", F.lit("<url><loc>https://other.example/x</loc></url></urlset>")).alias("body"),
+    )
+    place = F.concat("origin", F.lit("/index/"), "section", F.lit(".xml"))
+    index = urlsets.withColumn("at", at).groupBy("site", "origin", "section").agg(
+        in_order(F.struct("part", F.concat(F.lit("<sitemap><loc>"), "at", F.lit("</loc></sitemap>")).alias("e"))).alias("locs")
     )
-    index = g.filter("k % 2 = 0").select(
-        "site", F.concat(origin, F.lit("/index/"), k, F.lit(".xml")).alias("url"), F.lit("text/xml").alias("content_type"),
-        F.concat(F.lit("<sitemapindex><sitemap><loc>"), origin, F.lit("/sm/"), k, F.lit(".xml</loc></sitemap><sitemap><loc>"),
-                 origin, F.lit("/index/"), (F.col("k") + 4).cast("string"), F.lit(".xml</loc></sitemap></sitemapindex>")).alias("body"),
+    index = index.select(
+        "site", place.alias("url"), F.lit("text/xml").alias("content_type"),
+        F.concat(F.lit("<sitemapindex><sitemap><loc>"), place, F.lit("</loc></sitemap>"), "locs", F.lit("</sitemapindex>")).alias("body"),
     )
-    return urlset.unionByName(index)
+    return maps.unionByName(index)
 
 
 def robots_files(spark, d):
-    g = V.grid_pages(spark, d).select("site").distinct()
-    origin = F.concat(F.lit("https://"), "site", F.lit(".example"))
+    """One robots.txt a site: rules on its sections, on some of its pages, a wildcard, and its sitemap indexes."""
+    pages = T.read_pages(spark, d)
+    section = F.split_part("path", F.lit("/"), F.lit(2))
+    rules = F.array(
+        F.concat(F.lit("Disallow: /"), section, F.lit("/1")), F.concat(F.lit("Allow: /"), section, F.lit("/11")), F.concat(F.lit("Disallow: /"), section, F.lit("/2"))
+    )
+    some = F.when(F.col("page_id") % 7 == 0, F.array(F.concat(F.lit("Disallow: "), "path"))).otherwise(F.array(F.concat(F.lit("Sitemap: "), section)))
+    lines = pages.select("site", F.explode(F.concat(rules, some)).alias("line")).distinct().join(site_origins(spark, d), "site")
+    line = F.when(F.col("line").startswith("Sitemap: "), F.concat(F.lit("sitemap: "), "origin", F.lit("/index/"), F.substring("line", 10, 100), F.lit(".xml"))).otherwise(F.col("line"))
     body = F.concat(
-        F.lit("# rules\nUser-agent: otherbot\nDisallow: /\n\nUser-agent: *\nDisallow: /p/1\nAllow: /p/11\nDisallow: /*5$\nDisallow:\nSitemap: "),
-        origin, F.lit("/index/0.xml\nsitemap: "), origin, F.lit("/sm/1.xml\n"),
+        F.lit("# rules\nUser-agent: otherbot\nDisallow: /\n\nUser-agent: *\nDisallow: /*5$\nDisallow:\n"),
+        F.array_join(F.array_sort(F.collect_list(line)), "\n"),
     )
-    return g.select("site", origin.alias("origin"), body.alias("body"))
+    return lines.groupBy("site", "origin").agg(body.alias("body"))
 
 
 @query(
     "sitemap_urls",
-    f"""WITH RECURSIVE {GRID}, c AS (SELECT site, k, row_number() OVER (PARTITION BY site ORDER BY lv, k)::INT AS place, path FROM (
-      SELECT site, k, path, CASE WHEN k = 1 THEN 0 ELSE 1 + k // 4 END AS lv FROM gp WHERE (k % 4 = 0 OR k = 1) AND k % 7 <> 6))
-    SELECT site, 'https://' || site || '.example' || path AS url, place FROM c""",
+    f"""WITH {LINKED}, og AS (SELECT site, arg_min(regexp_extract({D.canon_abs('url')}, '^([a-z]+://[^/]+)', 1), page_id) AS origin FROM pg GROUP BY site),
+    lc AS (SELECT site, page_id, -1 AS pos, url AS loc FROM pg UNION ALL SELECT site, page_id, pos, link FROM rl),
+    sq AS (SELECT lc.site, {D.canon_abs('loc')} AS url, row_number() OVER (PARTITION BY lc.site ORDER BY split_part(path, '/', 2), lc.page_id // 100, lc.page_id, pos, loc) AS n
+      FROM lc JOIN pg USING (site, page_id) WHERE split_part(path, '/', 2) <> 'es'
+        -- an index is listed by robots.txt if a page of its section has no rule of its own
+        AND (lc.site, split_part(path, '/', 2)) IN (SELECT (site, split_part(path, '/', 2)) FROM pg WHERE page_id % 7 <> 0)),
+    sf AS (SELECT sq.site, sq.url, min(n) AS n FROM sq JOIN og USING (site)
+      WHERE regexp_extract(sq.url, '^([a-z]+)://', 1) = regexp_extract(origin, '^([a-z]+)://', 1) AND {D.site('sq.url')} = sq.site GROUP BY ALL)
+    SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY n)::INT AS place FROM sf""",
     covers="A3",
 )
 def _(spark, d):
@@ -105,48 +147,63 @@ def _(spark, d):
 
 @query(
     "robots_allowed",
-    f"""WITH {GRID}, r(allow, re, n) AS (VALUES (false, '^/p/1', 4), (true, '^/p/11', 5), (false, '^/.*5$', 4))
-    SELECT site, page_id, coalesce(arg_max(allow, n * 2 + allow::INT), true) AS allowed
-    FROM gp LEFT JOIN r ON regexp_matches(path, re) GROUP BY site, page_id""",
+    f"""WITH {D.PG}, r AS (SELECT DISTINCT site, unnest([{{'a': false, 'p': '/' || seg || '/1'}}, {{'a': true, 'p': '/' || seg || '/11'}}, {{'a': false, 'p': '/' || seg || '/2'}}]) AS r
+        FROM (SELECT site, split_part(path, '/', 2) AS seg FROM pg)
+      UNION SELECT site, {{'a': false, 'p': path}} FROM pg WHERE page_id % 7 = 0),
+    t AS (SELECT site, page_id, {D.esc(D.path('url'))} || CASE WHEN regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) <> '' THEN '?' || regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) ELSE '' END AS target FROM pg),
+    m AS (SELECT t.site, page_id, length(r.p) AS n, r.a AS allow FROM t JOIN r ON r.site = t.site AND starts_with(target, r.p)
+      UNION ALL SELECT site, page_id, 4, false FROM t WHERE target LIKE '/%5')
+    SELECT t.site, t.page_id, coalesce(arg_max(allow, n * 2 + allow::INT), true) AS allowed FROM t LEFT JOIN m USING (site, page_id) GROUP BY ALL""",
     covers="A4",
 )
 def _(spark, d):
-    return K.robots_allowed(V.grid_pages(spark, d), robots_files(spark, d)).select("site", "page_id", "allowed")
+    return K.robots_allowed(T.read_pages(spark, d), robots_files(spark, d)).select("site", "page_id", "allowed")
+
+
+def crawl_inputs(spark, d):
+    """Links of the pages' HTML, each site's first page as seed, and the pages' URLs."""
+    pages = V.canonical_pages(spark, d)
+    seeds = pages.groupBy("site").agg(F.min_by("page_url", "page_id").alias("url")).withColumn("pos", F.lit(0))
+    return V.related_links(pages).select("site", "from_url", "to_url", "pos"), seeds, pages.select("site", F.col("page_url").alias("url"))
 
 
-@query("crawl_order", covers="C18")
+# one queue a site: the page at its head appends the pages it links to that the queue does not hold
+QUEUE = f"""{LINKED}, qu AS (SELECT site, 1 AS i, [url] AS q FROM sd
+  UNION ALL SELECT qu.site, i + 1, list_concat(q, list_filter(coalesce(targets, []), lambda x: NOT list_contains(q, x)))
+  FROM qu LEFT JOIN ad ON ad.site = qu.site AND ad.from_url = q[i] WHERE i <= len(q)),
+qf AS (SELECT site, unnest(q) AS url, generate_subscripts(q, 1)::INT AS place FROM qu WHERE i = len(q) + 1),
+bfs AS (SELECT site, url, 0 AS depth FROM sd UNION SELECT b.site, unnest(targets), depth + 1 FROM bfs b JOIN ad ON ad.site = b.site AND ad.from_url = b.url WHERE depth < 60),
+dp AS (SELECT site, url, min(depth)::INT AS depth FROM bfs GROUP BY ALL)"""
+
+
+@query("crawl_order", f"WITH RECURSIVE {QUEUE} SELECT site, url, depth, place FROM qf JOIN dp USING (site, url) WHERE place <= 5", covers="C18")
 def _(spark, d):
-    g = V.grid_pages(spark, d)
-    links = V.grid_links(g).select("site", F.col("url").alias("from_url"), "to_url", "pos")
-    seeds = g.filter("k = 0").select("site", "url", F.lit(0).alias("pos"))
-    return K.crawl_order(links, seeds, g, cap=10)  # the page limit of a crawl
+    return K.crawl_order(*crawl_inputs(spark, d), cap=5)  # the page limit of a crawl
 
 
-@query(
-    "crawl_depths",
-    f"""WITH RECURSIVE {GRID}, bfs AS (
-      SELECT site, path, 0 AS depth FROM gp WHERE k = 0
-      UNION SELECT b.site, g.path, b.depth + 1 FROM bfs b JOIN gl ON gl.site = b.site AND gl.from_path = b.path
-        JOIN gp g ON g.site = gl.site AND g.path = gl.to_path WHERE b.depth < 60)
-    SELECT site, 'https://' || site || '.example' || path AS url, min(depth)::INT AS depth FROM bfs GROUP BY ALL""",
-    covers="C18",
-)
+@query("crawl_places", f"WITH RECURSIVE {QUEUE} SELECT site, url, depth, place FROM qf JOIN dp USING (site, url)", covers="C18")
+def _(spark, d):
+    return K.crawl_order(*crawl_inputs(spark, d))
+
+
+@query("crawl_depths", f"WITH RECURSIVE {QUEUE} SELECT site, url, depth FROM dp", covers="C18")
 def _(spark, d):
-    g = V.grid_pages(spark, d)
-    links = V.grid_links(g).select("site", F.col("url").alias("from_url"), "to_url", "pos")
-    seeds = g.filter("k = 0").select("site", "url", F.lit(0).alias("pos"))
-    return K.crawl_order(links, seeds, g, cap=None).select("site", "url", "depth")
+    return K.crawl_order(*crawl_inputs(spark, d), places=False).select("site", "url", "depth")
 
 
-_GRAPH = f"""{GRID}, gg AS (SELECT DISTINCT l.site, l.page_id AS from_page, to_path AS target_path, t.page_id AS to_page,
-  CASE WHEN t.page_id IS NULL THEN 'dangling' WHEN t.http_status >= 400 THEN 'error-target' ELSE 'ok' END AS state
-  FROM gl l LEFT JOIN gp t ON t.site = l.site AND t.path = l.to_path)"""
+_GRAPH = f"""{LINKED}, tg AS (SELECT site, {D.norm_path('path')} AS target_path, min(page_id) AS to_page, arg_min(http_status, page_id) AS http_status FROM pg GROUP BY ALL),
+gg AS (SELECT DISTINCT l.site, l.page_id AS from_page, l.target_path, to_page, CASE WHEN to_page IS NULL THEN 'dangling' WHEN http_status >= 400 THEN 'error-target' ELSE 'ok' END AS state
+  FROM (SELECT site, page_id, {D.norm_path(D.path('to_url'))} AS target_path FROM lk) l LEFT JOIN tg ON tg.site = l.site AND tg.target_path = l.target_path)"""
+
+
+def page_graph(spark, d):
+    pages = V.canonical_pages(spark, d)
+    return K.link_graph(V.related_links(pages).withColumn("path", U.path_of("to_url")), pages)
 
 
 @query("link_graph", f"WITH {_GRAPH} SELECT * FROM gg", covers="C19")
 def _(spark, d):
-    g = V.grid_pages(spark, d)
-    return K.link_graph(V.grid_links(g), g)
+    return page_graph(spark, d)
 
 
 @query(
@@ -166,27 +223,28 @@ def _(spark, d):
 
 @query(
     "orphan_pages",
-    f"""WITH {_GRAPH} SELECT site, page_id, path FROM gp WHERE path <> '/' AND NOT EXISTS (
-      SELECT 1 FROM gg WHERE gg.site = gp.site AND gg.target_path = gp.path AND gg.to_page <> gg.from_page)""",
+    f"""WITH {_GRAPH} SELECT site, page_id, {D.norm_path('path')} AS path FROM pg WHERE path <> '/' AND NOT EXISTS (
+      SELECT 1 FROM gg WHERE gg.site = pg.site AND gg.target_path = {D.norm_path('pg.path')} AND gg.to_page <> gg.from_page)""",
     covers="F16 C19",
 )
 def _(spark, d):
-    g = V.grid_pages(spark, d)
-    return K.orphan_pages(K.link_graph(V.grid_links(g), g), g)
+    return K.orphan_pages(page_graph(spark, d), T.read_pages(spark, d))
 
 
 @query(
     "replaced_site_pages",
-    f"""WITH {GRID} SELECT site, page_id, path, CASE WHEN site IN ('s3', 's7') THEN 2 ELSE 1 END::INT AS run FROM gp
-    WHERE site NOT IN ('s3', 's7') OR k % 2 = 0""",
+    f"""WITH {D.PG} SELECT site, page_id, url, path, md5(html) AS digest, CASE WHEN site LIKE 'blog.%' THEN 2 ELSE 1 END::INT AS run FROM pg
+    WHERE site NOT LIKE 'blog.%' OR (page_id % 2 = 0 AND site NOT LIKE '%.net')""",
     covers="A5",
 )
 def _(spark, d):
-    g = V.grid_pages(spark, d).select("site", "page_id", "path", "k")
-    out = scratch_path(spark, "site_pages")
-    S.overwrite_site(g.withColumn("run", F.lit(1)), out)
-    S.overwrite_site(g.filter("site in ('s3', 's7') and k % 2 = 0").withColumn("run", F.lit(2)), out)
-    return spark.read.schema("page_id long, path string, run int, site string").parquet(out)
+    pages = T.read_pages(spark, d).select("site", "page_id", "url", "path", F.md5("html").alias("digest"))
+    out = SiteTable(spark, scratch_path(spark, "site_pages"))
+    out.replace(pages.withColumn("run", F.lit(1)), run="first")
+    again = pages.filter("site like 'blog.%'")
+    found = again.filter("page_id % 2 = 0 and site not like '%.net'").withColumn("run", F.lit(2))
+    out.replace(found, again.select("site").distinct(), "again")  # a crawl that finds no page clears its site
+    return out.read()
 
 
 def stored_questions(spark, d):
@@ -221,6 +279,26 @@ def _(spark, d):
     return S.sync_by_id(planned, existing, {"answer": answered}, ~answered, ["site", "question_id"])
 
 
+@query(
+    "applied_sync",
+    """WITH b AS (SELECT conv_id AS site, turn AS question_id, length(text)::BIGINT AS pages, conv_id + turn AS n FROM conversations WHERE role = 'user')
+    SELECT site, question_id, CASE WHEN site % 2 = 1 THEN pages - 1 WHEN n % 5 <> 0 THEN pages ELSE pages - 1 END AS pages,
+      CASE WHEN n % 3 <> 0 AND n % 2 = 0 THEN 'a' || site END AS answer
+    FROM b WHERE CASE WHEN site % 2 = 1 THEN n % 3 <> 0 ELSE n % 5 <> 0 OR (n % 3 <> 0 AND n % 2 = 0) END""",
+    covers="A6",
+)
+def _(spark, d):
+    """The plans of every other site are synced into the stored questions; the rest of the table stays as it lies."""
+    planned, existing = stored_questions(spark, d)
+    out = SiteTable(spark, scratch_path(spark, "questions"))
+    out.replace(existing, run="stored")
+    even = F.col("site") % 2 == 0
+    answered = F.col("old_answer").isNotNull()
+    changes = S.sync_by_id(planned.filter(even), existing.filter(even), {"answer": answered}, ~answered, ["site", "question_id"])
+    out.apply(changes, ["site", "question_id"], "synced")
+    return out.read()
+
+
 @query(
     "preferred_drafts",
     """WITH v AS (SELECT lang AS site, doc_id // 2 AS n, doc_id % 2 = 1 AND doc_id % 3 = 0 AS is_draft, doc_id % 2 = 0 OR doc_id % 3 = 0 AS ok, n_chars FROM documents)

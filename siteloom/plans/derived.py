@@ -7,8 +7,11 @@ starts from the same rows. Every derived table grows with the table it comes fro
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siteloom.functions import urls as U
+from siteloom.operators import links as L
 from siteloom.sources import tables as T
 
 # Page HTML with the marks the supplied pages lack: meta tags, colours, a logo, images,
@@ -52,29 +55,26 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     return T.read_pages(spark, folder).withColumn("html", F.expr(RICH_HTML))
 
 
-def grid_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages laid out as 20 sites with paths /p/0, /p/1, … so that link targets exist."""
-    p = T.table(spark, folder, "pages").select("page_id")
-    k = F.expr("cast(floor(page_id / 20) as bigint)")
-    path = F.when(k == 0, "/").otherwise(F.concat(F.lit("/p/"), k.cast("string")))
-    site = F.concat(F.lit("s"), (F.col("page_id") % 20).cast("string"))
-    return p.select(
-        site.alias("site"), "page_id", path.alias("path"),
-        F.concat(F.lit("https://"), site, F.lit(".example"), path).alias("url"),
-        T.synthetic_status(F.col("page_id")).alias("http_status"),
-        k.alias("k"),
-    )
+def canonical_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with ``page_url``, the canonical form of their URL."""
+    return U.keep_valid(U.add_canonical(T.read_pages(spark, folder), "url", "url", "page_url"), "page_url")
 
 
-def grid_links(pages: DataFrame) -> DataFrame:
-    """Three links per grid page (to 2k+2, 2k+1 and k+3) and some dangling ones."""
-    k = F.col("k")
-    path = lambda n: F.concat(F.lit("/p/"), n.cast("string"))
-    targets = F.array(
-        path(2 * k + 2), F.when(k % 4 != 2, path(2 * k + 1)), F.when(k % 3 == 0, path(k + 3)), F.when(k % 5 == 0, F.concat(F.lit("/gone/"), k.cast("string")))
-    )
-    rows = pages.select("site", "page_id", "url", F.posexplode(targets).alias("pos", "path")).filter("path is not null")
-    return rows.withColumn("to_url", F.concat(F.lit("https://"), "site", F.lit(".example"), "path"))
+def related_links(pages: DataFrame) -> DataFrame:
+    """Links of the pages' HTML: site, page_id, from_url, to_url, pos.
+
+    The supplied pages link to paths that no page has. Pages of a site that carry one such path are taken to
+    treat one subject: its link leads to the next of them, the last one's to the first. A path that one page
+    alone carries stays a link without a page.
+    """
+    links = L.page_links(pages).filter(U.same_site("link", "url")).withColumn("subject", U.norm_path(U.path_of("link")))
+    once = links.groupBy("site", "page_id", "subject").agg(F.min(F.struct("pos", "link")).alias("l"))
+    rows = once.join(pages.select("site", "page_id", "page_url"), ["site", "page_id"])
+    ring = W.partitionBy("site", "subject").orderBy("page_id")
+    whole = ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    after = F.coalesce(F.lead("page_url").over(ring), F.first("page_url").over(whole))
+    alone = F.count("*").over(whole) == 1
+    return rows.select("site", "page_id", F.col("page_url").alias("from_url"), F.when(alone, F.col("l.link")).otherwise(after).alias("to_url"), F.col("l.pos").alias("pos"))
 
 
 # One proposed type per (site, first path segment), names and decisions spread by the first page.

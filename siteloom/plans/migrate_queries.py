@@ -286,20 +286,6 @@ def _(spark, d):
     return M.plan_accounting(t, M.redirect_ledger(t))
 
 
-@query("collection_fields", covers="G10")
-def _(spark, d):
-    t = targets(spark, d).filter("state = 'mapped' and type <> 'page'")
-    types = V.proposal_types(spark, d)
-    fields = V.proposal_fields(types)
-    pages = V.titled_pages(spark, d)
-    titles = M.clean_titles(pages, M.site_names(pages))
-    texts = pages.select("site", "page_id", X.corpus().alias("text"))
-    atoms = E.page_atoms(V.rich_pages(spark, d))
-    docs = t.join(pages.select("site", "page_id", "url"), ["site", "page_id"])
-    docs = docs.select("site", "page_id", "doc_id", "type", "slug", "url")
-    return M.fill_fields(docs, fields, M.page_summaries(titles, atoms, texts))
-
-
 @query(
     "contact_blocks",
     f"""WITH {D.DP}, t AS (SELECT DISTINCT site, 'page-' || regexp_replace(trim(path, '/'), '[^a-zA-Z0-9_-]+', '-', 'g') AS doc_id FROM dp WHERE http_status < 400 AND path LIKE '%/contact')
@@ -313,6 +299,13 @@ def _(spark, d):
     return M.contact_blocks(M.assign_targets(docs, none, decided))
 
 
+# (site, page_id, text, n): distinct paragraphs of the enriched pages in order
+PARAGRAPHS = f"""SELECT site, page_id, text, min(n) AS n FROM (
+  SELECT site, page_id, n, {D.squash(D.ents("regexp_replace(replace(part, '<br>', ' '), '<[^>]*>', '', 'g')"))} AS text FROM (
+    SELECT site, page_id, generate_subscripts(parts, 1) - 1 AS n, unnest(parts) AS part FROM (
+      SELECT site, page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS parts FROM pg)))
+  WHERE n > 0 AND length(text) >= 2 GROUP BY ALL"""
+
 # rich pages → blocks: hero with the first paragraph, then the rest with the last image kept out
 _BLK = f"""{RICH}, a1 AS (SELECT site, page_id, url, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS parts FROM pg),
 a2 AS (SELECT site, page_id, generate_subscripts(parts, 1) - 1 AS n, unnest(parts) AS part FROM a1),

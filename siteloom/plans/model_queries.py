@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from siteloom.operators import condense as C
+from siteloom.operators import elements as E
 from siteloom.operators import extract as X
+from siteloom.operators import migrate as M
 from siteloom.operators import model as MD
 from siteloom.plans import condense_queries as CQ
 from siteloom.plans import derived as V
@@ -313,6 +317,36 @@ def _(spark, d):
     return MD.merge_hints(t, V.proposal_fields(t))
 
 
+# titled pages under names of their own, as the targets read the enriched ones
+_OWN = re.sub(r"\b(pg|px0|px1|px|pc|tp|tn|tq|tc|tb|sn)\b", r"q_\1", MQ.NAMES)
+_TITLE = """CASE WHEN site_name IS NULL THEN trim(title) ELSE coalesce(nullif(trim(array_to_string(list_filter(regexp_split_to_array(trim(title), '\\s+[|–—-]\\s+'),
+  lambda p: trim(p) <> site_name), ' – ')), ''), site_name) END"""
+FIELD_VALUES = f"""{MQ.TARGETS}, {PF.removeprefix(PT + ", ")}, {_OWN},
+fb AS (SELECT q_tp.site, q_tp.page_id, q_tp.url, {_TITLE} AS clean_title,
+    regexp_extract(array_to_string(list_concat([title], list_concat(headings, list_transform(secs, lambda s: s.text))), chr(10)), '{D.PRICE}') AS price
+  FROM q_tp JOIN (SELECT page_id, headings, secs FROM q_px) x USING (page_id) LEFT JOIN q_sn ON q_sn.site = q_tp.site),
+fa AS (SELECT page_id, list(text ORDER BY n) FILTER (length(text) > 20) AS paras FROM ({MQ.PARAGRAPHS}) GROUP BY ALL),
+fd AS (SELECT tg.site, tg.page_id, doc_id, type, regexp_replace(regexp_replace(regexp_extract(old_path, '([^/]*)$', 1), '[^a-zA-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+  FROM tg WHERE state = 'mapped' AND type <> 'page'),
+fv AS (SELECT fd.site, doc_id, field_name, CASE field_name WHEN 'title' THEN clean_title WHEN 'slug' THEN slug WHEN 'summary' THEN array_to_string(paras, ' ') WHEN 'body' THEN array_to_string(paras, chr(10) || chr(10))
+    WHEN 'photo' THEN lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || {D.host('url')} || '/img/' || (fd.page_id % 9) || '.jpg'
+    WHEN 'price' THEN CASE WHEN try_cast(regexp_replace(price, '[^0-9.]', '', 'g') AS DOUBLE) > 0 THEN try_cast(regexp_replace(price, '[^0-9.]', '', 'g') AS DOUBLE)::VARCHAR END END AS value
+  FROM fd JOIN pf ON pf.site = fd.site AND pf.type_name = fd.type JOIN fb ON fb.page_id = fd.page_id LEFT JOIN fa ON fa.page_id = fd.page_id)"""
+
+
+@query("collection_fields", f"WITH {FIELD_VALUES} SELECT * FROM fv WHERE coalesce(value, '') <> ''", covers="G10")
+def _(spark, d):
+    t = MQ.targets(spark, d).filter("state = 'mapped' and type <> 'page'")
+    types = V.proposal_types(spark, d)
+    pages = V.titled_pages(spark, d)
+    titles = M.clean_titles(pages, M.site_names(pages))
+    texts = pages.select("site", "page_id", X.corpus().alias("text"))
+    atoms = E.page_atoms(V.rich_pages(spark, d))
+    docs = t.join(pages.select("site", "page_id", "url"), ["site", "page_id"])
+    docs = docs.select("site", "page_id", "doc_id", "type", "slug", "url")
+    return M.fill_fields(docs, V.proposal_fields(types), M.page_summaries(titles, atoms, texts))
+
+
 @query(
     "type_nodes",
     f"""WITH {PF}, s AS (SELECT pt.*, CASE WHEN kind = 'object' THEN CASE WHEN block_match IS NOT NULL THEN 'block' ELSE 'object' END ELSE 'document' END AS node FROM pt WHERE coalesce(decision, 'keep') NOT IN ('drop', 'merge')),
@@ -339,7 +373,12 @@ def _(spark, d):
     return MD.type_edges(t, V.proposal_fields(t))
 
 
-@query("inferred_collections", covers="E16")
+@query(
+    "inferred_collections",
+    f"""WITH RECURSIVE {CQ.CLUSTERS} SELECT site, substr(prefix, 2) || CASE WHEN cluster > 0 THEN (cluster + 1)::VARCHAR ELSE '' END AS name, 'document' AS kind, prefix, cluster,
+      shortest AS signature, count(*) AS pages, min(page_id) AS first_page FROM cm GROUP BY ALL""",
+    covers="E16",
+)
 def _(spark, d):
     sig = CQ.line_signatures(spark, d)
     clusters = C.shape_clusters(sig)

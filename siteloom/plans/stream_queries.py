@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.operators import migrate as M
+from siteloom.functions import urls as U
 from siteloom.plans import duck as D
-from siteloom.plans import migrate_queries as MQ
-from siteloom.plans.crawl_queries import GRID  # noqa: F401
 from siteloom.plans.registry import query
 from siteloom.sources import tables as T
 from siteloom.streaming import runner as R
@@ -112,20 +110,19 @@ def _(spark, d):
 
 @query(
     "stream_redirects",
-    f"""WITH {GRID}, m AS (SELECT DISTINCT site, path FROM gp WHERE k % 3 = 1)
-    SELECT gp.site, gp.page_id, gp.path, CASE WHEN m.path IS NOT NULL THEN 301 ELSE 200 END::INT AS status, CASE WHEN m.path IS NOT NULL THEN '/new' || gp.path ELSE gp.path END AS location
-    FROM gp LEFT JOIN m USING (site, path)""",
+    f"""WITH {D.PG}, m AS (SELECT site, page_id, {D.esc('path')} AS path FROM pg)
+    SELECT site, page_id, path, CASE WHEN length(path) > 1 AND path LIKE '%/' THEN 308 WHEN path LIKE '%.html' THEN 301 ELSE 200 END::INT AS status,
+      CASE WHEN length(path) > 1 AND path LIKE '%/' THEN {D.norm_path('path')} ELSE regexp_replace(path, '[.]html$', '') END AS location FROM m""",
     covers="J6",
 )
 def _(spark, d):
-    k = F.expr("cast(floor(page_id / 20) as bigint)")
-    site = F.concat(F.lit("s"), (F.col("page_id") % 20).cast("string"))
-    path = F.when(k == 0, "/").otherwise(F.concat(F.lit("/p/"), k.cast("string")))
+    site, path = U.site_key("url"), U.path_of("url")
     requests = R.read_stream(spark, d, "pages.parquet").select(site.alias("site"), "page_id", path.alias("path"))
 
     def load():
-        p = T.table(spark, d, "pages").select(site.alias("site"), path.alias("from_path"), k.alias("k")).filter("k % 3 = 1").distinct()
-        return p.select("site", "from_path", F.concat(F.lit("/new"), "from_path").alias("to_path"))
+        """Pages whose path ends in .html have moved to the path without it."""
+        moved = T.table(spark, d, "pages").select(site.alias("site"), path.alias("from_path")).filter(F.col("from_path").endswith(".html")).distinct()
+        return moved.withColumn("to_path", F.regexp_replace("from_path", "[.]html$", ""))
 
     return R.run_to_table(requests, "redirected", on_batch=ST.redirect_batches(load)).drop("batch")
 

@@ -15,6 +15,7 @@ from siteloom.plans.registry import query
 from siteloom.session import scratch_path, stored
 from siteloom.sources import sync as S
 from siteloom.sources import tables as T
+from siteloom.sources.site_table import SiteTable
 
 PAGE_ENT = "en AS (SELECT site, page_id, path, url, 'phones' AS kind, '0326015' || (60 + page_id % 3) AS value FROM pg WHERE http_status < 400)"
 
@@ -339,19 +340,16 @@ def _(spark, d):
 
 @query(
     "published_release",
-    """WITH r AS (SELECT 's' || (page_id % 20) AS site, page_id AS doc_id, 'r' || (page_id % 2) AS release_id FROM pages)
-    SELECT site, release_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END::INT AS run FROM r""",
+    f"""WITH {D.PG} SELECT site, 'r-' || split_part(path, '/', 2) AS release_id, page_id AS doc_id, md5(html) AS digest,
+      CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END::INT AS run FROM pg""",
     covers="H14",
 )
 def _(spark, d):
-    n = F.col("page_id")
-    docs = T.table(spark, d, "pages").select(
-        F.concat(F.lit("s"), (n % 20).cast("string")).alias("site"), F.concat(F.lit("r"), (n % 2).cast("string")).alias("release_id"),
-        n.alias("doc_id"),
+    docs = T.read_pages(spark, d).select(
+        "site", F.concat(F.lit("r-"), F.split_part("path", F.lit("/"), F.lit(2))).alias("release_id"), F.col("page_id").alias("doc_id"), F.md5("html").alias("digest")
     )
-    out = scratch_path(spark, "published")
-    docs.filter("doc_id % 3 = 0").withColumn("run", F.lit(1)).write.parquet(out)
-    for run in (2, 3):
-        have = spark.read.parquet(out)
-        TK.publish_release(docs, have).withColumn("run", F.lit(run)).write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+    out = SiteTable(spark, scratch_path(spark, "published"), ("site", "release_id"))
+    TK.publish(out, docs.filter("doc_id % 3 = 0").withColumn("run", F.lit(1)), "first")
+    TK.publish(out, docs.withColumn("run", F.lit(2)), "second")
+    TK.publish(out, docs.withColumn("run", F.lit(3)), "second")  # a repeat adds nothing
+    return out.read()

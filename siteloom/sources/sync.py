@@ -1,4 +1,4 @@
-"""Table maintenance: replace a site, sync by id, drafts, versions, manifests."""
+"""Table maintenance: sync by id, drafts, versions, manifests. ``site_table`` replaces sites and applies changes."""
 
 from __future__ import annotations
 
@@ -6,17 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def overwrite_site(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the sites in ``df``; other sites stay as they are."""
-    (
-        df.repartition("site", F.pmod(F.xxhash64(*[c for c in df.columns if c != "site"]), F.lit(64)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("site")
-        .parquet(path)
-    )
-
-
 def sync_by_id(
     planned: DataFrame,
     existing: DataFrame,

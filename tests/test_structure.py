@@ -43,6 +43,14 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got.get(i) == min(near, default=None)
 
 
+def _near(a, b):
+    """Edit distance of at most one."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    return len(large) - len(small) == 1 and any(large[:i] + large[i + 1 :] == small for i in range(len(large)))
+
+
 def _greedy(pages):
     used, out = set(), []
     for pid, sig in pages:
@@ -51,7 +59,7 @@ def _greedy(pages):
         group = [pid]
         used.add(pid)
         for other, osig in pages:
-            if other not in used and C._near(sig, osig):
+            if other not in used and _near(sig, osig):
                 group.append(other)
                 used.add(other)
         if len(group) >= 3:
@@ -61,8 +69,8 @@ def _greedy(pages):
 
 def test_shape_clusters_equal_page_by_page_greedy(spark):
     rng = random.Random(3)
-    for _ in range(4):
-        pages = [(i, tuple(rng.choice("ab") for _ in range(rng.randrange(4)))) for i in range(25)]
+    for kinds, most, n in (("ab", 4, 25), ("ab", 6, 60), ("abc", 4, 80), ("a", 12, 40)):
+        pages = [(i, tuple(rng.choice(kinds) for _ in range(rng.randrange(most)))) for i in range(n)]
         sig = spark.createDataFrame([("s", i, "/p", list(s)) for i, s in pages], "site string, page_id long, prefix string, signature array<string>")
         rows = C.cluster_pages(sig, C.shape_clusters(sig)).collect()
         groups = {}
