@@ -135,7 +135,7 @@ def merkle_manifest(docs: DataFrame, tamper_every: int = TAMPER_EVERY) -> DataFr
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, lo, levels) per row of ``docs`` (``FIELDS``)."""
     tampered = F.crc32(F.col("doc_id").cast("string")) % tamper_every == 0
     leaves = docs.select("doc_id", "source", leaf().alias("leaf"), F.when(tampered, leaf(F.translate("text", UPPER, LOWER))).alias("other"))
-    leaves, ranges = ranged(leaves, "source", "doc_id", "leaf")
+    leaves, ranges = ranged(cut_lineage(leaves), "source", "doc_id", "leaf")  # ranges are sampled: texts are read once all the same
     # a source in one range is one row; a source's first rank names its tree
     pieces = leaves.groupBy("_range", "source").agg(F.min("_nth").alias("start"), F.count("*").alias("n")).join(ranges, "_range")
     mine = Window.partitionBy("source")
