@@ -13,27 +13,32 @@ from siteloom.streaming import streams as ST
 
 
 def question_changes(events):
-    """Every event changes one question of its user: asked, answered, or deleted."""
+    """Every event changes one variant, published or draft, of a question of its user: asked, answered, or deleted."""
     n = F.col("event_id")
     return events.select(
-        (F.col("user_id") % 20).alias("site"), F.col("user_id").alias("question_id"), F.col("ts").cast("timestamp").alias("at"),
-        (F.col("user_id") % 3 != 0).alias("required"), F.when(n % 4 == 0, "yes").when(n % 4 == 1, " ").alias("answer"),
-        (F.col("event_type") == "error").alias("deleted"),
+        (F.col("user_id") % 20).alias("site"), F.col("user_id").alias("question_id"), (n % 3 == 1).alias("draft"), "event_id",
+        F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % 3 != 0).alias("required"),
+        F.when(n % 4 == 0, "yes").when(n % 4 == 1, " ").alias("answer"), F.col("event_type").isin("error", "purchase").alias("deleted"),
     )
 
 
-@query(
-    "stream_open_questions",
-    """WITH l AS (SELECT user_id % 20 AS site, user_id, last(event_id ORDER BY ts) AS n, last(event_type ORDER BY ts) AS t FROM events GROUP BY user_id)
-    SELECT site, count(*)::BIGINT AS open_required FROM l WHERE user_id % 3 <> 0 AND t <> 'error' AND n % 4 <> 0 GROUP BY site""",
-    covers="J1",
-)
+OPEN = """WITH l AS (SELECT user_id, event_id % 3 = 1 AS draft, last(event_id ORDER BY ts, event_id) AS n, last(event_type ORDER BY ts, event_id) AS t FROM events GROUP BY ALL),
+    s AS (SELECT user_id, last(n ORDER BY draft) AS n FROM l WHERE t NOT IN ('error', 'purchase') GROUP BY user_id)
+    SELECT user_id % 20 AS site, count(*)::BIGINT AS open_required FROM s WHERE user_id % 3 <> 0 AND n % 4 <> 0 GROUP BY 1"""
+
+
+@query("stream_open_questions", OPEN, covers="J1")
 def _(spark, d):
     changes = question_changes(R.read_stream(spark, d, "events.parquet"))
     deltas = R.run_to_table(ST.open_question_deltas(changes), "open-questions", "update", on_batch=lambda b, i: b)
     return ST.open_questions(deltas.drop("batch")).filter("open_required > 0")
 
 
+@query("open_required_questions", OPEN, covers="J1")
+def _(spark, d):
+    return ST.open_required(question_changes(T.table(spark, d, "events")))
+
+
 @query(
     "stream_overdue",
     f"""WITH {D.HI}, sv AS (SELECT instance, event_id, tm, stage, lead(tm) OVER (PARTITION BY instance ORDER BY tm, event_id) AS left_at FROM hi WHERE kind = 'stageEntered'),

@@ -13,8 +13,14 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream the parquet files of ``folder`` whose names match ``pattern``."""
+FILES_PER_BATCH = 64
+
+
+def read_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = FILES_PER_BATCH) -> DataFrame:
+    """Stream the parquet files of ``folder`` whose names match ``pattern``.
+
+    A micro-batch is at most ``files_per_batch`` files: operators that put a key's rows of a micro-batch in order hold no more than those.
+    """
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:

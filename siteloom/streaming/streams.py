@@ -29,42 +29,77 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> Iterator:
 
 
 class OpenQuestionDelta(StatefulProcessor):
-    """Keyed by question: +1 when it becomes an open required one, −1 when it stops being one."""
+    """Keyed by question: +1 when it becomes an open required one, −1 when it stops being one.
+
+    A question has up to two variants, the published one and a draft that lies over it: what counts is the draft while there
+    is one, and deleting it uncovers the published variant. Of each variant the newest change is held; that of a deleted one
+    only to know older changes that come after it, until the watermark passes it and no older change can come.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("open", BooleanType()), StructField("at", LongType())])
-        self.last = handle.getValueState("last", schema)
+        self.handle = handle
+        variant = StructType([StructField("draft", BooleanType())])
+        stamp = [StructField("at", LongType()), StructField("event_id", LongType())]
+        self.variants = handle.getMapState("variants", variant, StructType([*stamp, StructField("open", BooleanType())]))
+        self.gone = handle.getMapState("gone", variant, StructType(stamp))
+
+    def _open(self) -> bool:
+        for draft in (True, False):
+            if self.variants.containsKey((draft,)):
+                return bool(self.variants.getValue((draft,))[2])
+        return False
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        was_open, last_at = known if known else (False, -1)
-        delta = 0
-        for r in _rows(rows, ["at"]):
-            at = _ms(r.at)
-            if at < last_at:
-                continue
-            is_open = bool(r.required) and not r.deleted and not (r.answer or "").strip()
-            delta += int(is_open) - int(was_open)
-            was_open, last_at = is_open, at
-        self.last.update((was_open, last_at))
+        was_open = self._open()
+        for batch in rows:  # one Arrow batch at a time: the newest change of each variant is all that matters
+            for r in batch.sort_values(["at", "event_id"]).groupby("draft").tail(1).itertuples(index=False):
+                variant, stamp = (bool(r.draft),), (_ms(r.at), int(r.event_id))
+                known = next((tuple(s.getValue(variant))[:2] for s in (self.variants, self.gone) if s.containsKey(variant)), None)
+                if known is not None and stamp <= known:
+                    continue
+                if r.deleted:
+                    self.variants.removeKey(variant)
+                    self.gone.updateValue(variant, stamp)
+                    self.handle.registerTimer(stamp[0])
+                else:
+                    self.gone.removeKey(variant)
+                    self.variants.updateValue(variant, (*stamp, bool(r.required) and not (r.answer or "").strip()))
+        delta = int(self._open()) - int(was_open)
         if delta:
             yield pd.DataFrame({"site": [key[0]], "question_id": [key[1]], "delta": [delta]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for draft in (True, False):
+            if self.gone.containsKey((draft,)) and self.gone.getValue((draft,))[0] <= expiredTimerInfo.getExpiryTimeInMs():
+                self.gone.removeKey((draft,))
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def open_question_deltas(changes: DataFrame) -> DataFrame:
-    """Question changes (site, question_id, at, required, answer, deleted) → deltas per question.
+def open_question_deltas(changes: DataFrame, delay: str = "30 days") -> DataFrame:
+    """Question changes (site, question_id, draft, event_id, at, required, answer, deleted) → deltas per question.
 
     The state is keyed by question, so a large site spreads over all tasks; the open count of
-    a site is the sum of its deltas.
+    a site is the sum of its deltas. Changes more than ``delay`` older than the newest seen are refused.
     """
-    return changes.groupBy("site", "question_id").transformWithStateInPandas(
-        OpenQuestionDelta(), "site long, question_id long, delta long", "Update", "None"
+    return (
+        changes.withWatermark("at", delay)
+        .groupBy("site", "question_id")
+        .transformWithStateInPandas(OpenQuestionDelta(), "site long, question_id long, delta long", "Update", "EventTime")
     )
 
 
+def open_required(changes: DataFrame) -> DataFrame:
+    """Batch twin: open required questions per site after all ``changes``, drafts laid over published variants."""
+    newest = changes.groupBy("site", "question_id", "draft").agg(F.max_by(F.struct("required", "answer", "deleted"), F.struct("at", "event_id")).alias("r"))
+    there = newest.where(~F.col("r.deleted"))
+    shown = there.groupBy("site", "question_id").agg(F.max_by("r", F.col("draft").cast("int")).alias("r"))
+    is_open = F.col("r.required") & (F.trim(F.coalesce("r.answer", F.lit(""))) == "")
+    return shown.where(is_open).groupBy("site").agg(F.count("*").alias("open_required"))
+
+
 def open_questions(deltas: DataFrame) -> DataFrame:
     """Open required questions per site from the delta table."""
     return deltas.groupBy("site").agg(F.sum("delta").alias("open_required"))

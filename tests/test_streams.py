@@ -1,9 +1,11 @@
 """Streaming operators over several micro-batches equal their batch twins."""
 
+import datetime as dt
 import os
 import time
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,33 @@ def test_repeated_pages_are_dropped_across_batches(spark, parts):
     )
     out = R.run_to_table(ST.deduped_page_stream(pages, "60 days"), "pages", partition_by=["site"])
     assert out.count() == out.select("site", "content_hash").distinct().count() > 1
+
+
+CHANGES = "site long, question_id long, draft boolean, event_id long, at timestamp, required boolean, answer string, deleted boolean"
+
+
+def test_deleting_a_draft_uncovers_the_published_question(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    batches = [
+        [(1, 1, False, 1, at(1), True, None, False), (1, 2, False, 2, at(1), True, "yes", False), (1, 3, True, 3, at(1), True, " ", False)],
+        [(1, 1, True, 4, at(2), True, "drafted", False), (1, 2, True, 5, at(2), True, None, False), (1, 3, True, 6, at(3), True, None, True)],
+        [(1, 1, True, 7, at(4), True, None, True), (1, 2, True, 8, at(4), False, None, False), (1, 3, True, 9, at(2), True, None, False)],  # the last one is late
+    ]
+    wanted = [2, 1, 1]  # questions 1 and 3; 2 (under 1's answered draft); 1 (uncovered)
+    for i, rows in enumerate(batches):
+        path = tmp_path / f"part{i}.parquet"
+        pq.write_table(spark.createDataFrame(rows, CHANGES).toArrow(), path)
+        os.utime(path, (time.time() - 100 + i, time.time() - 100 + i))
+    stream = streamed(spark, str(tmp_path)).withColumn("at", F.col("at").cast("timestamp"))
+    got = R.run_to_table(ST.open_question_deltas(stream), "open", "update", on_batch=lambda b, i: b)
+    by_batch = {r.batch: r.d for r in got.groupBy("batch").agg(F.sum("delta").alias("d")).collect()}
+    assert [sum(by_batch.get(k, 0) for k in range(i + 1)) for i in range(3)] == wanted
+    every = spark.createDataFrame([r for b in batches for r in b], CHANGES)
+    assert [tuple(r) for r in ST.open_required(every).collect()] == [(1, 1)]
+
+
+def test_open_questions_over_batches_equal_the_batch_twin(spark, folder, parts):
+    deltas = R.run_to_table(ST.open_question_deltas(SQ.question_changes(streamed(spark, parts))), "open", "update", on_batch=lambda b, i: b)
+    assert deltas.select("batch").distinct().count() == 3
+    got = {tuple(r) for r in ST.open_questions(deltas).filter("open_required > 0").collect()}
+    assert got == {tuple(r) for r in ST.open_required(SQ.question_changes(T.table(spark, folder, "events"))).collect()} != set()
