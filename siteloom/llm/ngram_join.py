@@ -5,18 +5,25 @@ text; a shingle is five consecutive words (a shorter text is one shingle). Two d
 when the Jaccard similarity of their shingle sets is at least ``threshold``.
 
 1. Texts with the same word sequence form a class; only classes are compared.
-2. Each class enters ``trees`` sorted tries: per tree, ``depth`` min-hashes and then the bytes of a
-   sketch. ``prefix_depth`` shortens the matched prefix from the full depth until the expected
-   recall at the threshold meets the target. The trie rows are range-partitioned and sorted, so
-   a prefix shared by many classes spreads over tasks; neighbours under one prefix are compared
-   by sketch, and only links to leaders leave a task, never all pairs.
+2. Each class enters ``trees`` tries: per tree a path of ``depth`` min-hashes, one byte each. The rows
+   (tree, path, sketch) are range-partitioned and sorted, so neighbours have the longest common prefixes and a prefix shared
+   by many classes spreads over tasks. From the whole path upwards the matched prefix is shortened hash by hash: classes
+   under one prefix are compared by sketch, those like a leader need no shorter prefix, and only leaders go on to
+   the next one, until ``prefix_depth``, the longest prefix that meets the target recall for pairs at the threshold. Only links to
+   leaders leave a task, never all pairs.
 3. Connected leaders give candidate clusters. Inside a cluster exact intersections come from
    tile products of shingle incidence matrices; a large cluster is split into tiles. Tasks emit link
    counts and one spanning edge a class.
 
 Nulls, empty texts and texts without a word link with nothing. Repeated rows are members of one
-class and link with each other. The only chance of a missed link is the forest's: below
-``1 - recall`` for a pair exactly at the threshold, far smaller above it.
+class and link with each other.
+
+A link can be missed in three ways, all below the forest's own chance of 1.5e-5 for a pair exactly at the threshold (far less above it):
+no tree has the pair under one prefix; fewer than ``AGREE`` of its ``SKETCH`` sketch bytes are equal (1e-9 at the threshold); or,
+in every tree where it meets, both are followers of leaders that neither shares with the other and nothing else joins their clusters.
+
+Texts are cut into slices of whole rows: a text of n bytes needs some 60 n bytes of memory in its task. Ties have no meaning; the smallest
+doc_id names a group.
 """
 
 from __future__ import annotations
@@ -34,11 +41,11 @@ from siteloom.llm.support import U64, by_group, chunks, mix, prefix_hash, raw_by
 from siteloom.session import cut_lineage
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 28, 8, 0.9999
-SKETCH = 32
-#: Sketch positions out of SKETCH that must agree before exact verification: 16 is 0.5, over four
-#: standard deviations below the threshold.
-AGREE = 16
+#: A path is a long: the tree's number and ``DEPTH`` min-hashes of one byte.
+TREES, DEPTH, RECALL = 28, 7, 0.9999
+SKETCH = 64
+#: Sketch bytes out of SKETCH that must be equal before exact verification: half, six standard deviations below the threshold.
+AGREE = 32
 TILE_ROWS, TILE_SHINGLES = 512, 400_000
 
 _word = np.zeros(256, bool)
@@ -90,8 +97,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nd
     return mix(out + have.astype(U64)), bounds, counts, sequence
 
 
-def signatures(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int = 5) -> DataFrame:
-    """(doc_id, th, cid, n_sh, keys array<long>, sketch binary) per row; cid is null where the text has no word."""
+def signatures(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, th, cid, n_sh, paths array<long>, sketch binary) per row; cid is null where the text has no word."""
     a, b = _hash_family(trees * depth + SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +113,9 @@ def signatures(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: i
                     x, starts = (sh >> U64(32)).astype(np.uint32), bounds[full]
                     for i in range(len(a)):
                         sig[full, i] = np.minimum.reduceat(x * a[i] + b[i], starts)
-                keys = np.zeros((hi - lo, trees), U64)
+                paths = np.zeros((hi - lo, trees), U64) + np.arange(trees, dtype=np.uint64)
                 for d in range(depth):
-                    keys = mix(keys + sig[:, d : trees * depth : depth].astype(U64) + U64(d + 1))
-                keys = mix(keys + mix(np.arange(1, trees + 1, dtype=np.uint64)))
+                    paths = paths << U64(8) | mix(sig[:, d : trees * depth : depth].astype(U64) + U64(d + 1)) >> U64(56)
                 sketch = np.ascontiguousarray((mix(sig[:, trees * depth :].astype(U64)) >> U64(56)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -117,13 +123,13 @@ def signatures(docs: DataFrame, words: int = WORDS, trees: int = TREES, depth: i
                         batch.column(2).slice(lo, hi - lo),
                         pa.array(seq.view(np.int64), mask=counts == 0),
                         pa.array(np.diff(bounds)),
-                        pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * trees, trees, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * trees, trees, dtype=np.int32), pa.array(paths.view(np.int64).ravel())),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), hi - lo, [None, pa.py_buffer(sketch)]).cast(pa.binary()),
                     ],
-                    ["doc_id", "th", "cid", "n_sh", "keys", "sketch"],
+                    ["doc_id", "th", "cid", "n_sh", "paths", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text")), F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, cid long, n_sh long, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.lower(F.col("text")), F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, cid long, n_sh long, paths array<long>, sketch binary")
 
 
 def _linked(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -133,34 +139,57 @@ def _linked(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
     return hits >= AGREE
 
 
-def _leaders(ids: np.ndarray, sketch: np.ndarray, edges: list) -> tuple[np.ndarray, np.ndarray]:
-    """Adds an edge from each member to a leader like it, and between leaders it has in common; returns the leaders' ids and sketches.
+def _leaders(ids: np.ndarray, sketch: np.ndarray, edges: list) -> np.ndarray:
+    """Adds an edge from each member to a leader like it, and between leaders it has in common; returns the leaders' places.
 
-    Members come in trie order and meet the leaders so far in blocks; those like none become leaders.
+    Members come in trie order and meet the leaders so far in blocks; those like none become leaders. Then all
+    members meet all leaders, also those found after them.
     """
-    lead, lead_sketch = ids[:1], sketch[:1]
+    lead = np.zeros(1, np.int64)
     for at in range(1, len(ids), 256):
-        own, mine = ids[at : at + 256], sketch[at : at + 256]
-        near = _linked(mine, lead_sketch)
+        left = at + np.flatnonzero(~_linked(sketch[at : at + 256], sketch[lead]).any(1))
+        while len(left):  # the first that is left leads, those like it follow
+            lead = np.append(lead, left[0])
+            left = left[~_linked(sketch[left], sketch[left[:1]])[:, 0]]
+    for at in range(0, len(ids), 256):
+        near = _linked(sketch[at : at + 256], sketch[lead])
         x, y = np.nonzero(near)
         home = near.argmax(1)[x]  # one edge a member; leaders that share a member are linked once
-        edges.append((own[x[y == home]], lead[home[y == home]]))
+        own = at + x[y == home]
+        follows = own != lead[home[y == home]]
+        edges.append((ids[own[follows]], ids[lead[home[y == home]][follows]]))
         shared = np.unique(np.stack([home, y], 1)[y != home], axis=0)
-        edges.append((lead[shared[:, 0]], lead[shared[:, 1]]))
-        left = np.flatnonzero(~near.any(1))
-        while len(left):  # the first that is left leads, those like it follow
-            alike = _linked(mine[left], mine[left[:1]])[:, 0]
-            edges.append((own[left[alike]], np.repeat(own[left[:1]], alike.sum())))
-            lead, lead_sketch = np.concatenate([lead, own[left[:1]]]), np.concatenate([lead_sketch, mine[left[:1]]])
-            left = left[~alike]
-    return lead, lead_sketch
+        edges.append((ids[lead[shared[:, 0]]], ids[lead[shared[:, 1]]]))
+    return lead
+
 
+def _climb(path: np.ndarray, ids: np.ndarray, sketch: np.ndarray, edges: list, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Path, id and sketch of the leaders of sorted rows that share all but the last ``short`` hashes of their paths.
 
-def forest_edges(classes: DataFrame) -> DataFrame:
+    Rows of one whole path are settled first; their leaders meet those of neighbours under a prefix shorter by one hash, and so on.
+    """
+    for cut in range(short + 1):
+        if len(ids) == 1:
+            break
+        prefix = path >> (8 * cut)
+        bounds = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [len(prefix)]])
+        many = np.flatnonzero(np.diff(bounds) > 1)
+        if not len(many):
+            continue
+        keep = np.zeros(len(ids), bool)
+        keep[bounds[:-1][np.diff(bounds) == 1]] = True
+        for g in many:
+            a, b = bounds[g], bounds[g + 1]
+            keep[a + _leaders(ids[a:b], sketch[a:b], edges)] = True
+        path, ids, sketch = path[keep], ids[keep], sketch[keep]
+    return path, ids, sketch
+
+
+def forest_edges(classes: DataFrame, short: int = DEPTH - 5) -> DataFrame:
     """Edges (a, b) between classes that stand under one prefix of a tree and look alike by sketch.
 
-    Rows (prefix, sketch) are range-partitioned by sampled splitters and sorted. A prefix that
-    spans partitions is joined up by its leaders, of which each partition hands on its first and
+    Rows (path, sketch) are range-partitioned by sampled splitters and sorted; ``short`` is the number of hashes that a
+    prefix may lack. A prefix that spans partitions is joined up by its leaders, of which each partition hands on its first and
     last prefix's.
     """
     schema = "a long, b long, prefix long, sketch binary"
@@ -169,50 +198,50 @@ def forest_edges(classes: DataFrame) -> DataFrame:
         if edges:
             pairs = np.unique(np.concatenate([np.stack([np.maximum(x, y), np.minimum(x, y)], 1) for x, y in edges]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.binary())], ["a", "b", "prefix", "sketch"])
-        for prefix, lead, sketch in border:
-            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.nulls(len(lead), pa.int64()), pa.array(np.full(len(lead), prefix)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["a", "b", "prefix", "sketch"])
+        for path, lead, sketch in border:
+            yield pa.RecordBatch.from_arrays([pa.array(lead), pa.nulls(len(lead), pa.int64()), pa.array(path >> (8 * short)), pa.array([x.tobytes() for x in sketch], pa.binary())], ["a", "b", "prefix", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list = []
         border: list = []
-        carry = None  # prefix, leaders and their sketches, of the prefix that may go on in the next batch
+        carry = None  # paths, leaders and their sketches, of the prefix that may go on in the next batch
         first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prefix, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            path, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             data, _ = raw_bytes(batch.column(1))
             sketch = data.reshape(-1, SKETCH)
-            if carry is not None and carry[0] == prefix[0]:
-                prefix, ids, sketch = np.concatenate([np.full(len(carry[1]), carry[0]), prefix]), np.concatenate([carry[1], ids]), np.concatenate([carry[2], sketch])
+            if carry is not None and carry[0][0] >> (8 * short) == path[0] >> (8 * short):
+                path, ids, sketch = (np.concatenate([x, y]) for x, y in zip(carry, (path, ids, sketch), strict=True))
             elif carry is not None and first:
                 border.append(carry)
                 first = False
+            prefix = path >> (8 * short)
             bounds = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [len(prefix)]])
             sizes = np.diff(bounds)
-            for size in range(2, 5):  # the many small groups, all of one size at once
+            for size in range(2, 5):  # the many small groups, all of one size at once: all their pairs
                 at = bounds[:-1][:-1][sizes[:-1] == size]
                 for i in range(size):
                     for j in range(i):
                         near = (sketch[at + i] == sketch[at + j]).sum(1) >= AGREE
                         edges.append((ids[at + i][near], ids[at + j][near]))
-            for g in np.flatnonzero(sizes > 4):
-                if g < len(sizes) - 1:
-                    a, b = bounds[g], bounds[g + 1]
-                    _leaders(ids[a:b], sketch[a:b], edges)
+            for g in np.flatnonzero(sizes[:-1] > 4):
+                a, b = bounds[g], bounds[g + 1]
+                _climb(path[a:b], ids[a:b], sketch[a:b], edges, short)
             if first and len(sizes) > 1:
                 b = bounds[1]
-                border.append((prefix[0], *_leaders(ids[:b], sketch[:b], edges)))
+                border.append(_climb(path[:b], ids[:b], sketch[:b], edges, short))
                 first = False
             a = bounds[-2]
-            carry = (prefix[-1], *_leaders(ids[a:], sketch[a:], edges))
+            carry = _climb(path[a:], ids[a:], sketch[a:], edges, short)
             yield from emit(edges, [])
             edges = []
         if carry is not None:
             yield from emit(edges, [*border, carry])
 
-    rows = classes.select(F.explode("keys").alias("prefix"), "sketch", "cid")
-    found = cut_lineage(rows.repartitionByRange("prefix", "sketch", "cid").sortWithinPartitions("prefix", "sketch", "cid").mapInArrow(run, schema))
+    rows = classes.select(F.explode("paths").alias("path"), "sketch", "cid")
+    found = cut_lineage(rows.repartitionByRange("path", "sketch", "cid").sortWithinPartitions("path", "sketch", "cid").mapInArrow(run, schema))
 
     def border_edges(group: pa.Table) -> Iterator[pa.RecordBatch]:
         data, _ = raw_bytes(group.column("sketch"))
@@ -291,14 +320,14 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     th is xxhash64 of the text; component names the rows connected by links, null where the text has no word.
     """
     docs = docs.select("doc_id", "text")
-    used = prefix_depth(threshold, trees, depth, recall)
-    sig = cut_lineage(signatures(docs, words, trees, used))
+    short = depth - prefix_depth(threshold, trees, depth, recall)
+    sig = cut_lineage(signatures(docs, words, trees, depth))
     found = sig.where("cid is not null")
     named = F.max(F.struct("doc_id", "th"))  # one row whose text stands for the class
     classes = found.groupBy("cid").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("n_sh").alias("n_sh"), named.alias("r"))
     classes = classes.select("cid", "weight", "least", "n_sh", _row_key("r.doc_id", F.col("r.th")))
-    distinct = found.dropDuplicates(["cid"]).select("cid", "keys", "sketch")
-    clusters = components(forest_edges(distinct)).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    distinct = found.dropDuplicates(["cid"]).select("cid", "paths", "sketch")
+    clusters = components(forest_edges(distinct, short)).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
     member = cut_lineage(classes.join(clusters, "cid"))
     size = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n_sh") / TILE_SHINGLES)).cast("int").alias("tiles"))
     member = cut_lineage(member.join(size, "cluster").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("long")))

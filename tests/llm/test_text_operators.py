@@ -83,13 +83,56 @@ def test_ngram_join_splits_a_large_cluster_into_tiles(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in got} == {(0, 59)} and len(got) == 60
 
 
-def test_prefix_is_shortened_until_the_target_recall():
-    assert ngram_join.prefix_depth(0.8, 28, 8, 0.9999) == 5
-    assert ngram_join.prefix_depth(0.8, 28, 8, 0.9) == 8
+def test_prefix_depth_meets_the_target_recall():
+    assert ngram_join.prefix_depth(0.8, 28, 7, 0.9999) == 5
+    assert ngram_join.prefix_depth(0.8, 28, 7, 0.9) == 7
     with pytest.raises(ValueError):
         ngram_join.prefix_depth(0.8, 2, 8, 0.9999)
 
 
+def test_prefixes_are_shortened_for_leaders_only(monkeypatch):
+    r = np.random.default_rng(2)
+    groups = r.integers(0, 256, (6, ngram_join.SKETCH)).astype(np.uint8)
+    # 6 kinds of text; all share five hashes, kinds share six in pairs, members of a kind all seven
+    path = np.repeat(np.array([0x0102030405000000 | (k // 2) << 8 | (k % 2) for k in range(6)], np.int64), 50)
+    sketch = np.repeat(groups, 50, axis=0)
+    met = []
+    plain = ngram_join._leaders
+    monkeypatch.setattr(ngram_join, "_leaders", lambda ids, sk, e: met.append(len(ids)) or plain(ids, sk, e))
+    edges: list = []
+    lead, ids, _ = ngram_join._climb(path, np.arange(300), sketch, edges, 2)
+    assert met == [50] * 6 + [2] * 3 + [6]  # whole paths first, then the leaders under six hashes, then under five
+    assert ids.tolist() == list(range(0, 300, 50)) and (lead == path[::50]).all()
+    pairs = {tuple(p) for x, y in edges for p in np.stack([x, y], 1).tolist()}
+    assert pairs == {(i, i - i % 50) for i in range(300) if i % 50}
+
+
+def test_a_follower_meets_leaders_found_after_it():
+    r = np.random.default_rng(3)
+    a = r.integers(0, 256, ngram_join.SKETCH).astype(np.uint8)
+    b, c = a.copy(), a.copy()
+    b[:20] += 1  # like a, and like c
+    c[:20] += 1
+    c[20:40] += 1  # unlike a
+    edges: list = []
+    lead = ngram_join._leaders(np.array([7, 8, 9]), np.stack([a, b, c]), edges)
+    assert lead.tolist() == [0, 2]
+    assert {tuple(p) for x, y in edges for p in np.stack([x, y], 1).tolist()} == {(8, 7), (7, 9)}
+
+
+def test_measured_recall_of_pairs_at_the_threshold(spark):
+    rows = []
+    for k in range(400):  # 100 words are 96 shingles; two changed words 40 apart leave 86 of 106: 0.811
+        w = words(1000 + k, 100)
+        rows.append((2 * k, " ".join(w)))
+        w[20 + k % 20] = w[60 + k % 20] = f"new{k}"
+        rows.append((2 * k + 1, " ".join(w)))
+    link = jaccard_links([t for _, t in rows[:40]])
+    assert link.sum() == 40  # each has its one partner
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(g.n_links == 1 and g.class_id == g.doc_id // 2 * 2 for g in got) == 800
+
+
 def test_one_of_each_keeps_one_row_of_a_group(docs):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
