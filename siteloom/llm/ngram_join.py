@@ -19,7 +19,7 @@ Nulls, empty texts and texts without a word link with nothing. Repeated rows are
 class and link with each other.
 
 A link can be missed in three ways, all below the forest's own chance of 1.5e-5 for a pair exactly at the threshold (far less above it):
-no tree has the pair under one prefix; fewer than ``AGREE`` of its ``SKETCH`` sketch bytes are equal (1e-9 at the threshold); or,
+no tree has the pair under one prefix; fewer than ``AGREE`` of its ``SKETCH`` sketch bytes are equal (1.2e-6 at the threshold); or,
 in every tree where it meets, both are followers of leaders that neither shares with the other and nothing else joins their clusters.
 
 Texts are cut into slices of whole rows: a text of n bytes needs some 60 n bytes of memory in its task. Ties have no meaning; the smallest
@@ -43,9 +43,9 @@ from siteloom.session import cut_lineage
 WORDS, THRESHOLD = 5, 0.8
 #: A path is a long: the tree's number and ``DEPTH`` min-hashes of one byte.
 TREES, DEPTH, RECALL = 28, 7, 0.9999
-SKETCH = 64
-#: Sketch bytes out of SKETCH that must be equal before exact verification: half, six standard deviations below the threshold.
-AGREE = 32
+SKETCH = 32
+#: Sketch bytes out of SKETCH that must be equal before exact verification: over five standard deviations below the threshold.
+AGREE = 14
 TILE_ROWS, TILE_SHINGLES = 512, 400_000
 
 _word = np.zeros(256, bool)
