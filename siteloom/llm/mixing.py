@@ -4,14 +4,15 @@ Sources in code point order, null last, get weights ``WEIGHTS`` in turn. Their t
 words of the corpus by weight; a target stops at ``repeat`` times its source's words, and the
 excess is shared again by weight until none is above.
 
-Slot i of the schedule takes the golden-ratio point frac((i + 1/2) * phi) and falls to the source
-whose cumulative target share covers it. The r-th slot of a source reads words
+A source has as many slots of ``block`` words as its target needs, the last one cut at the target. Slot i of the
+schedule takes the i-th van der Corput point (its binary digits mirrored); the points are ranked, and the ranks are laid
+through the sources' cumulative slot counts. So every source has its slots exactly, and at any length of the schedule
+its part of them differs from its weight by no more than the logarithm of that length. The r-th slot of a source reads words
 [r * block, (r + 1) * block) of the source's shuffled documents, laid end to end and repeated.
-Slots that a source's points fall short of its target follow after the schedule, source by source,
-and its last slot is cut at the target: every source gives the whole words of its target.
 
-Nothing is collected but two counts. Running sums and ranks are taken inside chunks of bounded
-size and shifted by chunk totals, so a source with a third of all rows is spread like any other.
+Ranks of points, and of slots within their source, are counted digit by digit: column arithmetic, no sort and no window. Nothing is
+collected but three counts. Running sums over documents are taken inside chunks of bounded size and shifted by chunk totals, so
+a source with a third of all rows is spread like any other.
 
 Documents without words take part with size 0 and give 0 words. Null text is empty; a null
 source is a source of its own. Repeated rows count each. An empty table gives no rows.
@@ -26,8 +27,7 @@ from siteloom.llm.support import text_or_empty
 from siteloom.session import cut_lineage
 
 WEIGHTS, REPEAT, BLOCK = (5, 2, 1), 3, 128
-CHUNK_ROWS, SLOT_BITS, CELLS = 2000, 12, 4096
-PHI = 0.6180339887498949
+CHUNK_ROWS, CELLS = 2000, 4096
 
 
 def word_count(name: str = "text") -> Column:
@@ -40,11 +40,10 @@ def row_hash(seed: int = 0) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
-    """(source, source_size, target, lo, hi) from (source, size), one row a source or partial sums of it.
+    """(source, sid, source_size, target) from (source, size), one row a source or partial sums of it.
 
     The water level L solves sum(min(repeat * size, weight * L)) = all words: with sources in the
     order of repeat * size / weight, it is the first (so largest) level that its own source can still take.
-    [lo, hi) is the source's part of [0, 1).
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -58,56 +57,70 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat:
     total = total.withColumn("level", (F.col("all") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
     total = total.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything))
     total = total.withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))))
-    ahead = order.rowsBetween(Window.unboundedPreceding, 0)
-    total = total.withColumn("share", F.when(F.col("all") > 0, F.col("target") / F.sum("target").over(everything)).otherwise(0.0))
-    total = total.withColumn("hi", F.sum("share").over(ahead)).withColumn("lo", F.col("hi") - F.col("share"))
-    last = F.row_number().over(Window.orderBy(F.col("source").isNull().desc(), F.col("source").desc())) == 1
-    return total.select("source", nth.alias("sid"), "source_size", "target", "lo", F.when(last, F.lit(2.0)).otherwise(F.col("hi")).alias("hi"))
+    return total.select("source", nth.alias("sid"), "source_size", "target")
 
 
-def schedule(spark: SparkSession, targets: DataFrame, words: int, block: int = BLOCK) -> DataFrame:
-    """(slot, sid, rank): the source of each slot and which of the source's slots it is; enough slots for every target.
+def _low_points(n: Column, x: Column, bits: int) -> Column:
+    """How many of the first ``n`` points lie below that of slot ``x``: those that first differ from it, from the lowest digit on, where x has a 1."""
+    total = F.lit(0).cast("long")
+    for b in range(bits):
+        low = x.bitwiseAND((1 << b) - 1)
+        total = total + F.when(x.bitwiseAND(1 << b) != 0, F.when(n > low, F.shiftright(n - 1 - low, b + 1) + 1).otherwise(0)).otherwise(0)
+    return total
 
-    Points and sources meet by equal cells of [0, 1), so the lookup is an equi-join.
+
+def _slot_at(rank: Column, n: int, bits: int) -> Column:
+    """The slot whose point has ``rank`` among the first ``n``: its digits, lowest first, by how many slots share them."""
+    state = F.struct(rank.alias("rank"), F.lit(0).cast("long").alias("slot"))
+
+    def digit(s: Column, b: Column) -> Column:
+        half = F.call_function("shiftleft", F.lit(1).cast("long"), b)  # slots whose digits below b are those of s and whose digit b is 0
+        zeros = F.when(F.lit(n) > s["slot"], F.call_function("shiftright", F.lit(n - 1) - s["slot"], b + 1) + 1).otherwise(F.lit(0).cast("long"))
+        one = s["rank"] >= zeros
+        return F.struct(F.when(one, s["rank"] - zeros).otherwise(s["rank"]).alias("rank"), F.when(one, s["slot"] + half).otherwise(s["slot"]).alias("slot"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), state, digit)["slot"]
+
+
+def schedule(spark: SparkSession, targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(slot, sid, rank): the source of each slot and which of the source's slots it is.
+
+    Ranks and sources meet by equal cells of the ranks, so the lookup is an equi-join.
     """
-    length = -(-words // block)
-    slots = spark.range(length).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * PHI % 1.0).alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
-    cells = targets.where("target > 0").select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    slots = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "sid", F.shiftright("slot", SLOT_BITS).alias("part"))
-    counts = slots.groupBy("sid", "part").count()
-    have_slots = counts.groupBy("sid").agg(F.sum("count").alias("have"))
-    ahead = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("sid", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1
-    slots = slots.withColumn("inside", inside).join(counts, ["sid", "part"]).select("slot", "sid", (F.col("base") + F.col("inside")).alias("rank"))
-    # what a source's points fall short of its target, one row a source before it is dealt out
-    have = F.coalesce("have", F.lit(0))
-    short = targets.join(have_slots, "sid", "left").select("sid", have.alias("have"), (F.ceil(F.floor("target") / block) - have).alias("missing")).where("missing > 0")
-    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    short = short.withColumn("first", F.lit(length) + F.coalesce(F.sum("missing").over(before), F.lit(0)))
-    short = short.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1)))
-    return slots.unionByName(short.select((F.col("first") + F.col("i")).alias("slot"), "sid", (F.col("have") + F.col("i")).alias("rank")))
-
-
-def laid_out(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
-    """Rows of ``docs`` with their size and their place in the source's shuffled words; and all words.
+    need = targets.select("sid", F.ceil(F.floor("target") / block).alias("n")).where("n > 0")
+    length = need.agg(F.sum("n")).first()[0] or 0
+    bits = max(1, length.bit_length())
+    ahead = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)  # one row a source
+    parts = need.withColumn("hi", F.sum("n").over(ahead)).withColumn("lo", F.col("hi") - F.col("n"))
+    # the slots at the two ends of a source's ranks; the end of all ranks has none
+    parts = parts.select("sid", "lo", "hi", _slot_at(F.col("lo"), length, bits).alias("first"), F.when(F.col("hi") < length, _slot_at(F.col("hi"), length, bits)).alias("next"))
+    width = max(1, -(-length // CELLS))
+    cells = parts.select("*", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
+    slots = spark.range(length).select(F.col("id").alias("slot")).withColumn("point", _low_points(F.lit(length).cast("long"), F.col("slot"), bits))
+    slots = slots.withColumn("cell", F.floor(F.col("point") / width)).join(cells, "cell").where("point >= lo and point < hi")
+    below = lambda end: _low_points(F.col("slot"), F.col(end), bits)
+    rank = F.when(F.col("next").isNull(), F.col("slot")).otherwise(below("next")) - below("first")
+    return slots.select("slot", "sid", rank.alias("rank"))
+
+
+def laid_out(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """Rows of ``docs`` with their size and their place in the source's shuffled words.
 
     Adds sid, source_size, target, at (words of the source before this row), (chunk, seq) naming the row.
     """
     docs = docs.select("doc_id", "source", word_count().alias("size"), row_hash(seed).alias("h"))
     docs = cut_lineage(docs)
-    rows, words = docs.agg(F.count("*"), F.sum("size")).first()
+    rows = docs.count()
     docs = docs.withColumn("chunk", F.pmod(F.shiftright("h", 20), F.lit(max(1, -(-rows // CHUNK_ROWS)))))
     chunks = docs.groupBy("source", "chunk").agg(F.sum("size").alias("size"))
     targets = cut_lineage(source_targets(chunks))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size").alias("c")
-    chunks = chunks.join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "chunk", "base", "sid", "source_size", "target", "lo", "hi").alias("c")
+    chunks = chunks.join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "chunk", "base", "sid", "source_size", "target").alias("c")
     mine = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size")
     docs = docs.withColumn("seq", F.row_number().over(mine)).withColumn("inside", F.sum("size").over(mine.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("d")
     laid = docs.join(chunks, (F.col("d.chunk") == F.col("c.chunk")) & F.col("d.source").eqNullSafe(F.col("c.source")))
-    return laid.select("doc_id", "h", "d.source", "size", "sid", "source_size", "target", "lo", "hi", "d.chunk", "seq", (F.col("base") + F.col("inside")).alias("at")), words or 0
+    return laid.select("doc_id", "h", "d.source", "size", "sid", "source_size", "target", "d.chunk", "seq", (F.col("base") + F.col("inside")).alias("at"))
 
 
 def mixed_segments(spark: SparkSession, docs: DataFrame, block: int = BLOCK, repeat: int = REPEAT) -> DataFrame:
@@ -116,10 +129,9 @@ def mixed_segments(spark: SparkSession, docs: DataFrame, block: int = BLOCK, rep
     Rows keep doc_id, source, size, source_size, target, (sid, chunk, seq); a document that no slot
     takes has one row with a null slot and start = end = 0. Order by (slot, start) to write the mix.
     """
-    laid, words = laid_out(docs)
-    laid = cut_lineage(laid)
-    targets = laid.groupBy("sid").agg(F.first("target").alias("target"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    slots = schedule(spark, targets, words, block).alias("s")
+    laid = cut_lineage(laid_out(docs))
+    targets = laid.groupBy("sid").agg(F.first("target").alias("target"))
+    slots = schedule(spark, targets, block).alias("s")
     epochs = laid.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))).withColumn("from", F.col("at") + F.col("epoch") * F.col("source_size"))
     # words past the target are not taken: the last slot of a source is cut there
     epochs = epochs.withColumn("to", F.least(F.col("from") + F.col("size"), F.floor("target")))
@@ -139,12 +151,29 @@ def mix_sources(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> Dat
     return segments.groupBy("sid", "chunk", "seq", "doc_id", "source", "size", "source_size", "target").agg(F.sum(F.col("end") - F.col("start")).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them: words taken over words, rounded, 0 to ``REPEAT`` times.
+    """Rows of ``docs`` as often as the mix takes them, 0 to ``REPEAT`` times, and where it takes part of a document those words.
 
-    Same columns as ``docs`` (doc_id, text, source, ...). Documents without words are not taken.
+    Same columns as ``docs`` (doc_id, text, source, ...); n_chars, where there is one, follows a cut text. The words of a
+    source's rows are the whole words of its target. Documents without words are not taken. The order of the rows says nothing:
+    ``mixed_segments`` has the order of the mix.
     """
-    taken = mixed_segments(spark, docs, block).groupBy("h").agg(F.sum(F.col("end") - F.col("start")).alias("taken"), F.sum(F.when(F.col("slot").isNull(), F.col("size"))).alias("size"))
-    times = cut_lineage(taken.where("size > 0").select("h", F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0"))
+    words = F.sum(F.col("end") - F.col("start"))
+    taken = mixed_segments(spark, docs, block).groupBy("sid", "chunk", "seq", "h").agg(words.alias("taken"), F.max("size").alias("size")).where("taken > 0")
+    nth = F.row_number().over(Window.partitionBy("h").orderBy("chunk", "seq"))
+    times = cut_lineage(taken.select("h", "size", "taken", nth.alias("nth")))
+    twice = times.where("nth > 1").limit(1).count() > 0
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash().alias("h"))
-    return rows.join(times, "h").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    # equal rows are told apart by number, any of them doing for any other
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("h")) if twice else F.lit(1))
+    each = rows.join(times, ["h", "nth"]).withColumn("left", F.explode(F.sequence(F.col("taken"), F.lit(1).cast("long"), -F.col("size"))))
+    part = F.col("left") < F.col("size")
+    text = F.when(part, first_words(F.col("row.text"), F.col("left"))).otherwise(F.col("row.text"))
+    out = each.withColumn("cut", text)
+    length = F.when(part, F.length("cut").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("cut").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns])

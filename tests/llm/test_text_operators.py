@@ -242,8 +242,10 @@ def test_mixing_gives_small_sources_their_words(spark):
     target = brute_targets(sizes)
     got = {r.doc_id: r.taken for r in mixing.mix_sources(spark, table).collect()}
     assert [got[i] for i in range(len(sizes))] == [int(target[s] + 1e-6) for s in sizes]
-    copies = Counter(r.source for r in mixing.mixed_documents(spark, table).collect())
-    assert all(copies[s] == round(int(target[s] + 1e-6) / n) for s, n in sizes.items())
+    held = Counter()
+    for r in mixing.mixed_documents(spark, table).collect():
+        held[r.source] += len(r.text.split())
+    assert [held[s] for s in sizes] == [int(target[s] + 1e-6) for s in sizes]
     slots = mixing.mixed_segments(spark, table).where("slot is not null").select("slot", "sid").distinct()
     assert slots.count() == slots.select("slot").distinct().count()
 
@@ -257,6 +259,36 @@ def test_mix_segments_read_each_source_in_order(spark, docs):
     assert set(per_slot.values()) - {64} == set() or len([v for v in per_slot.values() if v != 64]) == 1  # only the last is cut
 
 
+@pytest.mark.parametrize("words", [1, 700, 20_000])
+def test_each_source_has_its_slots_spread_over_the_schedule(spark, words):
+    sizes = {0: 5 * words, 1: 2 * words, 2: words, 3: max(1, words // 40), 4: 0}
+    targets = spark.createDataFrame([(s, float(t)) for s, t in sizes.items()], "sid long, target double")
+    got = sorted(tuple(r) for r in mixing.schedule(spark, targets, block=16).collect())
+    need = {s: -(-t // 16) for s, t in sizes.items()}
+    length = sum(need.values())
+    assert [slot for slot, *_ in got] == list(range(length))
+    seen, worst = Counter(), 0.0
+    for slot, sid, rank in got:
+        assert rank == seen[sid]  # ranks follow the schedule
+        seen[sid] += 1
+        worst = max(worst, *(abs(seen[s] - (slot + 1) * n / length) for s, n in need.items()))
+    assert dict(seen) == {s: n for s, n in need.items() if n} and worst <= np.log2(length + 1) + 1
+
+
+def test_mixed_documents_hold_the_words_of_the_targets(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(30)), f"s{i % 3}", 7) for i in range(60)] + [(900, "a b\tc d", "s3", 7), (901, "lone " * 4000, "s4", 7)]
+    rows += [rows[0], rows[0], (None, "x y z", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    wanted = {r.source: int(r.target) for r in mixing.mix_sources(spark, docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()}
+    got = mixing.mixed_documents(spark, docs).collect()
+    held = Counter()
+    for r in got:
+        held[r.source] += len(r.text.split())
+        assert r.n_chars == (7 if r.text in {t for _, t, *_ in rows} else len(r.text))
+    assert {s: held[s] for s in wanted} == wanted and all(r.text in next(t for i, t, *_ in rows if i == r.doc_id) for r in got)
+    assert max(Counter(r.doc_id for r in got if r.doc_id not in (0, None)).values()) <= 3
+
+
 def test_mixed_documents_and_empty_tables(spark, docs, empty):
     mixed = mixing.mixed_documents(spark, docs)
     assert mixed.columns == docs.columns and mixed.where("text is null or text = ''").count() == 0
