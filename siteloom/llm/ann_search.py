@@ -14,13 +14,17 @@ precision from the original vectors.
 Of equal vectors only the k + 1 smallest ids can be among the k nearest, so no more are scanned. Large
 lists are cut into chunks and their queries into blocks, so no list is one task.
 
-Vectors that are null, empty, zero, hold null or non-finite components or have another length than
-most, and rows without a vec_id, take no part, as queries or candidates. Rows of the query's own vec_id are never its candidates. With no
+Vectors are searched among those of their length: a length of at least ``INDEXED`` rows has an index of its own, the rows of
+rarer lengths are compared with all of theirs in tiles.
+
+Vectors that are null, empty, zero or hold null or non-finite components, and rows without a vec_id, take no part, as
+queries or candidates. Rows of the query's own vec_id are never its candidates. With no
 more than k candidates all are returned: lists are probed until k + 1 rows are seen. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,7 @@ from siteloom.session import cut_lineage
 K, LISTS, SAMPLE, SAMPLE_CELLS, AIM = 20, 1024, 20_000, 2_000_000, 0.97
 BLOCK, EPSILON = 16, 2.1
 CHUNK, QUERIES = 2048, 1024
+INDEXED = 1024
 
 
 class Index:
@@ -105,17 +110,49 @@ def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, n
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found in ``vectors`` for each row of ``queries`` (both vec_id, embedding)."""
     good = lambda df: df.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", doubles(df).alias("v"))
-    rows = good(vectors)
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).alias("longest")).orderBy(F.desc("n"), "dims").first()
-    if sizes is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    dims, n, longest = sizes
-    rows = rows.where(F.size("v") == dims)
+    rows, asked = good(vectors), good(queries)
+    dims = F.size("v")
+    sizes = rows.groupBy(dims.alias("dims")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).alias("longest"))
+    common = sizes.where(F.col("n") >= INDEXED).orderBy("dims").collect()  # a few lengths
+    found = [indexed_search(rows.where(dims == d), asked.where(dims == d), d, n, longest, k) for d, n, longest in common]
+    often = [r.dims for r in common]
+    rare = rows.where(~dims.isin(often)) if often else rows
+    if not often or sizes.where(F.col("n") < INDEXED).limit(1).count():
+        found.append(tile_search(rare, asked.where(~dims.isin(often)) if often else asked, k))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def tile_search(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The same, exactly: each tile of rows of one length gives the best of its rows for each query of that length."""
+    tiles = rows.groupBy(F.size("v").alias("dims")).agg(F.ceil(F.count("*") / CHUNK).alias("tiles"))
+    left = rows.withColumn("dims", F.size("v")).join(tiles, "dims").withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("tiles")))
+    right = asked.withColumn("dims", F.size("v")).dropDuplicates(["vec_id"]).join(tiles, "dims").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    pick = lambda df, q: df.select(F.col("dims").cast("long").alias("dims"), F.col("tile").cast("long").alias("tile"), F.lit(q).alias("q"), F.col("vec_id").alias("id"), "v")
+
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        q, ids, v = group.column("q").to_numpy(zero_copy_only=False), group.column("id").to_numpy(), matrix(group.column("v"))
+        xid, x = ids[~q], v[~q]
+        for a in range(0, int(q.sum()), 256):
+            qid, score = ids[q][a : a + 256], v[q][a : a + 256] @ x.T
+            for i in range(len(qid)):
+                other = np.flatnonzero(xid != qid[i])
+                best = other[np.lexsort((xid[other], -score[i, other]))[:k]]
+                exact = np.einsum("nd,d->n", x[best], v[q][a + i]) if len(best) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qid[i])), pa.array(xid[best]), pa.array(exact)], ["query_id", "vec_id", "score"])
+
+    found = by_group(pick(left, False).unionByName(pick(right, True)), ["dims", "tile"], run, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def indexed_search(rows: DataFrame, asked: DataFrame, dims: int, n: int, longest: float, k: int = K) -> DataFrame:
+    """The same for the ``n`` rows (vec_id, v) of ``dims`` components and length ``longest`` at most."""
     cap = max(64, min(SAMPLE, SAMPLE_CELLS // dims))
     h = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 30))
     sample = rows.where(h < int((1 << 30) * min(1.0, 1.2 * cap / n))).orderBy(h, "vec_id").limit(cap).select("v").collect()
     model = Index(np.array([r[0] for r in sample], float).reshape(-1, dims), longest, max(1, min(LISTS, round(n**0.5), len(sample) // 8)), k)
-    shared = vectors.sparkSession.sparkContext.broadcast(model)  # centres and rotation: (LISTS + dims) x dims numbers at most
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # centres and rotation: (LISTS + dims) x dims numbers at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             bounds = np.concatenate([[0], need.cumsum()]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(flat))], ["query_id", "v", "lists"])
 
-    asked = good(queries).where(F.size("v") == dims).groupBy("vec_id").agg(F.min("v").alias("v"))  # a repeated row asks once
+    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))  # a repeated row asks once
     asked = cut_lineage(asked.mapInArrow(probes, "query_id long, v array<double>, lists array<long>"))
 
     def meet(wanted: DataFrame) -> DataFrame:

@@ -1,15 +1,15 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 Only vectors of equal, non-null label are compared, by cosine. Equal vectors of a label form a class
-and one of them stands for it. The classes of a label are dealt to tiles of about ``TILE`` rows, and
-each pair of tiles is one small task: vectors are scaled to unit length and quantised to int8, x = s q
+and one of them stands for it. The classes of a label are dealt to tiles of about ``TILE`` rows, sent in the type they came in
+once for each tile they meet; each pair of tiles is one task, worked on in blocks of ``BLOCK`` rows: vectors are scaled to unit length and quantised to int8, x = s q
 + e with |e| known, and a product of two int8 matrices gives every cosine to within
 |e_x| |s_y q_y| + |s_x q_x| |e_y| + |e_x| |e_y|. Pairs whose bound reaches the threshold are recomputed from
 the original vectors in double precision. A task emits link counts and one spanning edge a class, never
 pairs; a label with a third of all rows is many tile pairs like any other.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
-link with nothing. Vectors of different lengths never link. Repeated rows (also of one vec_id) are members
+link with nothing. Labels are compared as they are, of whatever type. Vectors of different lengths never link. Repeated rows (also of one vec_id) are members
 of one class. An empty table gives no rows.
 """
 
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.components import components
 from siteloom.llm.support import by_group
-from siteloom.llm.vectors import doubles, matrix, usable
+from siteloom.llm.vectors import matrix, usable
 from siteloom.session import cut_lineage
 
-THRESHOLD, TILE = 0.93, 1024
+THRESHOLD, TILE, BLOCK = 0.93, 4096, 1024
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,10 +59,14 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> t
     return i[ok], j[ok], len(i)
 
 
-def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE) -> DataFrame:
+def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE, block_rows: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding, label)."""
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding", (usable() & F.col("label").isNotNull()).alias("_ok"))
-    good = rows.where("_ok").select("vec_id", "label", doubles(rows).alias("v"))
+    # 64-bit names of labels: two different ones coincide with probability 2**-64
+    label = F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select("vec_id", label.alias("label"), "embedding", (usable() & F.col("label").isNotNull()).alias("_ok"))
+    kind = dict(vectors.dtypes)["embedding"].removeprefix("array<").removesuffix(">")
+    narrow = F.transform("embedding", lambda x: x + F.lit(0).cast(kind))  # -0.0 and 0.0 are one value
+    good = rows.where("_ok").select("vec_id", "label", narrow.alias("v"))
     good = good.select("vec_id", "label", F.size("v").alias("dims"), F.xxhash64("label", "v").alias("cid"), "v")
     # one row a class: 64-bit name of (label, vector)
     classes = cut_lineage(good.groupBy("cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("v").alias("v")))
@@ -77,18 +81,21 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
         v = matrix(group.column("v"))
         a = np.flatnonzero(tile == t)
         b = np.flatnonzero(tile == u)
-        i, j, _ = close_pairs(v[a], v[b], threshold, t == u)
-        i, j = a[i], b[j]
-        links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-        root = np.arange(len(ids))
-        while True:
-            now = root.copy()
-            np.minimum.at(now, i, root[j])
-            np.minimum.at(now, j, root[i])
-            now = now[now]
-            if (now == root).all():
-                break
-            root = now
+        links, root = np.zeros(len(ids)), np.arange(len(ids))
+        for x in range(0, len(a), block_rows):
+            for y in range(0, x + 1 if t == u else len(b), block_rows):
+                i, j, _ = close_pairs(v[a[x : x + block_rows]], v[b[y : y + block_rows]], threshold, t == u and x == y)
+                i, j = a[x + i], b[y + j]
+                links += np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+                # joins the pairs' trees: the roots of either end take the smaller one until both ends agree
+                while True:
+                    while (root[root] != root).any():
+                        root = root[root]
+                    p, q = root[i], root[j]
+                    apart = p != q
+                    if not apart.any():
+                        break
+                    np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
         use = np.flatnonzero(links > 0)
         yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(links[use].astype(np.int64)), pa.array(ids[root[use]])], ["cid", "links", "root"])
 

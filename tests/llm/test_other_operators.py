@@ -63,8 +63,8 @@ def vectors(spark):
     return spark.createDataFrame([(*r, "c", 1, 2) for r in vector_rows()], VECTORS)
 
 
-@pytest.mark.parametrize("tile", [8, 1024])
-def test_embedding_links_equal_brute_force(vectors, tile):
+@pytest.mark.parametrize(("tile", "block"), [(8, 1024), (64, 16), (4096, 1024)])
+def test_embedding_links_equal_brute_force(vectors, tile, block):
     rows = vector_rows()
     n = len(rows)
     link = np.zeros((n, n), bool)
@@ -82,9 +82,12 @@ def test_embedding_links_equal_brute_force(vectors, tile):
         ids = [rows[j][0] for j in range(n) if root[j] == root[i] and rows[j][0] is not None]
         least = min(ids) if ids else None
         wanted.append((vid, int(link[i].sum()), least, vid is not None and vid == least))
-    got = [tuple(r) for r in embedding_dedup.link_embeddings(vectors, tile_rows=tile).collect()]
+    got = [tuple(r) for r in embedding_dedup.link_embeddings(vectors, tile_rows=tile, block_rows=block).collect()]
     assert sorted(map(str, got)) == sorted(map(str, wanted)) and link.sum() > 100
     assert embedding_dedup.link_embeddings(vectors.limit(0)).count() == 0
+    if tile > 64:  # labels of any type; double components
+        named = vectors.selectExpr("vec_id", "cast(embedding as array<double>) as embedding", "concat('l', label) as label")
+        assert sorted(str(tuple(r)) for r in embedding_dedup.link_embeddings(named).collect()) == sorted(map(str, wanted))
 
 
 def test_quantised_bounds_hold_and_save_work():
@@ -119,6 +122,25 @@ def test_search_recall_and_edge_rows(spark, vectors):
     assert ann_search.search(vectors.limit(0), asked).count() == 0
 
 
+@pytest.mark.parametrize("indexed", [50, 10**6])
+def test_vectors_of_every_length_are_searched_among_their_own(spark, monkeypatch, indexed):
+    monkeypatch.setattr(ann_search, "INDEXED", indexed)
+    monkeypatch.setattr(ann_search, "CHUNK", 16)
+    r = np.random.default_rng(8)
+    rows = [(i, r.standard_normal(4 if i < 70 else 7 if i < 90 else 3).tolist()) for i in range(95)] + [(200, [1.0] * 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_search.search(table, table.where("vec_id % 5 = 0"), 6).collect()
+    by_id, hit = dict(rows), 0
+    for q in range(0, 95, 5):
+        own = [i for i, v in rows if len(v) == len(by_id[q]) and i != q]
+        best = sorted(own, key=lambda i: (-float(np.dot(by_id[i], by_id[q])), i))[:6]
+        found = [x.vec_id for x in sorted(got, key=lambda x: x.rank) if x.query_id == q]
+        assert len(found) == len(best) and set(found) <= set(own)
+        hit += len(set(found) & set(best))
+        assert found == best or (q < 70 and indexed == 50)
+    assert not [x for x in got if x.query_id == 200] and hit >= 0.9 * len(got)
+
+
 def test_search_recall_on_the_table(spark, folder):
     table = spark.read.parquet(f"{folder}/embeddings.parquet")
     rows = table.collect()
@@ -154,7 +176,7 @@ def test_each_operator_has_one_query(spark, con, folder):
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     from compare import compare
 
     for name, sql in queries.ORACLES.items():
