@@ -1,7 +1,7 @@
 """Packing documents into batches of a token budget, in length buckets that minimise padding.
 
 1. The global histogram of lengths, in bins exact up to ``2**BIN_BITS`` tokens and within a
-   fraction ``2**-BIN_BITS`` above, is the only thing collected: its size is bounded by the bits of
+   fraction ``2**-BIN_BITS`` above, with the longest length in each bin, is the only thing collected: its size is bounded by the bits of
    a length, not by rows.
 2. Dynamic programming over the bins chooses at most ``buckets`` boundaries with the least total
    padding, every document being padded to the longest length its bucket admits.
@@ -10,7 +10,7 @@
    document longer than the budget is a batch of its own.
 
 Tokens are words, ``[^\\x20\\x09-\\x0D]+``; null and empty texts have none, take no batch (batch null, bucket -1)
-and stay in the result. Repeated rows are packed each. An empty table gives no rows.
+and stay in the result. Ties go by hash, then doc_id. Texts of any length are counted, one longer than the budget fills a batch. Repeated rows are packed each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,8 +77,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     batch is bucket-shard-number; place counts rows inside the batch from 0.
     """
     rows = cut_lineage(docs.select("doc_id", word_count().alias("n_tokens"), F.xxhash64("doc_id", F.xxhash64("text")).alias("_h")))
-    hist = rows.where("n_tokens > 0").groupBy(length_bin(F.col("n_tokens")).alias("bin")).count().orderBy("bin").collect()
-    lengths, counts = np.array([r[0] for r in hist], np.int64), np.array([r[1] for r in hist], np.int64)
+    hist = rows.where("n_tokens > 0").groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens"), F.count("*")).orderBy("bin").collect()
+    lengths, counts = np.array([r[1] for r in hist], np.int64), np.array([r[2] for r in hist], np.int64)  # a bin's bound is its longest member
     bounds = bucket_bounds(lengths, counts, buckets)
     ends = np.searchsorted(lengths, bounds, "right")
     sizes = np.diff(np.concatenate([[0], np.cumsum(counts)[ends - 1]])) if len(bounds) else []

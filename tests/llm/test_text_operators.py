@@ -330,6 +330,12 @@ def test_packing_fills_batches(spark, docs, empty):
     assert all(r.id <= r.b <= max(r.id, r.id * (1 + 2**-7)) for r in rows) and all(r.b == r.id for r in rows if r.id <= 256)
 
 
+def test_a_bucket_is_as_long_as_its_longest_document(spark):
+    rows = [(i, "w " * n) for i, n in enumerate([3, 259, 259, 517, 1030, 1031, 70_001])]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3, budget=2100).collect()
+    assert {max(r.n_tokens for r in got if r.bucket == b) for b in range(3)} == {r.bucket_bound for r in got}
+
+
 def test_packing_shards_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 10)
     got = packing.pack(spark.range(95).selectExpr("id as doc_id", "'a b c' as text"), budget=12).collect()
