@@ -44,7 +44,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    found = remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
