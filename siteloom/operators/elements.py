@@ -150,12 +150,24 @@ class _Walker(HTMLParser):
             self._add_text(data)
 
 
+FRAME_ROWS = 5000
+
+
 def page_elements(pages: DataFrame, drop: Iterable[str] = tuple(INVISIBLE)) -> DataFrame:
-    """Element rows of every page; subtrees matching a ``drop`` selector are left out."""
+    """Element rows of every page; subtrees matching a ``drop`` selector are left out.
+
+    Rows leave in frames of about ``FRAME_ROWS``, so memory follows the largest page, not a batch of pages.
+    """
     drop_set = set(drop)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.strip().split(" ")[0] for c in _split_schema(ELEMENT_SCHEMA)]
+
+        def frame(rows: list) -> pd.DataFrame:
+            made = pd.DataFrame(rows, columns=columns)
+            made["parent"] = made["parent"].astype("Int32")
+            return made
+
         for batch in batches:
             out = []
             for site, page_id, url, html in batch.itertuples(index=False):
@@ -170,9 +182,10 @@ def page_elements(pages: DataFrame, drop: Iterable[str] = tuple(INVISIBLE)) -> D
                          e["ancestors"], " ".join("".join(e["buf"]).split()), e["has_h1"], e["has_form"],
                          src, a.get("alt"), a.get("width"), e["runs"])
                     )
-            frame = pd.DataFrame(out, columns=columns)
-            frame["parent"] = frame["parent"].astype("Int32")
-            yield frame
+                if len(out) >= FRAME_ROWS:
+                    yield frame(out)
+                    out = []
+            yield frame(out)
 
     return pages.select("site", "page_id", "url", "html").mapInPandas(walk, ELEMENT_SCHEMA)
 

@@ -53,3 +53,13 @@ def screens(spark: SparkSession) -> DataFrame:
 
 def values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+def recipes(spark: SparkSession) -> DataFrame:
+    """A small recipe table: what an agent is asked to do for each automatic action, and the fields it may write."""
+    rows = [
+        ("generate-meta", "generate", "Summarise the page in a title and a description that fit a results list.", ["seoTitle", "seoDescription"]),
+        ("generate-alt", "generate", "Say what each picture shows, for readers who cannot see it.", ["body[].image.alt", "body[].images[].alt"]),
+        ("rewrite-placeholder", "transform", "Exchange stock phrases for sentences that the page's own facts support.", ["body"]),
+    ]
+    return spark.createDataFrame(rows, "action string, kind string, instruction string, fields array<string>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteloom.operators import extract as X
 from siteloom.operators import findings as Q
 from siteloom.operators import migrate as M
 from siteloom.operators import tasks as TK
@@ -11,22 +12,31 @@ from siteloom.plans import derived as V
 from siteloom.plans import duck as D
 from siteloom.plans import finding_queries as FQ
 from siteloom.plans import migrate_queries as MQ
+from siteloom.plans import status_fixture as SF
 from siteloom.plans.registry import query
 from siteloom.session import scratch_path, stored
 from siteloom.sources import sync as S
 from siteloom.sources import tables as T
 from siteloom.sources.site_table import SiteTable
 
-PAGE_ENT = "en AS (SELECT site, page_id, path, url, 'phones' AS kind, '0326015' || (60 + page_id % 3) AS value FROM pg WHERE http_status < 400)"
+# contact values that the enriched pages show
+PAGE_ENT = f"""xe AS (SELECT page_id, 'phones' AS kind, unnest(regexp_extract_all(corpus, '{D.PHONE}')) AS value FROM rc
+  UNION ALL SELECT page_id, 'emails', unnest(regexp_extract_all(corpus, '{D.EMAIL}')) FROM rc UNION ALL SELECT page_id, 'addresses', unnest(regexp_extract_all(corpus, '{D.ADDRESS}')) FROM rc
+  UNION ALL SELECT page_id, 'emails', unnest(CASE page_id % 4 WHEN 1 THEN ['info@site.example'] WHEN 2 THEN ['sales@site.example', 'hello@site.example'] ELSE [] END) FROM rc),
+en AS (SELECT DISTINCT rc.site, rc.page_id, rc.path, rc.url, kind, trim(value) AS value FROM xe JOIN rc USING (page_id) WHERE trim(value) <> '' AND rc.http_status < 400)"""
 
 
 def page_contacts(spark, d):
-    """One phone number per live page, three numbers over all pages."""
-    p = T.read_pages(spark, d).filter("http_status < 400")
-    return p.select(
-        "site", "page_id", "path", "url", F.lit("phones").alias("kind"),
-        F.concat(F.lit("0326015"), (60 + F.col("page_id") % 3).cast("string")).alias("value"),
-    )
+    """Phones, e-mails and addresses extracted from the live pages."""
+    pages = V.rich_pages(spark, d).filter("http_status < 400")
+    found = X.page_entities(X.page_records(pages)).filter("kind <> 'prices'")
+    return found.join(pages.select("site", "page_id", "path", "url"), ["site", "page_id"])
+
+
+def blank_alts(spark, d):
+    """Number of images without alt text on each page that has some."""
+    images = X.page_images(V.rich_pages(spark, d))
+    return images.filter(F.trim(F.coalesce("alt", F.lit(""))) == "").groupBy("site", "page_id").agg(F.count("*").alias("blank_alt_images"))
 
 
 # answered questions of pages: rule findings plus contact contradictions, with evidence
@@ -60,7 +70,7 @@ tt AS (SELECT *, t[1] AS mode, t[2] AS action, t[3] AS title,
 def asked(spark, d):
     """Answered questions with evidence page counts, and the evidence rows."""
     rows = stored(Q.signal_rows(FQ.rich_signals(spark, d)), "signals")
-    contacts = page_contacts(spark, d)
+    contacts = stored(page_contacts(spark, d), "contacts")
     found = Q.page_questions(rows).unionByName(Q.contradictions(contacts))
     found = stored(V.answered(found), "questions")
     cols = ["site", "finding", "page_id", "url"]
@@ -129,11 +139,9 @@ def planned(spark, d):
     found, ev = asked(spark, d)
     t = MQ.targets(spark, d)
     rich = V.rich_pages(spark, d)
-    from siteloom.operators.extract import page_records
-
-    desc = page_records(rich, tree_layouts=False).select("site", "page_id", "url", "description")
-    pages = t.join(desc, ["site", "page_id"]).select(
-        "site", "page_id", F.col("old_path").alias("path"), "url", "description", (F.col("page_id") % 2).alias("blank_alt_images"),
+    desc = X.page_records(rich, tree_layouts=False).select("site", "page_id", "url", "description")
+    pages = t.join(desc, ["site", "page_id"]).join(blank_alts(spark, d), ["site", "page_id"], "left").select(
+        "site", "page_id", F.col("old_path").alias("path"), "url", "description", F.coalesce("blank_alt_images", F.lit(0)).alias("blank_alt_images"),
         "doc_id", F.col("type").alias("doc_type"), F.col("new_path").alias("target_path"),
         F.when(F.col("state") == "mapped", "mapped").otherwise("dropped").alias("target_status"),
     )
@@ -170,7 +178,7 @@ def _(spark, d):
         .select("site", "fingerprint", F.explode("options").alias("option"), F.col("answer").alias("chosen"))
         .filter((F.col("option") != F.col("chosen")) & ~F.col("option").startswith("None of these"))
     )
-    out = TK.task_recipes(tasks, rejected)
+    out = TK.task_recipes(tasks, SF.recipes(spark), rejected)
     return out.select(
         "site", "task_id", "agent_kind", F.when(F.col("agent_kind") == "patch", F.col("instruction")).alias("patch"),
         F.array_join("fields", ",").alias("fields"),
@@ -246,22 +254,22 @@ def _(spark, d):
 
 @query(
     "missing_alt_paths",
-    f"""WITH {D.PG} SELECT site, page_id AS doc_id, 'b' || (page_id % 3) AS block_key, p.path AS alt_path FROM pg,
-      LATERAL (VALUES (page_id % 2 = 0, 'body[b' || (page_id % 3) || '].image.alt'), (page_id % 3 = 1, 'body[b' || (page_id % 3) || '].images[i1].alt'),
-                      (page_id % 5 = 0, 'body[b' || (page_id % 3) || '].cards[c0].image.alt')) p(ok, path) WHERE p.ok""",
+    f"""WITH {D.PG} SELECT site, page_id AS doc_id, p.block AS block_key, p.path AS alt_path FROM pg,
+      (VALUES ('b1', 'body[b1].image.alt'), ('g', 'body[g].images[i1].alt'), ('g', 'body[g].cards[c1].image.alt')) p(block, path) WHERE page_id % 2 = 1""",
     covers="H7",
 )
 def _(spark, d):
-    n = F.col("page_id")
-    item = lambda key, asset, alt: F.struct(F.lit(key).alias("key"), asset.alias("asset"), alt.alias("alt"))
-    a, none = F.lit("asset"), F.lit(None).cast("string")
-    blocks = T.read_pages(spark, d).select(
-        "site", n.alias("doc_id"), F.concat(F.lit("b"), (n % 3).cast("string")).alias("block_key"),
-        F.struct(F.when(n % 2 == 0, a).alias("asset"), F.lit(" ").alias("alt")).alias("image"),
-        F.array(item("i0", a, F.lit("fine")), item("i1", F.when(n % 3 == 1, a), none)).alias("images"),
-        F.when(n % 5 == 0, F.array(item("c0", a, none))).alias("cards"),
-    )
-    return TK.missing_alt_paths(blocks)
+    """Each image of a page as a block of its own, and all of them as a gallery and as cards."""
+    found = X.page_images(V.rich_pages(spark, d))
+    key = F.col("ord").cast("string")
+    item = lambda head: F.struct(F.concat(F.lit(head), key).alias("key"), F.col("src").alias("asset"), "alt")
+    in_order = lambda head: F.transform(F.array_sort(F.collect_list(F.struct("ord", item(head).alias("i")))), lambda r: r["i"])
+    none = lambda c: F.lit(None).cast(f"{c}struct<key:string,asset:string,alt:string>{'>' if c else ''}")
+    doc = F.col("page_id").alias("doc_id")
+    single = found.select("site", doc, F.concat(F.lit("b"), key).alias("block_key"), F.struct(F.col("src").alias("asset"), "alt").alias("image"), none("array<").alias("images"), none("array<").alias("cards"))
+    every = found.groupBy("site", "page_id").agg(in_order("i").alias("images"), in_order("c").alias("cards"))
+    no_image = F.lit(None).cast("struct<asset:string,alt:string>")
+    return TK.missing_alt_paths(single.unionByName(every.select("site", doc, F.lit("g").alias("block_key"), no_image.alias("image"), "images", "cards")))
 
 
 @query(

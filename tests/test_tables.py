@@ -126,3 +126,16 @@ def test_crawl_places_without_a_limit_equal_a_queue(spark):
     ).collect()
     assert [(x.url, x.depth) for x in sorted(got, key=lambda x: x.place)] == [(u, depth[u]) for u in queue]
     assert not any("adjacency" in t.name for t in spark.catalog.listTables())
+
+
+def test_the_last_checkpoint_of_many_equals_a_scan(spark):
+    from siteloom.operators.lifecycle import as_of_labels
+
+    r = random.Random(9)
+    marks = [(e, r.randrange(0, 10_000) / 100, f"m{i:04}") for e in ("x", "y") for i in range(800)] + [("y", -3.0, "below"), ("z", 50.0, "late")]
+    asked = [(i, r.choice(["x", "y", "z", "none", None]), r.choice([None, 0.0, 12.5, 100.0, r.random() * 100])) for i in range(500)]
+    got = as_of_labels(spark.createDataFrame(asked, "instance long, effect string, percent double"), spark.createDataFrame(marks, "effect string, at_percent double, label string"))
+    for x in got.collect():
+        below = [(at, label) for e, at, label in marks if e == x.effect and at <= (x.percent or 0)]
+        assert x.step == (max(below)[1] if below else None)
+    assert got.count() == 500 and got.columns == ["instance", "effect", "percent", "step"]
