@@ -64,8 +64,8 @@ def ranged(rows: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
     return kept, kept.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
 
-def raised(nodes: DataFrame, level: int) -> DataFrame:
-    """Nodes of ``level`` from those below: ``count`` is the tree's number of leaves, ``place`` the node's place on its
+def raised(nodes: DataFrame) -> DataFrame:
+    """Nodes of the level above ``nodes``: ``count`` is the tree's number of leaves, ``place`` the node's place on its
     level, ``nodes`` the children with their intervals."""
     bucket = F.shiftright("place", FAN_BITS)
     child = F.struct("lo", "hi", "digest")
@@ -90,7 +90,7 @@ def grown(bottom: DataFrame, at: int, most: int) -> list[DataFrame]:
     """Nodes by level: ``bottom`` (tree, count, place, lo, hi, digest) on level ``at``, then those above, for trees of up to ``most`` leaves."""
     levels = [bottom] * (at + 1)
     for level in range(at + 1, height(most) + 1):
-        levels.append(cut_lineage(raised(levels[-1].where(many(level)), level)))
+        levels.append(cut_lineage(raised(levels[-1].where(many(level)))))
     return levels
 
 

@@ -28,7 +28,6 @@ doc_id names a group.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
