@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.operators import crawl as K  # noqa: F401
 from siteloom.operators import elements as E
 from siteloom.operators import extract as X
 from siteloom.operators import findings as Q
 from siteloom.operators import migrate as M
-from siteloom.operators import tasks as TK
 from siteloom.plans import derived as V
 from siteloom.plans import duck as D
 from siteloom.plans.extract_queries import RICH
-from siteloom.plans.finding_queries import FINDINGS, SIG, contact_entities, rich_signals
+from siteloom.plans.finding_queries import SIG, contact_entities, rich_signals
 from siteloom.plans.registry import query
 from siteloom.session import stored
 from siteloom.sources import tables as T
-from siteloom.functions import text as TX
 
 TITLED = f"""{D.PX}, tp AS (SELECT site, page_id, url, path, http_status,
   title || CASE WHEN page_id % 4 <> 0 THEN ' | Site ' || site ELSE '' END AS title FROM px)"""

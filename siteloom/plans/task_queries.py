@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import extract as X
 from siteloom.operators import findings as Q
-from siteloom.operators import migrate as M
 from siteloom.operators import tasks as TK
 from siteloom.plans import derived as V
 from siteloom.plans import duck as D
