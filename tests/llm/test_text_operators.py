@@ -202,6 +202,58 @@ def test_boosting_learns_a_rule_and_calibrates(spark, empty):
     assert pii.pii_digest(empty).count() == 0
 
 
+def planted(rng: random.Random) -> tuple[str, str, bool]:
+    """(kind, text, whether it is personal data): forms that no base rule finds."""
+    kind = rng.choice(pii.KINDS)
+    real = rng.random() < 0.7 or kind == "email"
+    if kind == "email":
+        name, host = rng.choice(["jo.day", "m_roe", "info", "lee77"]), rng.choice(["mail", "post-box", "acme"])
+        return kind, rng.choice([f"{name} @ {host}.org", f"{name}(at){host}.org", f"{name} [at] {host} [dot] org"]), True
+    if kind == "ip":
+        parts = [rng.randrange(1, 256) for _ in range(4)]
+        if not real:
+            parts[rng.randrange(4)] = rng.randrange(256, 1000)
+        return kind, rng.choice([",", ". "]).join(map(str, parts)), real
+    if kind == "card":
+        head = str(rng.randrange(10**14, 10**15))
+        check = next(c for c in "0123456789" if luhn(head + c))
+        number = head + (check if real else str((int(check) + rng.randrange(1, 10)) % 10))
+        return kind, ".".join(number[i : i + 4] for i in range(0, 16, 4)), real
+    if not real:
+        return kind, f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}", False
+    a, b = rng.randrange(200, 999), rng.randrange(1000, 10000)
+    return kind, rng.choice([f"1 ({a}) 555-{b}", f"1.{a}.555.{b}"]), True
+
+
+def test_learned_model_finds_planted_variants_in_held_out_documents(spark):
+    """Fitted on even documents; odd ones get one planted form each, between two of their words."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = pii.fit(table.where("doc_id % 2 = 0"))
+    rng, rows, truth = random.Random(5), [], {}
+    for r in table.where("doc_id % 2 = 1 and text is not null").orderBy("doc_id").collect():
+        kind, form, real = planted(rng)
+        w = re.split("(?<=[a-z]) (?=[a-z])", r.text, maxsplit=1)
+        if len(w) < 2:
+            continue
+        rows.append((r.doc_id, f"{w[0]} {form} {w[1]}"))
+        truth[r.doc_id] = (kind, len(w[0]) + 1, len(w[0]) + 1 + len(form), real)
+    good, wrong, missed = Counter(), Counter(), Counter()
+    plain = {r.doc_id: set(r.spans.split(",")) for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string"), [([], np.inf)] * 4).collect()}
+    for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        kind, s, e, real = truth[r.doc_id]
+        added = set(r.spans.split(",")) - plain[r.doc_id]
+        at = {x for x in added if int(x.split(":")[1]) < e and int(x.split(":")[2]) > s}
+        hit = real and f"{kind}:{s}:{e}" in at
+        good[kind] += hit
+        missed[kind] += real and not hit
+        for x in at - ({f"{kind}:{s}:{e}"} if real else set()):
+            wrong[x.split(":")[0]] += 1
+    print("found", dict(good), "missed", dict(missed), "wrong", dict(wrong))
+    assert sum(good.values()) >= 0.9 * (sum(good.values()) + sum(missed.values()))
+    assert sum(good.values()) >= 0.95 * (sum(good.values()) + sum(wrong.values()))
+    assert all(good[k] >= 0.7 * (good[k] + missed[k]) for k in pii.KINDS)
+
+
 def brute_targets(sizes: dict) -> dict:
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
