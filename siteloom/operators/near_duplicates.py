@@ -4,10 +4,18 @@ Prefix filter: with the shingles of a page in order of rarity in the site, two p
 threshold share one of their first n - ceil(threshold * n) + 1. Pages first meet only the smallest page
 of each such shingle; near copies of one text all match it there, and a page needs the other holders
 of a shingle only if they could be earlier than what it has already matched.
+
+Holders of one shingle that cannot be alike are cut before their sets are joined: by length (they meet
+inside bands of lengths only, which also split a frequent shingle), by what can still be common
+after the shingle's place in both, and by a parity sketch, whose differing bits never exceed the
+shingles that are in one set only. All three bounds are exact, so no pair is lost.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +40,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+LANES = 16
+
+
+def parity_sketches(rows: DataFrame) -> DataFrame:
+    """(site, page_id, z): ``LANES`` words of 64 bits; a bit is the parity of the page's shingles that hash to it."""
+    bit = F.expr("shiftleft(1L, cast(s & 63 as int))")
+    lane = F.expr(f"shiftright(s, 6) & {LANES - 1}")
+    words = [F.bit_xor(F.when(lane == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(LANES)]
+    return rows.groupBy("site", "page_id").agg(F.array(*words).alias("z"))
+
+
+def may_be_close(n: Column, k: Column, z: Column, y: Column, threshold: float) -> Column:
+    """Whether sets of n and k shingles with parity sketches z and y can reach the threshold."""
+    differing = reduce(lambda a, b: a + b, [F.bit_count(z[i].bitwiseXOR(y[i])) for i in range(LANES)])
+    return differing <= (n + k) * (1 - threshold) / (1 + threshold) + 1e-6
+
+
+def fits(n: Column, i: Column, k: Column, j: Column, threshold: float) -> Column:
+    """Whether sets of n and k shingles whose first common one has places i and j can reach the threshold."""
+    alike = (k >= n * threshold - 1e-9) & (n >= k * threshold - 1e-9)
+    return alike & (F.least(n - i, k - j) + 1 >= (n + k) * threshold / (1 + threshold) - 1e-6)
+
+
 def near_duplicate_pages(texts: DataFrame, threshold: float = 0.8, size: int = 3) -> DataFrame:
     """(site, page_id, dup_of, similarity): each page with the earliest page at or above the threshold.
 
@@ -48,23 +79,33 @@ def near_duplicate_pages(texts: DataFrame, threshold: float = 0.8, size: int = 3
     often = rows.groupBy("site", "s").agg(F.count("*").alias("df"))
     order = W.partitionBy("site", "page_id").orderBy("df", "s")
     prefix = rows.join(often, ["site", "s"]).withColumn("nth", F.row_number().over(order))
-    prefix = cut_lineage(prefix.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1").select("site", "page_id", "n", "s"))
+    prefix = prefix.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).filter("df > 1").select("site", "page_id", "n", "s", "nth")
+    prefix = cut_lineage(prefix)
+    sketches = cut_lineage(parity_sketches(rows))
     # the smallest page that has the shingle in its prefix
-    heads = prefix.groupBy("site", "s").agg(F.min("page_id").alias("head"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    heads = prefix.groupBy("site", "s").agg(F.min(F.struct("page_id", "n", "nth")).alias("h"), F.count("*").alias("m")).filter("m > 1")
+    heads = heads.select("site", "s", F.col("h.page_id").alias("head"), F.col("h.n").alias("head_n"), F.col("h.nth").alias("head_nth"))
     meets = cut_lineage(prefix.join(heads, ["site", "s"]))
     left = sets.select("site", "page_id", F.col("sh").alias("a"))
     right = sets.select("site", F.col("page_id").alias("dup_of"), F.col("sh").alias("b"))
 
     def matched(pairs: DataFrame) -> DataFrame:
-        scored = pairs.distinct().join(left, ["site", "page_id"]).join(right, ["site", "dup_of"]).withColumn("similarity", jaccard(F.col("a"), F.col("b")))
+        pairs = pairs.distinct().join(sketches, ["site", "page_id"]).join(sketches.select("site", F.col("page_id").alias("dup_of"), F.col("z").alias("y")), ["site", "dup_of"])
+        pairs = pairs.filter(may_be_close(F.col("n"), F.col("k"), F.col("z"), F.col("y"), threshold)).select("site", "page_id", "dup_of")
+        scored = pairs.join(left, ["site", "page_id"]).join(right, ["site", "dup_of"]).withColumn("similarity", jaccard(F.col("a"), F.col("b")))
         close = scored.filter(F.col("similarity") >= threshold - 1e-12)
         return cut_lineage(close.groupBy("site", "page_id").agg(F.min(F.struct("dup_of", "similarity")).alias("m")).select("site", "page_id", "m.*"))
 
-    by_head = matched(meets.filter("page_id > head").select("site", "page_id", F.col("head").alias("dup_of")))
-    x = meets.join(by_head.select("site", "page_id", F.col("dup_of").alias("best")), ["site", "page_id"], "left").filter("best is null or best > head")
-    y = meets.filter("page_id > head").select("site", "s", F.col("page_id").alias("dup_of"), F.col("n").alias("k"))
-    fits = (F.col("dup_of") < F.col("page_id")) & (F.col("best").isNull() | (F.col("dup_of") < F.col("best"))) & (F.col("k") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("k") * threshold - 1e-9)
-    rest = matched(x.join(y, ["site", "s"]).filter(fits).select("site", "page_id", "dup_of"))
+    at_head = meets.filter("page_id > head").filter(fits(F.col("n"), F.col("nth"), F.col("head_n"), F.col("head_nth"), threshold))
+    by_head = matched(at_head.select("site", "page_id", "n", F.col("head").alias("dup_of"), F.col("head_n").alias("k")))
+    # lengths whose ratio may reach the threshold are in the same band or in neighbouring ones
+    band = lambda n: F.floor(F.log(n) / max(-math.log(threshold) * 1.001, 1e-3)).cast("int")
+    x = meets.join(by_head.select("site", "page_id", F.col("dup_of").alias("best")), ["site", "page_id"], "left").filter("best is null or best > head").withColumn("band", band(F.col("n")))
+    y = meets.filter("page_id > head").select("site", "s", F.col("page_id").alias("dup_of"), F.col("n").alias("k"), F.col("nth").alias("k_nth"), band(F.col("n")).alias("own"))
+    y = y.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
+    earlier = (F.col("dup_of") < F.col("page_id")) & (F.col("best").isNull() | (F.col("dup_of") < F.col("best")))
+    near_in_order = fits(F.col("n"), F.col("nth"), F.col("k"), F.col("k_nth"), threshold)
+    rest = matched(x.join(y, ["site", "s", "band"]).filter(earlier & near_in_order).select("site", "page_id", "n", "dup_of", "k"))
     # of a folded text the first page stands for all, and its copies may have an earlier near copy too
     found = by_head.unionByName(rest).groupBy("site", "page_id").agg(F.min(F.struct("dup_of", "similarity")).alias("m")).select("site", F.col("page_id").alias("first"), "m.*")
     pages = keyed.select("site", "page_id", "h").join(first, ["site", "h"]).join(found, ["site", "first"], "left")

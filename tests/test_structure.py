@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.operators import condense as C
 from siteloom.operators import crawl as K
 from siteloom.operators import extract as X
+from siteloom.operators import near_duplicates as N
 from siteloom.operators.near_duplicates import near_duplicate_pages
 from siteloom.plans import REGISTRY
 from siteloom.sources import tables as T
@@ -43,6 +44,36 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got.get(i) == min(near, default=None)
 
 
+def test_unlike_holders_of_a_shared_shingle_are_cut_and_no_alike_pair_is(spark):
+    """Pages that all hold one rare-looking passage and little else in common, beside real near copies."""
+    rng = random.Random(3)
+    pages = []
+    for k in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 60, 200, 700]))]
+        pages.append(own[:10] + ["one", "shared", "passage", "of", "words"] + own[10:])
+        if k % 3 == 0:  # a near copy: some words at the end changed
+            copy = pages[-1][:]
+            for i in range(len(copy) // 20):
+                copy[-1 - i] = f"c{k}-{i}"
+            pages.append(copy)
+    rows = [("s", i, " ".join(p)) for i, p in enumerate(pages)]
+    sets = [{" ".join(p[i : i + 3]) for i in range(len(p) - 2)} for p in pages]
+    alike = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if j < i and a & b}
+    want = {}
+    for (i, j), v in sorted(alike.items()):
+        if v >= 0.8 and i not in want:
+            want[i] = (j, round(v, 6))
+    texts = spark.createDataFrame(rows, "site string, page_id long, text string")
+    assert {r.page_id: (r.dup_of, r.similarity) for r in N.near_duplicate_pages(texts).collect()} == want and len(want) > 10
+    hashed = texts.select("site", "page_id", F.split("text", " ").alias("words")).select("site", "page_id", N.shingles("words").alias("sh"))
+    z = N.parity_sketches(hashed.select("site", "page_id", F.explode("sh").alias("s")))
+    z = z.join(hashed.select("page_id", F.size("sh").alias("n")), "page_id").select("page_id", "n", "z")
+    pairs = z.join(z.select(F.col("page_id").alias("dup_of"), F.col("n").alias("k"), F.col("z").alias("y")), F.col("dup_of") < F.col("page_id"))
+    left = {(r.page_id, r.dup_of) for r in pairs.filter(N.may_be_close(F.col("n"), F.col("k"), F.col("z"), F.col("y"), 0.8)).collect()}
+    assert left >= {p for p, v in alike.items() if v >= 0.8}
+    assert len(left) < len(alike) / 10
+
+
 def _near(a, b):
     """Edit distance of at most one."""
     if len(a) == len(b):
