@@ -109,7 +109,7 @@ def _(spark, d):
         F.col("source").alias("site"), F.col("doc_id").alias("page_id"), F.substring(F.sha2("text", 256), 1, 32).alias("content_hash"),
         F.timestamp_micros((F.col("doc_id") + 1) * 60_000_000).alias("seen_at"),
     )
-    out = R.run_to_table(ST.deduped_page_stream(docs, "3650 days"), "pages", partition_by=["site"])
+    out = R.run_to_table(ST.deduped_page_stream(docs, "2 hours"), "pages", partition_by=["site"])
     return out.select("site", "content_hash")
 
 

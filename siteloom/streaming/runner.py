@@ -48,12 +48,14 @@ def run_to_table(
     output_mode: str = "append",
     partition_by: list[str] | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
+    progress: list | None = None,
 ) -> DataFrame:
     """Process everything available, append to a parquet table in the shared folder, return it.
 
     With ``on_batch`` every micro-batch goes to that function instead, which writes to
     ``<table>/batch=<id>``; the folder of a repeated batch is overwritten, so a restart after
-    a lost executor or driver does not double rows.
+    a lost executor or driver does not double rows. ``progress`` takes the reports of the micro-batches
+    (the last 100), among them the rows that the state holds.
     """
     spark = stream.sparkSession
     table, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
@@ -71,6 +73,8 @@ def run_to_table(
 
             query = writer.foreachBatch(save).start()
         query.awaitTermination()
+        if progress is not None:
+            progress += query.recentProgress
     if query.exception() is not None:
         raise query.exception()
     reader = spark.read if on_batch is not None else spark.read.schema(stream.schema)

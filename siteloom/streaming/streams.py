@@ -263,6 +263,16 @@ def deduped_page_stream(pages: DataFrame, delay: str) -> DataFrame:
     return pages.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["site", "content_hash"])
 
 
+def refused_pages(pages: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``pages`` whose (site, content_hash) ``deduped_page_stream`` never let out: new content that came behind the watermark.
+
+    ``pages`` is the stream's input read as a table, ``kept`` what it wrote. Null keys are compared as equal values, as the stream does.
+    """
+    p, k = pages.alias("p"), kept.select("site", "content_hash").distinct().alias("k")
+    same = F.col("p.site").eqNullSafe(F.col("k.site")) & F.col("p.content_hash").eqNullSafe(F.col("k.content_hash"))
+    return p.join(k, same, "left_anti")
+
+
 def redirect_batches(load_redirects: Callable[[], DataFrame], refresh_seconds: int = 60) -> Callable[[DataFrame, int], DataFrame]:
     """Micro-batch function: answer requests with a redirect table reloaded every 60 seconds."""
     cache: dict[str, object] = {"at": None, "table": None}

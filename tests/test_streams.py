@@ -97,3 +97,35 @@ def test_open_questions_over_batches_equal_the_batch_twin(spark, folder, parts):
     assert deltas.select("batch").distinct().count() == 3
     got = {tuple(r) for r in ST.open_questions(deltas).filter("open_required > 0").collect()}
     assert got == {tuple(r) for r in ST.open_required(SQ.question_changes(T.table(spark, folder, "events"))).collect()} != set()
+
+
+def test_late_pages_are_refused_listed_and_leave_the_state(spark, tmp_path):
+    """Eight files, one a micro-batch, ten hours apart: old state goes, late new content is listed, near repeats are dropped."""
+    hour = 3600
+    files = [[("a", 100 * i + k, f"h{i}-{k}", 10 * i * hour + 60 * k) for k in range(50)] for i in range(8)]
+    files[1].append(("a", 801, "h1-3", 10 * hour + 50 * 60))  # a repeat within the delay
+    files[6].append(("a", 802, "late", 5 * hour))  # behind the watermark, content not seen before
+    files[6].append(("a", 803, "h0-1", 5 * hour))  # behind the watermark too, but its content is known
+    files[7].append(("a", 804, "h0-2", 70 * hour))  # state of this content has gone: it comes again
+    files[7].append(("a", 805, "h7-1", 69 * hour))  # out of order within the delay
+    schema = "site string, page_id long, content_hash string, seconds long"
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (part,) = (tmp_path / f"w{i}").glob("*.parquet")
+        target = tmp_path / "in" / f"{i}.parquet"
+        target.parent.mkdir(exist_ok=True)
+        target.write_bytes(part.read_bytes())
+        os.utime(target, (1_700_000_000 + 60 * i,) * 2)
+    timed = lambda df: df.withColumn("seen_at", F.timestamp_seconds(F.col("seconds") + 1_700_000_000)).drop("seconds")
+    reports = []
+    pages = timed(R.read_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_batch=1))
+    kept = R.run_to_table(ST.deduped_page_stream(pages, "2 hours"), "late-pages", progress=reports)
+    ids = sorted(r.page_id for r in kept.collect())
+    assert len(ids) == len(set(ids)) == 8 * 50 + 1 and 804 in ids
+    assert not {801, 802, 803} & set(ids)
+    assert len({701, 805} & set(ids)) == 1  # one of the two rows of h7-1
+    every = timed(spark.read.parquet(str(tmp_path / "in")))
+    assert [r.page_id for r in ST.refused_pages(every, kept).collect()] == [802]
+    held = [r["stateOperators"][0]["numRowsTotal"] for r in reports if r["stateOperators"]]
+    assert len(held) >= 8 and max(held) <= 3 * 52  # never all 400
+    assert sum(r["stateOperators"][0]["numRowsDroppedByWatermark"] for r in reports if r["stateOperators"]) == 2
