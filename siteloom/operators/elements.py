@@ -1,6 +1,6 @@
 """Document-order elements of HTML pages and what the page builder needs from them.
 
-``page_elements`` is the only Python row code of the package: tag nesting cannot be expressed
+``walked`` is the only Python row code over HTML: tag nesting cannot be expressed
 with built-in functions. Everything after it is DataFrame code keyed by page.
 """
 
@@ -150,6 +150,18 @@ class _Walker(HTMLParser):
             self._add_text(data)
 
 
+def walked(html: str | None, drop: Iterable[str]) -> list[dict]:
+    """Kept elements of one page in document order."""
+    walker = _Walker(set(drop))
+    walker.feed(html or "")
+    walker.close()
+    return walker.rows
+
+
+def element_text(element: dict) -> str:
+    return " ".join("".join(element["buf"]).split())
+
+
 FRAME_ROWS = 5000
 
 
@@ -171,15 +183,12 @@ def page_elements(pages: DataFrame, drop: Iterable[str] = tuple(INVISIBLE)) -> D
         for batch in batches:
             out = []
             for site, page_id, url, html in batch.itertuples(index=False):
-                walker = _Walker(drop_set)
-                walker.feed(html or "")
-                walker.close()
-                for e in walker.rows:
+                for e in walked(html, drop_set):
                     a = e["attrs"]
                     src = a.get("src") or a.get("data-src") or a.get("data-lazy-src")
                     out.append(
                         (site, page_id, url, e["ord"], e["tag"], e["parent"], e["parent_tag"], e["own"], e["outer"],
-                         e["ancestors"], " ".join("".join(e["buf"]).split()), e["has_h1"], e["has_form"],
+                         e["ancestors"], element_text(e), e["has_h1"], e["has_form"],
                          src, a.get("alt"), a.get("width"), e["runs"])
                     )
                 if len(out) >= FRAME_ROWS:

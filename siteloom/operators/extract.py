@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
@@ -112,23 +112,35 @@ def _regex_sections(visible: Column) -> Column:
     )
 
 
-def tree_sections(pages: DataFrame) -> DataFrame:
-    """Sections of tree layouts: (site, page_id, sections) in document order."""
-    el = E.page_elements(pages)
-    chosen = el.filter(
-        ((F.col("tag") == "section") & E.has("outer", ["main"]))
-        | (F.col("tag") == "article")
-        | ((F.col("tag") == "div") & (F.col("parent_tag") == "main"))
-        | E.has("own", [".content", ".entry-content"])
-    ).filter(F.length("text") >= 40)
-    text = F.col("text")
-    marker = F.concat(F.when(F.col("has_h1"), "<h1").otherwise(""), F.when(F.col("has_form"), "<form").otherwise(""))
-    return chosen.groupBy("site", "page_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ord", section_kind(text, marker).alias("kind"), "text"))),
-            lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text")),
-        ).alias("_tree")
-    )
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("marker", StringType())])))
+def _tree_cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts of the section elements in document order, with what ``section_kind`` looks for in their markup."""
+
+    def is_section(e: dict) -> bool:
+        return (
+            (e["tag"] == "section" and "main" in e["outer"])
+            or e["tag"] == "article"
+            or (e["tag"] == "div" and e["parent_tag"] == "main")
+            or ".content" in e["own"]
+            or ".entry-content" in e["own"]
+        )
+
+    def cut(html: str | None) -> list[dict] | None:
+        if not isinstance(html, str):
+            return None
+        found = [(E.element_text(e), e) for e in E.walked(html, E.INVISIBLE) if is_section(e)]
+        return [
+            {"text": text, "marker": "<h1" * e["has_h1"] + "<form" * e["has_form"]} for text, e in found if len(text) >= 40
+        ]
+
+    for batch in batches:
+        yield batch.map(cut)
+
+
+def tree_sections(html: Column) -> Column:
+    """Sections of a tree layout; pages of other layouts pass as nulls, so no HTML of theirs travels to Python."""
+    cut = _tree_cut(F.when(needs_tree(html), html))
+    return F.transform(cut, lambda s: F.struct(section_kind(s["text"], s["marker"]).alias("kind"), s["text"].alias("text")))
 
 
 def page_records(pages: DataFrame, tree_layouts: bool = True) -> DataFrame:
@@ -136,18 +148,15 @@ def page_records(pages: DataFrame, tree_layouts: bool = True) -> DataFrame:
 
     Everything is one projection over the page scan; Spark prunes what a caller does not
     select. ``tree_layouts=False`` skips the element walker for crawls known not to need it.
+    A page without HTML (null) stays, with nulls and no sections.
     """
     seen = pages.withColumn("_visible", X.drop_invisible("html"))
     seen = seen.withColumn("_builder", F.when(F.instr("html", "__NEXT_DATA__") > 0, builder_data(F.col("html"))))
+    by_regex, none = _regex_sections(F.col("_visible")), F.expr(f"cast(array() as {SECTION})")
     if tree_layouts:
-        flat = seen.filter(~needs_tree(F.col("html"))).withColumn("_cut", _regex_sections(F.col("_visible")))
-        deep = seen.filter(needs_tree(F.col("html")))
-        deep = deep.join(tree_sections(deep), ["site", "page_id"], "left").select(
-            *seen.columns, F.coalesce("_tree", F.expr(f"cast(array() as {SECTION})")).alias("_cut")
-        )
-        seen = flat.unionByName(deep)
-    else:
-        seen = seen.withColumn("_cut", _regex_sections(F.col("_visible")))
+        seen = seen.withColumn("_tree", tree_sections(F.col("html")))
+        by_regex = F.when(F.col("_tree").isNull(), by_regex).otherwise(F.col("_tree"))
+    seen = seen.withColumn("_cut", F.coalesce(by_regex, none))
     body = X.markup_text(F.regexp_extract("_visible", r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1))
     seen = seen.withColumn("_body", F.when(F.size("_cut") == 0, body))
     h1 = F.get(F.regexp_extract_all("_visible", F.lit(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"), F.lit(1)), F.lit(0))
@@ -159,7 +168,7 @@ def page_records(pages: DataFrame, tree_layouts: bool = True) -> DataFrame:
     )
     own = F.when(F.size("_cut") > 0, F.col("_cut")).when(
         F.col("_body") != "", F.array(F.struct(F.lit("prose").alias("kind"), F.col("_body").alias("text")))
-    ).otherwise(F.expr(f"cast(array() as {SECTION})"))
+    ).otherwise(none)
     from_builder = _builder_sections(F.col("_builder"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return seen.select(
@@ -222,13 +231,22 @@ def page_titles(records: DataFrame) -> DataFrame:
     return records.select("site", "page_id", "title")
 
 
+def _items(rows: DataFrame, items: str, name: str, *keep: str) -> DataFrame:
+    """(site, page_id, ord, ``name``) for each item of an array that is costly to make.
+
+    The outer form makes the array once: for the inner one Spark adds a filter on its size, pushes that below the
+    projection and so makes it again, with everything that it is made from.
+    """
+    return rows.select("site", "page_id", *keep, F.posexplode_outer(items).alias("ord", name)).filter(F.col("ord").isNotNull())
+
+
 def page_headings(records: DataFrame) -> DataFrame:
-    return records.select("site", "page_id", F.posexplode("headings").alias("ord", "heading"))
+    return _items(records, "headings", "heading")
 
 
 def page_section_rows(records: DataFrame, max_sections: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Section rows with their whole text; the first sections or characters only where limits are given."""
-    rows = records.select("site", "page_id", F.posexplode("sections").alias("ord", "s"))
+    rows = _items(records, "sections", "s")
     if max_sections is not None:
         rows = rows.filter(F.col("ord") < max_sections)
     text = F.col("s.text") if max_chars is None else F.substring("s.text", 1, max_chars)
@@ -239,10 +257,37 @@ def content_hashes(records: DataFrame) -> DataFrame:
     return records.select("site", "page_id", F.substring(F.sha2(corpus(), 256), 1, 32).alias("content_hash"))
 
 
+def visible_image_tags(html: str = "html") -> Column:
+    return F.regexp_extract_all(X.drop_invisible(html), F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
+
+
+def images_without_alt(html: Column) -> Column:
+    """Number of image tags with a source (data: apart) whose alt text is missing or blank."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
+    sourced = r"(?is)[\s\"']src\s*=\s*[\"'](?!data:)[^\"']+[\"']"
+    described = r"(?is)\balt\s*=\s*[\"'][^\"']*[^\"'\s][^\"']*[\"']"
+    return F.size(F.filter(tags, lambda t: t.rlike(sourced) & ~t.rlike(described))).cast("long")
+
+
+def page_extract(pages: DataFrame) -> DataFrame:
+    """What findings, model and plan read of a page: its record with image tags, hidden e-mails and
+    the number of undescribed images in place of the HTML.
+
+    Stored once, it feeds ``page_signals``, ``page_entities`` and ``page_images`` without another look at the HTML.
+    """
+    return page_records(pages).select(
+        "site", "page_id", "url", "path", "http_status", "title", "description", "headings", "sections",
+        visible_image_tags().alias("image_tags"), images_without_alt(F.col("html")).alias("bad_images"),
+        hidden_email_list(F.col("html")).alias("hidden_emails"),
+    )
+
+
 def page_images(pages: DataFrame) -> DataFrame:
-    """One row per ``<img src>``: absolute src, alt, numeric width and height; data: skipped."""
-    visible = X.drop_invisible("html")
-    tags = F.regexp_extract_all(visible, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
+    """One row per ``<img src>``: absolute src, alt, numeric width and height; data: skipped.
+
+    ``pages`` has ``html`` or is an extraction that holds the ``image_tags``.
+    """
+    tags = F.col("image_tags") if "image_tags" in pages.columns else visible_image_tags()
     rows = pages.select("site", "page_id", "url", F.posexplode(tags).alias("ord", "tag"))
     attr = lambda name: F.regexp_extract("tag", rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
     has_alt = F.col("tag").rlike(r"(?is)\balt\s*=")
@@ -260,30 +305,27 @@ def page_images(pages: DataFrame) -> DataFrame:
     )
 
 
-def hidden_emails(pages: DataFrame) -> DataFrame:
-    """Decode XOR-hex e-mails of ``data-cfemail`` attributes and protection links."""
+def hidden_email_list(html: Column) -> Column:
+    """Decoded XOR-hex e-mails of ``data-cfemail`` attributes and protection links, each once."""
     codes = F.concat(
-        F.regexp_extract_all("html", F.lit(r"(?i)data-cfemail\s*=\s*[\"']([0-9a-f]+)[\"']"), F.lit(1)),
-        F.regexp_extract_all(
-            "html", F.lit(r"(?i)href\s*=\s*[\"'][^\"']*/cdn-cgi/l/email-protection#([0-9a-f]+)[\"']"), F.lit(1)
-        ),
+        F.regexp_extract_all(html, F.lit(r"(?i)data-cfemail\s*=\s*[\"']([0-9a-f]+)[\"']"), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"'][^\"']*/cdn-cgi/l/email-protection#([0-9a-f]+)[\"']"), F.lit(1)),
     )
     byte = lambda code, i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int")
-    decoded = F.array_join(
-        F.transform(
-            F.sequence(F.lit(3), F.greatest(F.length("code") - 1, F.lit(3)), F.lit(2)),
-            lambda i: F.char(byte(F.col("code"), i).bitwiseXOR(byte(F.col("code"), F.lit(1)))),
-        ),
-        "",
-    )
-    rows = pages.filter(F.col("html").rlike("(?i)cfemail|email-protection#")).select(
-        "site", "page_id", F.explode(F.array_distinct(codes)).alias("code")
-    )
-    return (
-        rows.filter((F.length("code") > 3) & (F.length("code") % 2 == 0))
-        .select("site", "page_id", decoded.alias("email"))
-        .distinct()
-    )
+
+    def decoded(code: Column) -> Column:
+        places = F.sequence(F.lit(3), F.greatest(F.length(code) - 1, F.lit(3)), F.lit(2))
+        return F.array_join(F.transform(places, lambda i: F.char(byte(code, i).bitwiseXOR(byte(code, F.lit(1))))), "")
+
+    whole = F.filter(F.array_distinct(codes), lambda c: (F.length(c) > 3) & (F.length(c) % 2 == 0))
+    marked = html.rlike("(?i)cfemail|email-protection#")
+    return F.when(marked, F.array_distinct(F.transform(whole, decoded))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def hidden_emails(pages: DataFrame) -> DataFrame:
+    """Hidden e-mails of pages with ``html`` or of an extraction that holds them."""
+    found = F.col("hidden_emails") if "hidden_emails" in pages.columns else hidden_email_list(F.col("html"))
+    return pages.select("site", "page_id", F.explode(found).alias("email")).distinct()
 
 
 ENTITY_PATTERNS = {"phones": X.PHONE, "emails": X.EMAIL, "addresses": X.ADDRESS, "prices": X.PRICE}

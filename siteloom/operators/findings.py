@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators.extract import corpus
+from siteloom.operators.extract import corpus, images_without_alt
 
 # Nouns of the contact kinds that must agree across a site.
 CONTACT_KINDS = {"phones": "phone number", "emails": "email", "addresses": "address"}
@@ -159,19 +159,17 @@ def contradiction_evidence(entities: DataFrame, pages: int | None = None) -> Dat
 
 
 def page_signals(records: DataFrame, phrases: list[str] = BOILERPLATE) -> DataFrame:
-    """One narrow row per page with everything the page-level rules look at (a single pass)."""
+    """One narrow row per page with everything the page-level rules look at (a single pass).
+
+    ``records`` has ``html`` or is an extraction that holds the number of ``bad_images``.
+    """
+    bad_images = F.col("bad_images") if "bad_images" in records.columns else images_without_alt(F.col("html"))
     base = records.select(
         "site", "page_id", U.page_path("path", "url").alias("path"), "url",
         F.coalesce("http_status", F.lit(200)).alias("http_status"), "title",
         corpus().alias("corpus"),
         F.coalesce(F.trim("description"), F.lit("")).alias("_desc"),
-        F.size(
-            F.filter(
-                F.regexp_extract_all("html", F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1)),
-                lambda t: t.rlike(r"(?is)[\s\"']src\s*=\s*[\"'](?!data:)[^\"']+[\"']")
-                & ~t.rlike(r"(?is)\balt\s*=\s*[\"'][^\"']*[^\"'\s][^\"']*[\"']"),
-            )
-        ).cast("long").alias("bad_images"),
+        bad_images.alias("bad_images"),
     ).withColumn("_lower", F.lower("corpus"))
     phrase = F.coalesce(*[F.when(F.instr("_lower", p.lower()) > 0, F.lit(p)) for p in phrases])
     base = base.withColumn("phrase", phrase)

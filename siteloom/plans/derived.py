@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import urls as U
 from siteloom.operators import links as L
+from siteloom.session import stored
 from siteloom.sources import tables as T
 
 # Page HTML with the marks the supplied pages lack: meta tags, colours, a logo, images,
@@ -55,6 +56,13 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     return T.read_pages(spark, folder).withColumn("html", F.expr(RICH_HTML))
 
 
+def stored_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Extraction of the enriched pages, done once; signals, contacts, images and targets read what they need of it."""
+    from siteloom.operators.extract import page_extract
+
+    return stored(page_extract(rich_pages(spark, folder)), "extract")
+
+
 def canonical_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with ``page_url``, the canonical form of their URL."""
     return U.keep_valid(U.add_canonical(T.read_pages(spark, folder), "url", "url", "page_url"), "page_url")

@@ -123,8 +123,9 @@ pd AS (SELECT site, path, last(to_path ORDER BY seq, fingerprint) AS to_path, la
   FROM dm WHERE to_path IS NOT NULL GROUP BY ALL)"""
 
 
-def answered_questions(spark, d):
-    rows = stored(Q.signal_rows(rich_signals(spark, d)), "signals")
+def answered_questions(spark, d, rows=None):
+    """Answered questions and their evidence, from stored ``rows`` of signals where there are some."""
+    rows = rows or stored(Q.signal_rows(rich_signals(spark, d)), "signals")
     order = F.create_map(*[F.lit(v) for i, f in enumerate(["boilerplate", "http-error", "missing-meta", "missing-alt", "thin"]) for v in (f, i + 2)])
     found = stored(V.answered(Q.page_questions(rows).withColumn("seq", order[F.col("finding")])), "questions")
     ev = Q.with_fingerprint(Q.page_evidence(rows), found).select("site", "fingerprint", "page_id", "url")
@@ -180,8 +181,8 @@ lg AS (SELECT site, old_path AS from_path, first(new_path ORDER BY pr, page_id)
   FROM (SELECT *, CASE state WHEN 'mapped' THEN 0 WHEN 'dropped' THEN 1 ELSE 2 END AS pr FROM tg) GROUP BY ALL)"""
 
 
-def targets(spark, d):
-    decisions = M.path_decisions(*answered_questions(spark, d))
+def targets(spark, d, rows=None):
+    decisions = M.path_decisions(*answered_questions(spark, d, rows))
     pages = V.titled_pages(spark, d).select("site", "page_id", "url", "path", "http_status", "title", "has_html")
     return stored(M.assign_targets(pages, collections(spark, d), decisions), "targets")
 

@@ -25,16 +25,16 @@ PAGE_ENT = f"""xe AS (SELECT page_id, 'phones' AS kind, unnest(regexp_extract_al
 en AS (SELECT DISTINCT rc.site, rc.page_id, rc.path, rc.url, kind, trim(value) AS value FROM xe JOIN rc USING (page_id) WHERE trim(value) <> '' AND rc.http_status < 400)"""
 
 
-def page_contacts(spark, d):
-    """Phones, e-mails and addresses extracted from the live pages."""
-    pages = V.rich_pages(spark, d).filter("http_status < 400")
-    found = X.page_entities(X.page_records(pages)).filter("kind <> 'prices'")
-    return found.join(pages.select("site", "page_id", "path", "url"), ["site", "page_id"])
+def page_contacts(extract):
+    """Phones, e-mails and addresses of the live pages of an extraction."""
+    live = extract.filter("http_status < 400")
+    found = X.page_entities(live).filter("kind <> 'prices'")
+    return found.join(live.select("site", "page_id", "path", "url"), ["site", "page_id"])
 
 
-def blank_alts(spark, d):
+def blank_alts(extract):
     """Number of images without alt text on each page that has some."""
-    images = X.page_images(V.rich_pages(spark, d))
+    images = X.page_images(extract)
     return images.filter(F.trim(F.coalesce("alt", F.lit(""))) == "").groupBy("site", "page_id").agg(F.count("*").alias("blank_alt_images"))
 
 
@@ -66,10 +66,15 @@ tt AS (SELECT *, t[1] AS mode, t[2] AS action, t[3] AS title,
    CASE WHEN t[2] LIKE 'generate-%' THEN greatest(pages, evidence_pages) ELSE evidence_pages END AS page_count FROM tk WHERE t IS NOT NULL)"""
 
 
-def asked(spark, d):
+def review_inputs(spark, d):
+    """One extraction, and what is stored of it for questions and tasks: extraction, signal rows, contacts."""
+    extract = V.stored_extract(spark, d)
+    rows = stored(Q.signal_rows(Q.page_signals(extract, FQ.PHRASES)), "signals")
+    return extract, rows, stored(page_contacts(extract), "contacts")
+
+
+def asked(rows, contacts):
     """Answered questions with evidence page counts, and the evidence rows."""
-    rows = stored(Q.signal_rows(FQ.rich_signals(spark, d)), "signals")
-    contacts = stored(page_contacts(spark, d), "contacts")
     found = Q.page_questions(rows).unionByName(Q.contradictions(contacts))
     found = stored(V.answered(found), "questions")
     cols = ["site", "finding", "page_id", "url"]
@@ -88,7 +93,7 @@ def asked(spark, d):
     covers="H1",
 )
 def _(spark, d):
-    found, _ = asked(spark, d)
+    found, _ = asked(*review_inputs(spark, d)[1:])
     return TK.tasks_for_answer(found).select("site", "fingerprint", "mode", "action", "title", "page_count")
 
 
@@ -100,7 +105,7 @@ def _(spark, d):
     covers="H5",
 )
 def _(spark, d):
-    found, ev = asked(spark, d)
+    found, ev = asked(*review_inputs(spark, d)[1:])
     first = ev.groupBy("site", "fingerprint").agg(F.min("url").alias("url"))
     rows = TK.tasks_for_answer(found).join(first, ["site", "fingerprint"], "left")
     return rows.select("site", "fingerprint", TK.pages_label(F.col("page_count"), F.col("url")).alias("label"))
@@ -135,18 +140,18 @@ tp2 AS (SELECT * FROM pn QUALIFY row_number() OVER (PARTITION BY site, task_id O
 
 
 def planned(spark, d):
-    found, ev = asked(spark, d)
-    t = MQ.targets(spark, d)
-    rich = V.rich_pages(spark, d)
-    desc = X.page_records(rich, tree_layouts=False).select("site", "page_id", "url", "description")
-    pages = t.join(desc, ["site", "page_id"]).join(blank_alts(spark, d), ["site", "page_id"], "left").select(
+    extract, rows, contacts = review_inputs(spark, d)
+    found, ev = asked(rows, contacts)
+    t = MQ.targets(spark, d, rows)
+    desc = extract.select("site", "page_id", "url", "description")
+    pages = t.join(desc, ["site", "page_id"]).join(blank_alts(extract), ["site", "page_id"], "left").select(
         "site", "page_id", F.col("old_path").alias("path"), "url", "description", F.coalesce("blank_alt_images", F.lit(0)).alias("blank_alt_images"),
         "doc_id", F.col("type").alias("doc_type"), F.col("new_path").alias("target_path"),
         F.when(F.col("state") == "mapped", "mapped").otherwise("dropped").alias("target_status"),
     )
     options = found.filter("kind = 'contradiction'").select("site", "fingerprint", F.explode("options").alias("option"))
     previews = TK.tasks_for_answer(found)
-    return found, stored(TK.plan_tasks(previews, options, ev, pages, page_contacts(spark, d)), "tasks")
+    return found, stored(TK.plan_tasks(previews, options, ev, pages, contacts), "tasks")
 
 
 @query(

@@ -16,13 +16,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table too small for a piece a core out to all cores.
+
+    A scan makes no piece below ``spark.sql.files.openCostInBytes`` and cannot cut a row group, so a small table of large
+    texts is one or two tasks. Below that size a core the rows are dealt by ``key``; larger tables are left as they are scanned.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    smallest = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores, key) if size < cores * smallest else df
+
+
 def synthetic_status(page_id: Column) -> Column:
     return F.when(page_id % 17 == 0, 404).otherwise(200)
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Crawled pages: site, page_id, url, path, http_status, html (kept for re-extraction)."""
-    return table(spark, folder, "pages").select(
+    return spread_small(table(spark, folder, "pages"), "page_id").select(
         U.site_key("url").alias("site"),
         "page_id",
         "url",
@@ -34,7 +47,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as pages of the site named by ``source``; every 7th one is a contact page."""
-    doc = table(spark, folder, "documents")
+    doc = spread_small(table(spark, folder, "documents"), "doc_id")
     path = F.when(F.col("doc_id") % 7 == 0, F.lit("/contact")).otherwise(
         F.concat(F.lit("/doc/"), F.col("doc_id").cast("string"))
     )

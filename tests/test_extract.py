@@ -66,6 +66,30 @@ def test_tree_layouts_use_main_sections(spark):
     assert [(s.kind, s.text) for s in rec[2].sections] == [("prose", "tiny")]
 
 
+def test_pages_without_html_stay_without_sections(spark):
+    nested = f"<body><article>{PARA}<article>{PARA} twice</article></article></body>"
+    rec = X.page_records(pages(spark, None, "", nested)).orderBy("page_id").collect()
+    assert [r.page_id for r in rec] == [0, 1, 2]
+    assert (rec[0].title, rec[0].sections, rec[1].sections) == (None, [], [])
+    assert [s.text for s in rec[2].sections] == [f"{PARA}{PARA} twice", f"{PARA} twice"]
+    assert X.page_section_rows(X.page_records(pages(spark, None, ""))).count() == 0
+
+
+def test_a_stored_extraction_gives_what_the_html_gives(spark):
+    from siteloom.operators import findings as Q
+    from siteloom.session import stored
+
+    mail = "4f" + "".join(f"{ord(c) ^ 0x4F:02x}" for c in "me@x.co")
+    extra = f'<article>{PARA} Call 032601560 <a data-cfemail="{mail}">x</a><img src="/a.png"><img src="/b.png" alt="b"><img alt=""></article>'
+    html = pages(spark, CAKE, extra, extra.replace("<article>", "<!-- <img src='/gone.png'> --><article>"), None, "")
+    kept, rec = stored(X.page_extract(html), "extract"), X.page_records(html)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(X.page_entities(kept)) == rows(X.page_entities(rec)) and "me@x.co" in str(rows(X.page_entities(kept)))
+    assert rows(X.page_images(kept)) == rows(X.page_images(html)) != []
+    assert rows(Q.page_signals(kept)) == rows(Q.page_signals(rec))
+    assert "html" not in kept.columns
+
+
 def test_hidden_emails(spark):
     enc = lambda e, k: f"{k:02x}" + "".join(f"{ord(c) ^ k:02x}" for c in e)
     html = f'<a data-cfemail="{enc("me@x.co", 0x4F)}">x</a><a href="/cdn-cgi/l/email-protection#{enc("you@x.co", 0x21)}">y</a>'

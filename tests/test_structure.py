@@ -163,6 +163,26 @@ def test_columns_only_work_stays_out_of_python(spark, folder):
     assert "Python" not in text and "Pandas" not in text and F is not None
 
 
+def test_an_extraction_scans_once_without_a_join_and_makes_sections_once(spark, folder):
+    rec = X.page_records(spark.read.parquet(f"{folder}/pages.parquet").selectExpr("'s' AS site", "page_id", "url", "'/' AS path", "200 AS http_status", "html"))
+    text = plan(rec)
+    assert text.count("FileScan") == 1 and "Join" not in text and "Exchange" not in text
+    rows = plan(X.page_section_rows(rec))
+    assert rows.count("ArrowEvalPython") == 1 and rows.index("Generate") < rows.index("ArrowEvalPython")
+    assert "- Filter" not in rows[rows.index("Generate"):]  # no filter below makes the sections a second time
+
+
+def test_only_small_tables_are_dealt_out(spark, folder):
+    pages = T.table(spark, folder, "pages")
+    assert "Exchange" in plan(T.spread_small(pages, "page_id"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert "Exchange" not in plan(T.spread_small(pages, "page_id"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
 def test_per_site_joins_spread_a_large_site(spark):
     from siteloom.operators.spread import join_per_site
 
