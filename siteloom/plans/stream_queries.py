@@ -105,12 +105,14 @@ def _(spark, d):
     covers="J5",
 )
 def _(spark, d):
-    docs = R.read_stream(spark, d, "documents.parquet").select(
-        F.col("source").alias("site"), F.col("doc_id").alias("page_id"), F.substring(F.sha2("text", 256), 1, 32).alias("content_hash"),
-        F.timestamp_micros((F.col("doc_id") + 1) * 60_000_000).alias("seen_at"),
-    )
-    out = R.run_to_table(ST.deduped_page_stream(docs, "2 hours"), "pages", partition_by=["site"])
-    return out.select("site", "content_hash")
+    def seen(docs):
+        return docs.select(
+            F.col("source").alias("site"), F.col("doc_id").alias("page_id"), F.substring(F.sha2("text", 256), 1, 32).alias("content_hash"),
+            F.timestamp_micros((F.col("doc_id") + 1) * 60_000_000).alias("seen_at"),
+        )
+
+    out = R.run_to_table(ST.deduped_page_stream(seen(R.read_stream(spark, d, "documents.parquet")), "2 hours"), "pages", partition_by=["site"])
+    return ST.all_contents(seen(T.table(spark, d, "documents")), out)
 
 
 @query(

@@ -273,6 +273,13 @@ def refused_pages(pages: DataFrame, kept: DataFrame) -> DataFrame:
     return p.join(k, same, "left_anti")
 
 
+def all_contents(pages: DataFrame, kept: DataFrame) -> DataFrame:
+    """Each (site, content_hash) of ``pages`` once, however its files were cut into micro-batches: what the stream
+    let out, less repeats further apart than the delay, and what it refused behind the watermark."""
+    keys = ["site", "content_hash"]
+    return kept.select(*keys).unionByName(refused_pages(pages, kept).select(*keys)).distinct()
+
+
 def redirect_batches(load_redirects: Callable[[], DataFrame], refresh_seconds: int = 60) -> Callable[[DataFrame, int], DataFrame]:
     """Micro-batch function: answer requests with a redirect table reloaded every 60 seconds."""
     cache: dict[str, object] = {"at": None, "table": None}
