@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siteloom.functions import urls as U
 from siteloom.operators.spread import join_per_site, placed_within
@@ -167,19 +171,20 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> Data
 
 
 def url_dictionary(pages: DataFrame) -> DataFrame:
-    """(site, url, id): each distinct page URL with a number that stays its own."""
-    return cut_lineage(pages.select("site", "url").distinct().withColumn("id", F.monotonically_increasing_id()))
+    """(site, url, id): each distinct page URL with a number that stays its own; within a site numbers ascend with URLs."""
+    urls = pages.select("site", "url").distinct().repartitionByRange("site", "url").sortWithinPartitions("site", "url")
+    return cut_lineage(urls.withColumn("id", F.monotonically_increasing_id()))
 
 
 def adjacency(links: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
-    """(src, dst, pos) of the links between known URLs, and the name of the table that holds them.
+    """(site, src, dst, pos) of the links between known URLs, and the name of the table that holds them.
 
     Stored once, bucketed by ``src``: a join with some sources shuffles those and reads the links as they lie.
     """
     spark = links.sparkSession
     source = ids.select("site", F.col("url").alias("from_url"), F.col("id").alias("src"))
     target = ids.select("site", F.col("url").alias("to_url"), F.col("id").alias("dst"))
-    edges = links.join(source, ["site", "from_url"]).join(target, ["site", "to_url"]).groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    edges = links.join(source, ["site", "from_url"]).join(target, ["site", "to_url"]).groupBy("site", "src", "dst").agg(F.min("pos").cast("long").alias("pos"))
     path = scratch_path(spark, "adjacency")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -187,53 +192,101 @@ def adjacency(links: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+#: A site with at most so many links and seeds is crawled by one task, which holds their numbers (some 150 bytes a link).
+LINKS_AT_ONCE = 2_000_000
+
+
+def _numbers(column: pa.ChunkedArray, null: int = 0) -> np.ndarray:
+    return pc.fill_null(column.cast(pa.int64()), null).to_numpy()
+
+
+def _walk(site: pa.Table, cap: int | None, places: bool) -> pa.Table:
+    """Queue of one site from its rows (site, src, dst, pos), those of the seeds with a null src."""
+    dst, pos = _numbers(site["dst"]), _numbers(site["pos"], np.iinfo(np.int64).min)
+    is_seed = site["src"].is_null().to_numpy()
+    known, at = np.unique(np.concatenate([dst, _numbers(site["src"])[~is_seed]]), return_inverse=True)
+    to, start = at[: len(dst)], np.full(len(dst), -1)
+    start[~is_seed] = at[len(dst) :]
+    order = np.lexsort((to, pos, start))  # seeds first, then the links of each page by position and URL
+    to, bounds = to[order], np.searchsorted(start[order], np.arange(-1, len(known) + 1))
+    fresh, queue, depths, found, depth = np.ones(len(known), bool), [], [], to[: bounds[1]], 0
+    left = len(known) if cap is None else cap
+    while True:
+        level, first = np.unique(found, return_index=True)
+        level = level[np.argsort(first)]
+        level = level[fresh[level]][:left]
+        if not len(level):
+            break
+        fresh[level] = False
+        queue.append(level)
+        depths.append(np.full(len(level), depth, np.int32))
+        left, depth = left - len(level), depth + 1
+        many = bounds[level + 2] - bounds[level + 1]
+        found = to[np.repeat(bounds[level + 1] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    queue = np.concatenate([np.zeros(0, int), *queue])
+    place = pa.array(np.arange(1, len(queue) + 1, dtype=np.int32)) if places else pa.nulls(len(queue), pa.int32())
+    return pa.table({"site": pa.repeat(site["site"][0], len(queue)), "id": pa.array(known[queue], pa.int64()), "place": place, "depth": pa.array(np.concatenate([np.zeros(0, np.int32), *depths]))})
+
+
 def crawl_order(
-    links: DataFrame, seeds: DataFrame, pages: DataFrame, cap: int | None = None, places: bool = True
+    links: DataFrame, seeds: DataFrame, pages: DataFrame, cap: int | None = None, places: bool = True, links_at_once: int = LINKS_AT_ONCE
 ) -> DataFrame:
     """Breadth-first discovery over a stored link table: site, url, depth and place in the site's queue.
 
-    ``links``: site, from_url, to_url, pos; ``seeds``: site, url, pos; ``pages``: site, url.
-    A level joins the frontier with the adjacency table, drops what was seen and is placed by (place of
-    the page that links first, position of the link). With a cap the frontier never exceeds ``cap``
-    pages per site; without one, places come from ordered ranges, or are left null if not asked for.
-    Every level is checkpointed, so neither the plan nor a lost executor costs more than one level.
+    ``links``: site, from_url, to_url, pos; ``seeds``: site, url, pos; ``pages``: site, url. A page's place goes by
+    (place of the page that links first, position of the link, URL).
+
+    Sites of at most ``links_at_once`` links are dealt to tasks and crawled there, however deep they are. Larger ones go level
+    by level over the whole cluster: a level joins the frontier with the adjacency table and drops what was seen. With a
+    cap the frontier never exceeds ``cap`` pages per site; without one, places come from ordered ranges, or are left null if
+    not asked for. Every level is checkpointed, so neither the plan nor a lost executor costs more than one level.
     """
     spark = links.sparkSession
     ids = url_dictionary(pages)
     edges, table = adjacency(links, ids)
+    start = cut_lineage(seeds.join(ids, ["site", "url"]).groupBy("site", "id").agg(F.min("pos").cast("long").alias("pos")))
+    rows = edges.unionByName(start.select("site", F.lit(None).cast("long").alias("src"), F.col("id").alias("dst"), "pos"))
+    large = cut_lineage(rows.groupBy("site").count().filter(F.col("count") > links_at_once).select("site"))
+    schema = StructType([ids.schema["site"], *StructType.fromDDL("id long, place int, depth int")])
+    walked = rows.join(large, "site", "left_anti").groupBy("site").applyInArrow(lambda t: _walk(t, cap, places or cap is not None), schema)
+    seen = cut_lineage(walked)
+    if not large.isEmpty():
+        seen = seen.unionByName(_levels(edges, start.join(large, "site", "left_semi"), cap, places))
+    spark.sql(f"DROP TABLE {table}")  # all that was read of it is checkpointed by now
+    return seen.join(ids, ["site", "id"]).select("site", "url", "depth", "place")
+
+
+def _levels(edges: DataFrame, start: DataFrame, cap: int | None, places: bool) -> DataFrame:
+    """(site, id, place, depth) of the pages reached from ``start`` (site, id, pos), one level after the other."""
 
     def placed(found: DataFrame, done: DataFrame | None) -> DataFrame:
         if cap is None and not places:
             return cut_lineage(found.select("site", "id", F.lit(None).cast("int").alias("place")))
-        found = found.select("site", "id", "url", F.col("ord.parent").alias("parent"), F.col("ord.pos").alias("pos"))
+        found = found.select("site", "id", F.col("ord.parent").alias("parent"), F.col("ord.pos").alias("pos"))
         if cap is None:
-            out = placed_within(found, ["site"], ["parent", "pos", "url"], "n")
+            out = placed_within(found, ["site"], ["parent", "pos", "id"], "n")
         else:
-            n = F.row_number().over(W.partitionBy("site").orderBy("parent", "pos", "url"))
+            n = F.row_number().over(W.partitionBy("site").orderBy("parent", "pos", "id"))
             out = found.withColumn("n", n).filter(F.col("n") <= cap)
         if done is not None:
             counts = done.groupBy("site").agg(F.count("*").alias("before"))
             out = join_per_site(out, counts, "id").withColumn("n", (F.col("n") + F.col("before")).cast("int"))
-        out = out.select("site", "id", F.col("n").alias("place"))
+        out = out.select("site", "id", F.col("n").cast("int").alias("place"))
         return cut_lineage(out if cap is None else out.filter(F.col("place") <= cap))
 
-    start = seeds.join(ids, ["site", "url"]).groupBy("site", "url", "id").agg(
-        F.min(F.struct(F.lit(0).alias("parent"), "pos")).alias("ord")
-    )
-    frontier = placed(start, None).withColumn("depth", F.lit(0))
+    frontier = placed(start.select("site", "id", F.struct(F.lit(0).alias("parent"), "pos").alias("ord")), None).withColumn("depth", F.lit(0))
     seen, depth = frontier, 0
     while True:
         depth += 1
         out = frontier.select(F.col("id").alias("src"), F.coalesce("place", F.lit(0)).alias("parent")).join(edges, "src")
-        found = out.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("ord")).join(seen.select("id"), "id", "left_anti")
-        frontier = placed(found.join(ids, "id"), seen).withColumn("depth", F.lit(depth))
+        found = out.groupBy("site", F.col("dst").alias("id")).agg(F.min(F.struct("parent", "pos")).alias("ord")).join(seen.select("id"), "id", "left_anti")
+        frontier = placed(found, seen).withColumn("depth", F.lit(depth))
         if frontier.isEmpty():  # every level holds new pages only, so this ends
             break
         seen = seen.unionByName(frontier)
         if depth % 16 == 0:
             seen = cut_lineage(seen)
-    spark.sql(f"DROP TABLE {table}")  # every level is checkpointed by now
-    return seen.join(ids, ["site", "id"]).select("site", "url", "depth", "place")
+    return seen
 
 
 def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -128,6 +128,30 @@ def test_crawl_places_without_a_limit_equal_a_queue(spark):
     assert not any("adjacency" in t.name for t in spark.catalog.listTables())
 
 
+def test_sites_crawled_at_once_equal_those_crawled_level_by_level(spark):
+    """Ties, repeated and missing positions, several seeds, loops, and a chain whose depth costs no jobs when crawled at once."""
+    r = random.Random(8)
+    links = [(s, f"u{a}", f"u{r.randrange(30)}", r.choice([None, 0, 1, 1, 2])) for s in "ab" for a in range(25) for _ in range(r.randrange(4))]
+    chain = [("c", f"v{i}", f"v{i + 1}", 0) for i in range(150)]
+    args = (
+        spark.createDataFrame([*links, *chain, (None, "u1", "u2", 0)], "site string, from_url string, to_url string, pos int"),
+        spark.createDataFrame([("a", "u0", 0), ("b", "u3", 1), ("b", "u4", 1), ("b", "gone", 0), ("c", "v0", 0)], "site string, url string, pos int"),
+        spark.createDataFrame([*[(s, f"u{a}") for s in "abd" for a in range(28)], *[("c", f"v{i}") for i in range(151)], ("a", None), (None, "u1")], "site string, url string"),
+    )
+    rows = lambda df: sorted(df.collect(), key=str)
+    spark.sparkContext.setJobGroup("at-once", "")
+    whole = K.crawl_order(*args)
+    got = rows(whole)
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("at-once")) < 60
+    assert [x.depth for x in sorted((x for x in got if x.site == "c"), key=lambda x: x.place)] == list(range(151))
+    few = (args[0].filter("site <> 'c'"), *args[1:])
+    for more in ({}, {"cap": 7}, {"places": False}):
+        one, many = K.crawl_order(*few, **more), K.crawl_order(*few, **more, links_at_once=20)
+        assert one.schema == many.schema and rows(one) == rows(many) != []
+    assert whole.columns == ["site", "url", "depth", "place"]
+
+
 def test_the_last_checkpoint_of_many_equals_a_scan(spark):
     from siteloom.operators.lifecycle import as_of_labels
 
