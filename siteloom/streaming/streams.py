@@ -169,25 +169,35 @@ def _clamp(value: float) -> int:
 
 
 class ProgressGate(StatefulProcessor):
-    """Keyed by run: remembers the last emitted percentage and its time."""
+    """Keyed by a share of the runs: remembers the last emitted percentage and its time of each run."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState(
-            "last", StructType([StructField("pct", LongType()), StructField("at", LongType())])
-        )
+        run = StructType([StructField("run", StringType())])
+        self.last = handle.getMapState("last", run, StructType([StructField("pct", LongType()), StructField("at", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
-        out = []
-        for r in _rows(rows, ["at", "event_id"]):
-            pct, at = _clamp(r.percent), _ms(r.at)
-            if _emits(pct, at, last):
-                last = (pct, at)
-                out.append((key[0], key[1], int(r.event_id), pct))
+        run, last, known, out = None, None, None, []
+        for r in _rows(rows, ["run", "at", "event_id"]):
+            if r.run != run:
+                self._keep(run, last, known)
+                run = r.run
+                last = known = self._known(run)
+            pct = _clamp(r.percent)
+            if _emits(pct, r.ms, last):
+                last = (pct, r.ms)
+                out.append((r.instance, r.effect, r.event_id, pct))
+        self._keep(run, last, known)
         if out:
-            self.last.update(last)
             yield pd.DataFrame(out, columns=["instance", "effect", "event_id", "percent"])
 
+    def _known(self, run: str) -> tuple[int, int] | None:
+        found = self.last.getValue((run,))
+        return None if found is None else (found[0], found[1])
+
+    def _keep(self, run: str | None, last: tuple[int, int] | None, known: tuple[int, int] | None) -> None:
+        if last != known:
+            self.last.updateValue((run,), last)
+
     def close(self) -> None:
         pass
 
@@ -195,11 +205,19 @@ class ProgressGate(StatefulProcessor):
 PROGRESS_SCHEMA = "instance long, effect string, event_id long, percent long"
 
 
+#: Shares of the runs; one call into Python takes the rows of a share, not those of one run.
+RUN_SHARES = 4096
+
+
 def throttle_progress_stream(progress: DataFrame) -> DataFrame:
     """Progress reports (instance, effect, event_id, at, percent) thinned per run."""
-    return progress.groupBy("instance", "effect").transformWithStateInPandas(
-        ProgressGate(), PROGRESS_SCHEMA, "Update", "None"
+    run = F.to_json(F.struct("instance", "effect"))  # a null is left out, so no two runs are written alike
+    timed = progress.select(
+        F.pmod(F.xxhash64("instance", "effect"), F.lit(RUN_SHARES)).alias("share"), run.alias("run"), F.col("instance").cast("string").alias("instance"),
+        "effect", "event_id", "at", F.unix_millis("at").alias("ms"), "percent",
     )
+    out = timed.groupBy("share").transformWithStateInPandas(ProgressGate(), PROGRESS_SCHEMA.replace("instance long", "instance string"), "Update", "None")
+    return out.withColumn("instance", F.col("instance").cast("long"))
 
 
 def throttle_progress(progress: DataFrame) -> DataFrame:

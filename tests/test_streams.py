@@ -167,3 +167,37 @@ def test_redirects_are_streamed_from_a_table_folder(spark, tmp_path):
     got = {r.page_id: (r.path, r.status, r.location) for r in REGISTRY["stream_redirects"].run(spark, str(tmp_path)).collect()}
     wanted = {"/": ("/", 200, "/"), "/a/": ("/a/", 308, "/a"), "/a.html": ("/a.html", 301, "/a"), "/b": ("/b", 200, "/b"), "/c/d.html": ("/c/d.html", 301, "/c/d"), "/c/d/": ("/c/d/", 308, "/c/d")}
     assert got == {i: wanted[p] for i, p in enumerate(paths * 3)}
+
+
+class HeldState(dict):
+    """Map state of one key, and how often it was asked."""
+
+    asked = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_a_call_of_the_progress_gate_takes_many_runs():
+    held = HeldState()
+    gate = ST.ProgressGate()
+    gate.init(type("Handle", (), {"getMapState": lambda self, name, key, value: held})())
+    rows = lambda part: pd.DataFrame([(f"r{i % 3}", str(i % 3), "e", i, i * 100, i * 100, 5.0 * (i // 3)) for i in part], columns=["run", "instance", "effect", "event_id", "at", "ms", "percent"])
+    out = []
+    for parts in ([range(9, 18), range(9)], [range(18, 30)]):  # two micro-batches, the first in two unordered Arrow batches
+        out += [r for pdf in gate.handleInputRows((7,), iter([rows(p) for p in parts]), None) for r in pdf.itertuples(index=False, name=None)]
+    assert sorted(out) == sorted((str(i % 3), "e", i, 5 * (i // 3)) for i in range(30) if i // 3 % 2 == 0)
+    assert held.asked == 6 and held == {(f"r{k}",): (40, (24 + k) * 100) for k in range(3)}
+
+
+def test_runs_with_null_keys_stay_apart(spark, tmp_path):
+    rows = [(None, "e", 1, 5.0), (None, None, 2, 6.0), (1, None, 3, 7.0), (1, "e", 4, 8.0), (1, "e", 5, 9.0), (2**60 + 1, "null", 6, 9.0)]
+    spark.createDataFrame(rows, "instance long, effect string, event_id long, percent double").coalesce(1).write.parquet(str(tmp_path / "p.parquet"))
+    timed = lambda df: df.withColumn("at", F.timestamp_millis("event_id"))
+    got = R.run_to_table(ST.throttle_progress_stream(timed(R.read_stream(spark, str(tmp_path), "p.parquet"))), "nulls", "update", on_batch=lambda b, i: b).drop("batch")
+    assert sorted(got.collect(), key=str) == sorted(((a, e, n, int(p)) for a, e, n, p in rows if n != 5), key=str)
+    assert got.dtypes == [("instance", "bigint"), ("effect", "string"), ("event_id", "bigint"), ("percent", "bigint")]
