@@ -3,17 +3,17 @@
 * Fixed rules find the base spans of four kinds: email, ip, card, phone.
 * High-recall generators propose further, overlapping candidates in what the base spans leave:
   masked mail addresses, numbers in the shape of addresses, cards and phones.
-* Boosted trees score a candidate by format and context. They learn from candidates over a sample
-  of documents. Positive are those that a base rule confirms and, for what base rules miss, disguised
+* Boosted trees score a candidate by format and context. They learn from the candidates of half of
+  the documents, by hash. Positive are those that a base rule confirms and, for what base rules miss, disguised
   copies: each confirmed span once more in its surroundings without its mark (no plus sign, a masked at
   sign, other separators, a number glued on). Negative are what nothing confirms and copies made wrong (a check
   digit, a part above 255, the digits of a phone as a date).
-* A threshold per kind is calibrated on the other half of the sample, on what is left there beside base
+* A threshold per kind is calibrated on the other half, on what is left there beside base
   spans: the least score from which on at least ``PRECISION`` of candidates are disguised spans. Of the
   candidates above it, best first, each stays that overlaps none kept so far.
 
-The sample is of about ``SAMPLE_ROWS`` documents by hash; from it only counts by binned features
-come to the driver, at most ``MOST_CELLS`` rows. Trees become CASE expressions.
+Every document is learnt from. Only counts by binned features come to the driver, all of them: the bins
+bound their number whatever the input (400 on 256,410 documents). Trees become CASE expressions.
 
 Positions are code points, ends exclusive. Null text is empty and has no spans. Repeated rows get
 equal results; an empty table gives no rows.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from siteloom.llm.support import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS, MOST_CELLS, PRECISION = 20_000, 20_000, 0.98
+PRECISION = 0.98
 ROUNDS, RATE, LEAVES_AT_LEAST = 24, 0.3, 4
 BESIDE, BY_FOUR = 48, "([0-9]{4})(?=[0-9])"
 
@@ -276,19 +276,22 @@ def disguised_candidates(sample: DataFrame) -> DataFrame:
     return found.where(touches & (covers | ~same)).select("doc_id", F.when(same, F.col("y")).otherwise(0).alias("y"), "c")
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[list, float]]:
-    """(trees, threshold) per kind, learnt on about ``sample_rows`` documents."""
-    rows = docs.count()
+def cells(docs: DataFrame) -> DataFrame:
+    """(part, y, disguised, kind, features..., count): candidates of every document, plain and disguised, by half and bin."""
     names = ["kind", *FEATURES]
-    h = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    sample = docs.where(h < int((1 << 30) * min(1.0, sample_rows / max(1, rows)))).select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))
-    sample = sample.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPANS)).alias("base"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))
+    texts = texts.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(SPANS)).alias("base"))
     sure = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["s"] < F.col("c.e")) & (b["e"] > F.col("c.s")))
     part = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(2))
-    plain = sample.select("doc_id", "base", F.explode(candidates(F.col("text"))).alias("c")).select("doc_id", sure.cast("int").alias("y"), F.lit(0).alias("disguised"), "c")
-    every = plain.unionByName(disguised_candidates(sample).withColumn("disguised", F.lit(1)))
-    cells = every.select(part.alias("part"), "y", "disguised", *[F.col(f"c.{f}").alias(f) for f in names]).groupBy("part", "y", "disguised", *names).count()
-    got = np.array([list(r) for r in cells.orderBy(F.desc("count"), "part", "y", "disguised", *names).limit(MOST_CELLS).collect()], float).reshape(-1, len(names) + 4)
+    plain = texts.select("doc_id", "base", F.explode(candidates(F.col("text"))).alias("c")).select("doc_id", sure.cast("int").alias("y"), F.lit(0).alias("disguised"), "c")
+    every = plain.unionByName(disguised_candidates(texts).withColumn("disguised", F.lit(1)))
+    return every.select(part.alias("part"), "y", "disguised", *[F.col(f"c.{f}").alias(f) for f in names]).groupBy("part", "y", "disguised", *names).count()
+
+
+def fit(docs: DataFrame) -> list[tuple[list, float]]:
+    """(trees, threshold) per kind, learnt and calibrated on all of ``docs``."""
+    found = cells(docs).toArrow().sort_by([(f, "ascending") for f in ("part", "y", "disguised", "kind", *FEATURES)])
+    got = np.array([c.to_numpy() for c in found.columns], float).T
     out = []
     for kind in range(len(KINDS)):
         own = got[got[:, 3] == kind]
