@@ -155,6 +155,14 @@ def titled_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rec.withColumn("title", F.concat("title", suffix)).withColumn("has_html", F.col("html") != "")
 
 
+def stored_titles(spark: SparkSession, folder: str, text: bool = False) -> DataFrame:
+    """Titled pages without their HTML, extracted once; with their whole text where ``text`` is asked for."""
+    from siteloom.operators.extract import corpus
+
+    kept = ["site", "page_id", "url", "path", "http_status", "title", "has_html", *([corpus().alias("text")] if text else [])]
+    return stored(titled_pages(spark, folder).select(*kept), "titles")
+
+
 def answered(questions: DataFrame) -> DataFrame:
     """Answers picked from the options by the question id; a quarter stays open."""
     digit = F.conv(F.substring("fingerprint", 1, 1), 16, 10).cast("int")

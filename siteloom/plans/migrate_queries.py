@@ -29,7 +29,7 @@ sn AS (SELECT site, site_name FROM tb JOIN tn USING (site) WHERE uses >= greates
 
 @query("site_names", f"WITH {NAMES} SELECT * FROM sn", covers="G1")
 def _(spark, d):
-    return M.site_names(V.titled_pages(spark, d))
+    return M.site_names(V.stored_titles(spark, d))
 
 
 @query(
@@ -40,7 +40,7 @@ def _(spark, d):
     covers="G2",
 )
 def _(spark, d):
-    pages = V.titled_pages(spark, d)
+    pages = V.stored_titles(spark, d)
     return M.clean_titles(pages, M.site_names(pages)).select("site", "page_id", "clean_title")
 
 
@@ -181,9 +181,9 @@ lg AS (SELECT site, old_path AS from_path, first(new_path ORDER BY pr, page_id)
   FROM (SELECT *, CASE state WHEN 'mapped' THEN 0 WHEN 'dropped' THEN 1 ELSE 2 END AS pr FROM tg) GROUP BY ALL)"""
 
 
-def targets(spark, d, rows=None):
+def targets(spark, d, rows=None, pages=None):
     decisions = M.path_decisions(*answered_questions(spark, d, rows))
-    pages = V.titled_pages(spark, d).select("site", "page_id", "url", "path", "http_status", "title", "has_html")
+    pages = (V.titled_pages(spark, d) if pages is None else pages).select("site", "page_id", "url", "path", "http_status", "title", "has_html")
     return stored(M.assign_targets(pages, collections(spark, d), decisions), "targets")
 
 

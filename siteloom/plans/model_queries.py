@@ -336,11 +336,11 @@ fv AS (SELECT fd.site, doc_id, field_name, CASE field_name WHEN 'title' THEN cle
 
 @query("collection_fields", f"WITH {FIELD_VALUES} SELECT * FROM fv WHERE coalesce(value, '') <> ''", covers="G10")
 def _(spark, d):
-    t = MQ.targets(spark, d).filter("state = 'mapped' and type <> 'page'")
+    pages = V.stored_titles(spark, d, text=True)
+    t = MQ.targets(spark, d, pages=pages).filter("state = 'mapped' and type <> 'page'")
     types = V.proposal_types(spark, d)
-    pages = V.titled_pages(spark, d)
     titles = M.clean_titles(pages, M.site_names(pages))
-    texts = pages.select("site", "page_id", X.corpus().alias("text"))
+    texts = pages.select("site", "page_id", "text")
     atoms = E.page_atoms(V.rich_pages(spark, d))
     docs = t.join(pages.select("site", "page_id", "url"), ["site", "page_id"])
     docs = docs.select("site", "page_id", "doc_id", "type", "slug", "url")
