@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,63 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got.get(i) == min(near, default=None)
 
 
+def test_near_duplicates_of_repeated_rows_and_of_any_threshold(spark):
+    """Rows that come twice are one page, not a page whose sketch cancels out."""
+    rng = random.Random(11)
+    pages = []
+    for k in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 2, 3, 6, 40, 150]))]
+        pages += [base, [*base[:-1], f"z{k}"] if len(base) > 6 else [*base, f"z{k}"]]
+    rows = [("s", i, " ".join(p)) for i, p in enumerate(pages) for _ in range(2)]
+    sets = [{tuple(p[i : i + 3]) for i in range(max(len(p) - 2, 1))} for p in pages]
+    texts = spark.createDataFrame(rows, "site string, page_id long, text string")
+    for threshold in (0.25, 0.7):
+        want = {}
+        for i, a in enumerate(sets):
+            near = [j for j in range(i) if a & sets[j] and len(a & sets[j]) / len(a | sets[j]) >= threshold]
+            if near:
+                want[i] = (near[0], round(len(a & sets[near[0]]) / len(a | sets[near[0]]), 6))
+        assert {r.page_id: (r.dup_of, r.similarity) for r in near_duplicate_pages(texts, threshold).collect()} == want and len(want) > 10
+
+
+def test_near_duplicates_deal_prefixes_and_drop_chance_pairs_before_sets_are_read(spark, monkeypatch):
+    """Pages with a phrase in common meet, but neither sets nor sketches are read for two shared shingles."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    texts = [" ".join([*words(40), "one", "rare", "phrase", "here", *words(40)]) for _ in range(80)]
+    texts += [" ".join([*t.split()[:-1], "changed"]) for t in texts[:4]]
+    kept = {}
+
+    def stored(df, name, put=N.stored):
+        kept.setdefault(name, []).append(put(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(N, "stored", stored)
+    monkeypatch.setattr(N, "SAMPLE", 1)  # a single text knows of no shared shingle
+    rows = [("s", i, t) for i, t in enumerate(texts)]
+    got = {r.page_id: r.dup_of for r in near_duplicate_pages(spark.createDataFrame(rows, "site string, page_id long, text string")).collect()}
+    assert got == {80 + i: i for i in range(4)}
+    assert sum(p.count() for p in kept["near_pairs"]) <= 8 and sum(p.count() for p in kept["near_few"]) <= 16
+
+
+def test_shingles_are_ordered_rarest_first_and_alike_on_every_page(spark):
+    rare, often = list(range(1000, 1100)), list(range(10))
+    texts = [often + rare[:20], rare[:20] + often + [7, 8, 9], [5, 6], [], [5, 6, 5, 6, 5, 6]]
+    words = np.array([w for t in texts for w in t], np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    known = (np.array(often, np.int64), np.full(10, 20))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    s, ends = N.ordered_sets(words, offsets, 3, known, none)
+    sets = [s[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    assert [len(x) for x in sets] == [28, len({tuple(texts[1][i : i + 3]) for i in range(31)}), 1, 0, 2]
+    both = [x for x in sets[0] if x in set(sets[1])]
+    assert both == [x for x in sets[1] if x in set(sets[0])] and len(both) == 26
+    alone = N.ordered_sets(np.array(rare[:20], np.int64), np.array([0, 20]), 3, none, none)[0]
+    assert set(sets[0][:18]) == set(alone)
+    again = N.ordered_sets(words, offsets, 3, known, (np.sort(alone), np.full(18, 8)))
+    assert set(again[0][: again[1][1]][-18:].tolist()) == set(alone.tolist())
+
+
 def test_unlike_holders_of_a_shared_shingle_are_cut_and_no_alike_pair_is(spark):
     """Pages that all hold one rare-looking passage and little else in common, beside real near copies."""
     rng = random.Random(3)
